@@ -61,7 +61,7 @@ WITH a AS (
 ), joined AS (
   SELECT rid, string_agg(coalesce(m.letters, split.ch), '' ORDER BY i) AS s FROM split LEFT JOIN ligature m ON m.ch = split.ch GROUP BY rid
 ), b AS (
-  SELECT a.rid, nfc_normalize(replace(regexp_replace(coalesce(joined.s, a.s), '{YEH}(\p{{M}}*)($|[^\p{{L}}\p{{M}}])', '{DOTLESS_YEH}\1\2', 'g'), '{YEH}', '{DOTTED_YEH}')) AS s
+  SELECT a.rid, nfc_normalize(replace(regexp_replace(coalesce(joined.s, a.s), '{YEH}(\\p{{M}}*)($|[^\\p{{L}}\\p{{M}}])', '{DOTLESS_YEH}\\1\\2', 'g'), '{YEH}', '{DOTTED_YEH}')) AS s
   FROM a LEFT JOIN joined USING (rid)
 ), c AS (
   SELECT rid, CASE WHEN regexp_matches(s, '\\p{{M}}{{2}}') THEN
@@ -88,7 +88,7 @@ class Canonicaliser:
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         self.con.register("batch", pa.table({"rid": pa.array(range(len(texts)), pa.int64()), "text": texts}))
-        got = self.con.execute(self.sql).to_arrow_table().column("canon")
+        got = self.con.sql(self.sql).to_arrow_table().column("canon")
         self.con.unregister("batch")
         return pa.chunked_array(got.chunks, type=got.type).combine_chunks().cast(pa.string())
 

@@ -27,7 +27,7 @@ from ..session import ship_package
 #: The tool table is a small dimension; more rows than this are refused.
 MOST_TOOLS = 2_000
 #: Boundaries from strong to weak: line end, sentence end, clause end, blank; a cut falls behind the match.
-BOUNDARIES = [re.compile(p) for p in (r"\s*[\n\r  ]\s*", r"[.!?؟۔…]+[\"'»”)\]]*\s+", r"[,;:،؛—]\s*", r"\s+")]
+BOUNDARIES = [re.compile(p) for p in ("\\s*[\n\r\u2028\u2029]\\s*", r"[.!?؟۔…]+[\"'»”)\]]*\s+", r"[,;:،؛—]\s*", r"\s+")]
 _WORD = re.compile(r"\S+")
 
 
@@ -54,7 +54,7 @@ def _choose(points: list[list[int]], text: str, lo: int, hi: int) -> int:
 
 def split_item(text: str, limit: int, overlap_words: int) -> list[tuple[int, int, int]]:
     """(overlap start, start, end) of each piece; text[start:end] in order make up the text."""
-    if len(text) <= limit or limit < 2:
+    if len(text) <= limit:
         return [(0, 0, len(text))]
     points = _cut_points(text)
     words = [m.start() for m in _WORD.finditer(text)]
@@ -81,9 +81,9 @@ def split_item(text: str, limit: int, overlap_words: int) -> list[tuple[int, int
     out, before = [], 0
     for lo, hi in done:  # an overlap never reaches beyond the piece before
         o = overlap_from(lo)
-        while o < before:
-            o = words[bisect_right(words, o)] if bisect_right(words, o) < len(words) else lo
-        o = min(o, lo)
+        if o < before:
+            i = bisect_left(words, before)
+            o = min(words[i], lo) if i < len(words) else lo
         out.append((o, lo, hi))
         before = o
     return out
@@ -93,6 +93,8 @@ def load_limits(limits: DataFrame) -> list:
     rows = limits.where("tool is not null").orderBy("tool").limit(MOST_TOOLS + 1).collect()
     if len(rows) > MOST_TOOLS:
         raise ValueError(f"more than {MOST_TOOLS} tools")
+    if any(r.max_input_chars is not None and r.max_input_chars < 1 for r in rows):
+        raise ValueError("a limit must be at least one character")
     return rows
 
 
