@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from pathlib import Path
 
@@ -52,6 +53,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._warraq_shipped = True
 
 
+def shipped(query):
+    """A query that first makes the package importable on the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
