@@ -62,8 +62,8 @@ def wilson(k, n) -> tuple[Column, Column]:
     d = 1 + zz / some
     centre = (p + zz / (2 * some)) / d
     half = Z95 * F.sqrt(p * (1 - p) / some + zz / (4 * some * some)) / d
-    lo, hi = F.greatest(centre - half, F.lit(0.0)) * 100, F.least(centre + half, F.lit(1.0)) * 100
-    return F.coalesce(lo, F.lit(0.0)), F.coalesce(hi, F.lit(0.0))
+    known = lambda c: F.when(n > 0, c * 100).otherwise(0.0)
+    return known(F.greatest(centre - half, F.lit(0.0))), known(F.least(centre + half, F.lit(1.0)))
 
 
 def _tail(k: int, n: int, p: float) -> float:
