@@ -7,7 +7,8 @@ without their overlaps joined together are the item, character for character.
 
 Defined results: lengths are Unicode code points of the text as stored; null
 texts give no piece, items within the limit (or without one) one piece as they
-are; overlaps are shortened to whole words that fill at most half of the limit;
+are; overlaps are shortened to whole words that fill at most half of the limit
+(of a word that is itself cut, the part in the piece before counts as a word);
 an unbroken run longer than the limit is cut between characters, never before a
 combining mark unless marks alone exceed the limit.
 """
