@@ -28,6 +28,8 @@ from ..session import ship_package
 
 # The characters at which Python's str.split() divides.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Finds whether a text has other than single blanks between ASCII symbols; most have not, and stay as they are.
+UNEVEN = "[^!-~ ]|  |^ | $"
 #: References in one automaton (memory of a worker: about 12 pieces of 8 symbols each).
 SHARD_REFS = 12_000
 #: Training texts that one automaton scans before its shard is given to a further task.
@@ -42,7 +44,7 @@ BINS = 64
 def sequence(col: str | Column) -> Column:
     """A phoneme text with single blanks between its symbols; null stays null."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.trim(F.regexp_replace(c, WHITE, " "))
+    return F.when(F.rlike(c, F.lit(UNEVEN)), F.trim(F.regexp_replace(c, WHITE, " "))).otherwise(c)
 
 
 def seq_length(col: str | Column) -> Column:
