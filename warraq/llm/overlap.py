@@ -31,11 +31,11 @@ WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 #: Finds whether a text has other than single blanks between ASCII symbols; most have not, and stay as they are.
 UNEVEN = "[^!-~ ]|  |^ | $"
 #: References in one automaton (memory of a worker: about 12 pieces of 8 symbols each).
-SHARD_REFS = 12_000
+SHARD_REFS = 24_000
 #: Training texts that one automaton scans before its shard is given to a further task.
 CHUNK_TEXTS = 150_000
 #: Length classes grow by this factor, so there are at most a few hundred of them.
-LENGTH_STEP = 1.06
+LENGTH_STEP = 1.12
 #: Pieces beyond the pigeonhole minimum; each adds one to the matches that are required.
 EXTRA_PIECES = 1
 BINS = 64
