@@ -33,7 +33,7 @@ UNEVEN = "[^!-~ ]|  |^ | $"
 #: References in one automaton (memory of a worker: about 12 pieces of 8 symbols each).
 SHARD_REFS = 24_000
 #: Training texts that one automaton scans before its shard is given to a further task.
-CHUNK_TEXTS = 150_000
+CHUNK_TEXTS = 60_000
 #: Length classes grow by this factor, so there are at most a few hundred of them.
 LENGTH_STEP = 1.12
 #: Pieces beyond the pigeonhole minimum; each adds one to the matches that are required.
