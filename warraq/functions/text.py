@@ -1,7 +1,7 @@
 """Text functions: Column -> Column, built-in expressions wherever Spark has them.
 
-Only Unicode normalization, character names and the per-character cleaning
-contract need an Arrow UDF; everything else stays in generated JVM code. Null in,
+Only character names and the per-character cleaning contract need an Arrow UDF;
+everything else stays in the JVM. Null in,
 null out, unless a function says otherwise.
 """
 
@@ -44,15 +44,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-# ---- Unicode normalization (Arrow UDFs) ------------------------------------
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore").astype(object)
+# ---- Unicode normalization ---------------------------------------------------
+# Spark ships ICU for its collations; its compose function is called in the JVM.
+# Such a call counts as non-deterministic for the optimizer, so it is computed
+# once, in a projection, and has to be projected before an aggregate uses it.
+def _composed(x: str | Column, compatibility: bool) -> Column:
+    c = _c(x)
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(compatibility)))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore").astype(object)
+def nfc(x: str | Column) -> Column:
+    return _composed(x, False)
+
+
+def nfkc(x: str | Column) -> Column:
+    return _composed(x, True)
 
 
 @F.pandas_udf(T.StringType())

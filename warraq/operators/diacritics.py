@@ -15,10 +15,11 @@ SCORE = ("positions", "errors", "words", "word_errors", "skeleton_mismatch")
 
 
 def compared(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Adds _pairs: for each word, for each letter, struct(ref marks, hyp marks); null on a letter mismatch."""
+    """Adds _pairs: for each word, for each letter, struct(marked in the reference, differs); null on a letter mismatch."""
     x = rows.withColumn("_rw", X.arabic_words(F.coalesce(F.col(reference), F.lit("")))).withColumn("_hw", X.arabic_words(F.coalesce(F.col(hypothesis), F.lit(""))))
     same = F.transform("_rw", X.strip_marks) == F.transform("_hw", X.strip_marks)
-    pairs = F.zip_with(F.transform("_rw", X.marked_letters), F.transform("_hw", X.marked_letters), lambda r, h: F.zip_with(r, h, lambda a, b: F.struct(a["marks"].alias("r"), b["marks"].alias("h"))))
+    flags = lambda a, b: F.struct((F.size(a["marks"]) > 0).alias("m"), (a["marks"] != b["marks"]).alias("d"))
+    pairs = F.zip_with("_rw", "_hw", lambda r, h: F.zip_with(X.marked_letters(r), X.marked_letters(h), flags))
     return x.withColumn("_pairs", F.when(same, pairs)).drop("_rw", "_hw")
 
 
@@ -26,16 +27,15 @@ def variant_score(pairs: Column, case_endings: bool, marked_only: bool) -> Colum
     """struct of counts for one variant; a mismatch scores no position."""
     def letters(word: Column) -> Column:
         kept = word if case_endings else F.slice(word, 1, F.greatest(F.size(word) - 1, F.lit(0)))
-        return F.filter(kept, lambda p: F.size(p["r"]) > 0) if marked_only else kept
+        return F.filter(kept, lambda p: p["m"]) if marked_only else kept
 
-    per_word = F.transform(pairs, lambda w: F.struct(F.size(letters(w)).alias("p"), F.size(F.filter(letters(w), lambda x: x["r"] != x["h"])).alias("e")))
-    add = lambda f: F.aggregate(per_word, F.lit(0).cast("long"), lambda acc, w: acc + f(w).cast("long"))
+    per_word = F.transform(pairs, lambda w: X.let(letters(w), lambda ls: F.struct(F.size(ls).alias("p"), F.size(F.filter(ls, lambda x: x["d"])).alias("e"))))
     zero = F.lit(0).cast("long")
-    return F.struct(
-        F.coalesce(add(lambda w: w["p"]), zero).alias("positions"), F.coalesce(add(lambda w: w["e"]), zero).alias("errors"),
-        F.coalesce(add(lambda w: (w["p"] > 0).cast("int")), zero).alias("words"), F.coalesce(add(lambda w: (w["e"] > 0).cast("int")), zero).alias("word_errors"),
-        pairs.isNull().cast("long").alias("skeleton_mismatch"),
+    total = lambda ws, f: F.coalesce(F.aggregate(ws, zero, lambda acc, w: acc + f(w).cast("long")), zero)
+    counts = lambda ws: F.struct(
+        total(ws, lambda w: w["p"]).alias("positions"), total(ws, lambda w: w["e"]).alias("errors"), total(ws, lambda w: w["p"] > 0).alias("words"), total(ws, lambda w: w["e"] > 0).alias("word_errors"), ws.isNull().cast("long").alias("skeleton_mismatch")
     )
+    return X.let(per_word, counts)
 
 
 def scores(rows: DataFrame, reference: str, hypothesis: str, by: list[str], variants: dict[str, tuple[bool, bool]] = VARIANTS) -> DataFrame:

@@ -76,8 +76,9 @@ def final_marks(rows: DataFrame, text: str, phonemes: str) -> DataFrame:
 def identity_rates(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Share of rows whose texts are equal, equal in skeleton, and equal without punctuation only."""
     x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    eq = lambda f: F.avg((f(a) == f(b)).cast("double"))
-    return x.agg(F.count("*").alias("rows"), eq(F.col).alias("equal"), eq(X.skeleton).alias("same_skeleton"), eq(X.depunctuated).alias("same_without_punctuation"))
+    same = lambda f, name: (f(a) == f(b)).cast("double").alias(name)
+    y = x.select(same(F.col, "equal"), same(X.skeleton, "same_skeleton"), same(X.depunctuated, "same_without_punctuation"))
+    return y.agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in y.columns))
 
 
 def content_loss(rows: DataFrame, source: str, output: str, least: float = 0.7) -> DataFrame:
