@@ -134,5 +134,13 @@ def phonetize_distinct(rows: DataFrame, text: str, out: str = "phonemes", conven
     return rows.drop(out).join(texts, F.col(text) == F.col("_t"), "left").drop("_t")
 
 
+def phonetize_conditions(texts: DataFrame, condition: str, text: str, convention: str = "pausal") -> DataFrame:
+    """A long table (condition, id, text) with phonemes; a blank text is an error before anything is converted."""
+    blank = texts.where(F.coalesce(X.squeeze(text), F.lit("")) == "")
+    if not blank.isEmpty():
+        raise ValueError(f"blank text in condition {blank.first()[condition]}")
+    return phonetize_distinct(texts, text, "phonemes", convention)
+
+
 def provenance(convention: str) -> dict[str, str]:
     return {"converter": "rules", "convention": convention}

@@ -96,3 +96,16 @@ def cluster_se(counts: DataFrame, cluster: str, replicates: int, seed: int, rate
     v = v[~np.isnan(v)]
     se = float(v.std(ddof=1)) if len(v) > 1 else float("nan")
     return counts.sparkSession.createDataFrame([(len(a), se)], "clusters int, se double")
+
+
+def clip_equivalent_se(counts: DataFrame, cluster: str, clips: str, draws_: int, replicates: int, seed: int, rate: str = "f1") -> DataFrame:
+    """Standard error when clusters are drawn in proportion to their clips, each draw adding a clip's share of the counts."""
+    names, f = RATES[rate]
+    rows = counts.where(F.col(clips) > 0).select(cluster, clips, *names).orderBy(cluster).limit(MOST_CLUSTERS + 1).collect()
+    if not rows or len(rows) > MOST_CLUSTERS:
+        raise ValueError(f"resampling needs 1 to {MOST_CLUSTERS} clusters")
+    n = np.array([r[clips] for r in rows], float)
+    a = np.array([[r[c] for c in names] for r in rows], float) / n[:, None]
+    v = f(np.random.default_rng(seed).multinomial(draws_, n / n.sum(), size=replicates) @ a)
+    v = v[~np.isnan(v)]
+    return counts.sparkSession.createDataFrame([(len(rows), float(v.std(ddof=1)) if len(v) > 1 else float("nan"))], "clusters int, se double")

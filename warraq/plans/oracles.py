@@ -87,6 +87,15 @@ SELECT number::INT AS number, count(*) AS uses, count(*) FILTER (back) AS in_rou
     "first_differences": f"""
 WITH x AS (SELECT DISTINCT row_no, {words('phoneme_ref')} AS a, {words('phoneme_mis')} AS b FROM tts_rows WHERE phoneme_ref IS NOT NULL AND phoneme_mis IS NOT NULL)
 SELECT row_no, list_min(list_filter(range(greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1])) AS "at" FROM x WHERE a <> b""",
+    "three_way_join": """
+WITH x AS (SELECT DISTINCT row_no, speaker, phoneme_ref, coalesce(phoneme_mis, phoneme_ref) AS said FROM tts_rows WHERE phoneme_ref IS NOT NULL), y AS (SELECT *, CASE WHEN row_no % 2 = 0 THEN said ELSE phoneme_ref END AS heard FROM x)
+SELECT row_no AS id, heard = phoneme_ref AS copies_canonical, heard = said AS hears_said FROM y""",
+    "label_differences": f"""
+WITH x AS (SELECT DISTINCT row_no, coalesce(label, '?') AS label, phoneme_ref AS a, coalesce(phoneme_mis, phoneme_ref) AS b FROM tts_rows WHERE phoneme_ref IS NOT NULL)
+SELECT label, count(*) AS rows, count(*) FILTER ({words('a')} <> {words('b')}) AS different, sum(levenshtein({codes('a')}, {codes('b')}))::BIGINT AS distance FROM x GROUP BY label""",
+    "review_order": """
+WITH x AS (SELECT id, max(coalesce(len(flags), -1)) AS n, max(round(rate, 6)) AS rate FROM candidates WHERE id IS NOT NULL GROUP BY id)
+SELECT id, CASE WHEN n > 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END AS tier, rate FROM x ORDER BY tier, coalesce(rate, 0) DESC, id LIMIT 200""",
     "mark_rates": f"SELECT DISTINCT id, sentence, round({rate('sentence')}, 9) AS rate, len({arabic_tokens('sentence')}) AS words FROM train_rows WHERE sentence IS NOT NULL",
     "candidate_pool": f"WITH {POOL} SELECT id, skel, NOT list_has_any(flags, ['no_arabic', 'no_tashkeel', 'pre_vowelized', 'duplicate']) AS eligible, array_to_string(flags, ',') AS flags FROM pool",
     "pool_flag_counts": f"WITH {POOL}, n AS (SELECT unnest(flags) AS flag FROM pool) SELECT v.flag, (SELECT count(*) FROM n WHERE n.flag = v.flag) AS rows FROM (VALUES ({FLAGS})) v(flag)",

@@ -10,6 +10,7 @@ from ..functions import phonemes as P
 from ..functions import rates as R
 from ..functions import text as X
 from ..operators import annotation as A
+from ..operators import comparison as K
 from ..operators import curation as C
 from ..operators import detection as D
 from ..operators import diacritics as M
@@ -110,6 +111,45 @@ def first_differences(spark: SparkSession, d: str) -> DataFrame:
     return x.select("row_no", P.first_difference(P.tokens("phoneme_ref"), P.tokens("phoneme_mis"))["at"].cast("long").alias("at")).where("at is not null")
 
 
+def three_way_join(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the same rows from three tables, with the guard on their keys."""
+    x = _triples(spark, d).withColumn("id", F.col("row_no"))
+    part = lambda c: x.select("id", F.col(c).alias("tokens"))
+    y = K.three_way(part("heard"), part("said"), part("phoneme_ref"))
+    return y.select("id", (F.col("hyp") == F.col("canon")).alias("copies_canonical"), (F.col("hyp") == F.col("ref")).alias("hears_said"))
+
+
+def label_differences(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "tts_rows").where("phoneme_ref is not null").select("row_no", F.coalesce("label", F.lit("?")).alias("label"), "phoneme_ref", F.coalesce("phoneme_mis", "phoneme_ref").alias("m")).distinct()
+    return K.label_differences(x, x.select("row_no", F.col("m").alias("phoneme_ref")), "row_no", "phoneme_ref", "label")
+
+
+def correct_rates(spark: SparkSession, d: str) -> DataFrame:
+    return K.correct_rates(_triples(spark, d), "phoneme_ref", "said", ["speaker"])
+
+
+def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The same rates from single rows and from per-speaker sums: they agree."""
+    c = D.utterance_counts(_triples(spark, d), "phoneme_ref", "said", "heard", ["speaker"])
+    a = D.with_rates(D.pooled(c, ["speaker"]))
+    b = D.with_official_rates(D.pooled(c, ["speaker"]))
+    return K.metric_deltas(a, b, "speaker", ["precision", "recall", "f1", "frr", "accuracy"], 1e-9)
+
+
+def span_recovery(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "verses").where("text is not null and surah is not null and ayah is not null")
+    q = v.where("ayah <= 3").select(F.concat_ws("-", "edition", "surah", "ayah").alias("query_id"), F.array_join(F.slice(X.words("text"), 1, 4), " ").alias("phrase"))
+    m = C.span_matches(v, q, ["edition", "surah"], ["ayah", "verse_id"], "text", "query_id", "phrase")
+    return K.recovery_summary(C.recovery_choice(m, "query_id", ["edition", "surah"]), q, "query_id")
+
+
+def review_order(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in order of review: flagged first, then by marks, by id."""
+    x = read(spark, d, "candidates").where("id is not null").groupBy("id").agg(F.max(F.coalesce(F.size("flags"), F.lit(-1))).alias("n"), F.max(F.round(F.col("rate"), 6)).alias("rate"))
+    y = K.tiered_order(x, [F.col("n") > 1, F.col("n") == 1], "rate", "id")
+    return y.select("id", F.col("tier").cast("long").alias("tier"), "rate").limit(200)
+
+
 # ---- text -----------------------------------------------------------------------
 def cleaning_contract(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "candidates").where("sentence is not null").select("sentence").withColumn("c", X.clean("sentence"))
@@ -416,6 +456,7 @@ def scan_synthetic(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = (
     detection_rates, official_rates, base_rate_probe, final_token_ablation, rates_by_cluster, collapse_report, collapse_verdict, corruption_attribution, alignment_operations,
+    three_way_join, label_differences, correct_rates, metric_deltas, span_recovery, review_order,
     token_edit_distance, vocabulary_codec, phoneme_classes, g2p_round_trip, first_differences,
     cleaning_contract, mark_rates, candidate_pool, pool_flag_counts, duplicate_texts, stacked_marks, diacritic_errors, diacritic_errors_published, dagger_survival, draft_quality, restored_punctuation, mark_errors,
     skeleton_overlap, contamination, holdout_filter, holdout_union, canonical_policy, key_overlap, clean_blocks, span_search,

@@ -75,3 +75,37 @@ def paired_or_fail(left: DataFrame, right: DataFrame, key: str, value: str) -> D
 def write_speaker_splits(df: DataFrame, path: str, speaker: str, dev: str) -> None:
     """Partitions by split: one speaker goes to dev."""
     df.withColumn("split", F.when(F.col(speaker) == dev, "dev").otherwise("train")).write.partitionBy("split").parquet(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """A text cache, one object a line; the committer makes it appear whole or not at all."""
+    df.write.mode("errorifexists").json(path)
+
+
+def copy_listed(files: DataFrame, ids: DataFrame, folder: str, most: int = 100_000) -> int:
+    """Copies the files (path, content) whose clip id is listed into a folder; returns how many (refuses more than `most`)."""
+    from ..functions.text import utterance_id
+
+    x = files.withColumn("id", utterance_id("path")).join(ids.select("id").distinct(), "id", "left_semi")
+    n = x.count()
+    if n > most:
+        raise ValueError("too many files for a copy through the driver")
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    for r in x.toLocalIterator():
+        (target / r.path.rsplit("/", 1)[-1]).write_bytes(bytes(r.content))
+    return n
+
+
+def write_packet(items: DataFrame, folder: str, instructions: str, most: int = 10_000) -> None:
+    """One draw rendered twice: blank.txt without marks, gold.json with them; and the instructions. items: item, text."""
+    from ..functions.text import strip_marks
+
+    rows = items.select("item", "text", strip_marks("text").alias("blank")).orderBy("item").limit(most + 1).collect()
+    if not rows or len(rows) > most:
+        raise ValueError(f"a packet has 1 to {most} items")
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    (target / "blank.txt").write_text("".join(f"## Item {r.item} of {len(rows)}\n{r.blank}\n\n> \n\n" for r in rows), encoding="utf-8")
+    (target / "gold.json").write_text(json.dumps({"items": [{"item": r.item, "text": r.text, "blank": r.blank} for r in rows]}, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    (target / "instructions.md").write_text(instructions, encoding="utf-8")
