@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import langid, leaks, lookalike, mixture, overlap, pieces, quota, splits
+from . import langid, leaks, lookalike, mixture, oracles, overlap, pieces, quota, splits
 
 
 def _p1(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -133,19 +133,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
 
 
-_TRIMMED = "lower(regexp_replace({}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
-
-_P4_FOUND = f"""
-WITH rows AS (SELECT DISTINCT id, {_TRIMMED.format("stratum")} AS s, disagreement AS x FROM msa_pilot_sample WHERE id IS NOT NULL AND disagreement IS NOT NULL AND NOT isnan(disagreement)),
-n AS (SELECT t.category, count(DISTINCT rows.id) AS supply FROM sample_targets t LEFT JOIN rows ON rows.s = t.stratum AND rows.x >= t.band_low AND rows.x < t.band_high GROUP BY t.category)
-SELECT t.category FROM sample_targets t JOIN n USING (category) WHERE n.supply < greatest(t.target_share * t.sample_rows, t.min_rows)"""
-
-_P5_FOUND = f"""
-WITH items AS (SELECT batch_id, tool, unnest(texts) AS text, unnest(range(len(texts))) AS p FROM chunked_batches WHERE texts IS NOT NULL)
-SELECT DISTINCT l.tool, items.batch_id || ':' || p AS item_key FROM items JOIN tool_limits l ON l.tool = {_TRIMMED.format("items.tool")} WHERE length(text) > l.max_input_chars
-UNION
-SELECT DISTINCT l.tool, 'v' || verse_id FROM verses JOIN tool_limits l ON length(text) > l.max_input_chars"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p5_found": _P5_FOUND}
+    return oracles.oracle_sql()
