@@ -69,6 +69,32 @@ def codes(x: str) -> str:
     return f"array_to_string(list_transform({words(x)}, lambda t: chr((33 + list_position({VOC}, t))::INT)), '')"
 
 
+def letter_groups(w: str) -> str:
+    """Letters of a word with their scored marks, as strings."""
+    clean = rf"regexp_replace(regexp_replace({w}, '[\x{{0653}}-\x{{0655}}\x{{06D6}}-\x{{06ED}}\x{{0640}}]', '', 'g'), '^{SCORED}+', '')"
+    return f"regexp_extract_all({clean}, '[^\\x{{064B}}-\\x{{0652}}\\x{{0670}}]{SCORED}*')"
+
+
+def mark_set(g: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({g}, '{SCORED}')))"
+
+
+def der(ref: str, hyp: str, by: str, table: str) -> str:
+    """Positions and errors of the four variants, letter by letter."""
+    return f"""
+WITH t AS (SELECT {by}, row_number() OVER () AS id, {arabic_words(f"coalesce({ref}, '')")} AS r, {arabic_words(f"coalesce({hyp}, '')")} AS h FROM {table} WHERE {ref} IS NOT NULL AND {hyp} IS NOT NULL),
+s AS (SELECT *, list_transform(r, lambda w: {strip('w')}) = list_transform(h, lambda w: {strip('w')}) AS same FROM t),
+w AS (SELECT {by}, id, unnest(range(len(r))) AS wi, unnest(r) AS rw, unnest(h) AS hw FROM s WHERE same),
+l AS (SELECT {by}, id, wi, len({letter_groups('rw')}) AS n, unnest(range(len({letter_groups('rw')}))) AS li, unnest({letter_groups('rw')}) AS rg, unnest({letter_groups('hw')}) AS hg FROM w),
+m AS (SELECT {by}, id, wi, li = n - 1 AS final, len({mark_set('rg')}) > 0 AS marked, {mark_set('rg')} <> {mark_set('hg')} AS differs FROM l),
+v AS (SELECT * FROM (VALUES ('ce_all', true, false), ('noce_all', false, false), ('ce_markedonly', true, true), ('noce_markedonly', false, true)) v(variant, ce, mo)),
+x AS (SELECT {by}, variant, id, wi, count(*) AS p, count(*) FILTER (differs) AS e FROM m, v WHERE (ce OR NOT final) AND (marked OR NOT mo) GROUP BY ALL),
+g AS (SELECT {by}, variant, sum(p)::BIGINT AS positions, sum(e)::BIGINT AS errors, count(*) AS words, count(*) FILTER (e > 0) AS word_errors FROM x GROUP BY ALL),
+b AS (SELECT {by}, variant, count(*) AS rows, count(*) FILTER (NOT same) AS skeleton_mismatch FROM s, v GROUP BY ALL)
+SELECT b.{by}, b.variant, rows, coalesce(positions, 0) AS positions, coalesce(errors, 0) AS errors, coalesce(words, 0) AS words, coalesce(word_errors, 0) AS word_errors, skeleton_mismatch, coalesce(errors / nullif(positions, 0)::DOUBLE, 0) AS der, coalesce(word_errors / nullif(words, 0)::DOUBLE, 0) AS wer
+FROM b LEFT JOIN g ON g.{by} = b.{by} AND g.variant = b.variant"""
+
+
 LATE = "l_quantity > 25"
 WILSON_P = "(k / n::DOUBLE)"
 Z = "1.959963984540054"
@@ -96,6 +122,30 @@ SELECT label, count(*) AS rows, count(*) FILTER ({words('a')} <> {words('b')}) A
     "review_order": """
 WITH x AS (SELECT id, max(coalesce(len(flags), -1)) AS n, max(round(rate, 6)) AS rate FROM candidates WHERE id IS NOT NULL GROUP BY id)
 SELECT id, CASE WHEN n > 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END AS tier, rate FROM x ORDER BY tier, coalesce(rate, 0) DESC, id LIMIT 200""",
+    "diacritic_errors": der("tashkeel_sentence", "sentence", "source", "train_rows"),
+    "marked_positions": f"""
+WITH t AS (SELECT source, {arabic_words("coalesce(tashkeel_sentence, '')")} AS w FROM train_rows), w AS (SELECT source, unnest(w) AS w FROM t), l AS (SELECT source, len({letter_groups('w')}) AS n, unnest(range(len({letter_groups('w')}))) AS i, unnest({letter_groups('w')}) AS g FROM w),
+s AS (SELECT DISTINCT source FROM w)
+SELECT s.source, count(*) FILTER (len({mark_set('g')}) > 0 AND i = n - 1) AS final, count(*) FILTER (len({mark_set('g')}) > 0 AND i < n - 1) AS other FROM s LEFT JOIN l ON l.source IS NOT DISTINCT FROM s.source GROUP BY s.source""",
+    "liaison_sites": f"""
+WITH t AS (SELECT split, sentence, tashkeel_sentence, {arabic_words('tashkeel_sentence')} AS r, {arabic_words('sentence')} AS f FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL),
+u AS (SELECT *, list_filter(range(len(r)), lambda i: i < len(r) - 1 AND starts_with({strip('r[i + 2]')}, 'ال') AND list_contains({mark_set(letter_groups('r[i + 1]') + '[-1]')}, chr(1618))) AS sites FROM t)
+SELECT split, coalesce(sum(len(sites)), 0)::BIGINT AS sites, coalesce(sum(CASE WHEN len(r) = len(f) THEN len(list_filter(sites, lambda i: list_has_any({mark_set(letter_groups('f[i + 1]') + '[-1]')}, [chr(1614), chr(1615), chr(1616)]))) END), 0)::BIGINT AS breaks, 0::BIGINT AS blocking FROM u GROUP BY split""",
+    "draft_quality": f"""
+WITH x AS (SELECT coalesce(sentence, '') AS s, coalesce(tashkeel_sentence, '') AS d FROM candidates)
+SELECT count(*) AS rows, count(*) FILTER ({skeleton('s')} <> {skeleton('d')}) AS skeleton_differs, count(*) FILTER (len({arabic_words('s')}) <> len({arabic_words('d')})) AS words_differ,
+  count(*) FILTER (regexp_replace(s, '[\\p{{L}}\\p{{N}}]|{MARKS}|{SP}', '', 'g') <> regexp_replace(d, '[\\p{{L}}\\p{{N}}]|{MARKS}|{SP}', '', 'g')) AS punctuation_differs,
+  sum(list_sum(list_transform(string_split_regex(regexp_replace(d, '[^\\x{{064B}}-\\x{{0650}}\\x{{0652}}]', ' ', 'g'), ' +'), lambda g: greatest(length(g) - 1, 0))))::BIGINT AS stacked FROM x""",
+    "collapse_report": f"""
+WITH x AS (SELECT DISTINCT row_no, label, phoneme_ref AS c, coalesce(phoneme_mis, phoneme_ref) AS t FROM tts_rows WHERE phoneme_ref IS NOT NULL), y AS (SELECT (row_no % 2)::INT AS arm, {codes('c')} AS c, {codes('t')} AS t, CASE WHEN row_no % 3 = 0 THEN {codes('t')} ELSE {codes('c')} END AS p FROM x)
+SELECT arm, count(*) AS utterances, count(*) FILTER (p = c) / count(*)::DOUBLE AS copy_rate, count(*) FILTER (c <> t) AS informative_utterances, count(*) FILTER (c <> t AND levenshtein(p, c) < levenshtein(p, t)) / count(*) FILTER (c <> t)::DOUBLE AS canonical_preference FROM y GROUP BY arm""",
+    "annotation_problems": """
+WITH b AS (SELECT id, (regexp_replace(id, '[^0-9]', '', 'g')::BIGINT % 100000) AS rank FROM candidates WHERE id IS NOT NULL GROUP BY id), c AS (SELECT id, rank, rank % 5 = 0 AS x FROM b),
+a AS (SELECT id, rank, annotator, CASE WHEN NOT x OR (annotator = 'a1') = (rank < 25) THEN 'anchored' ELSE 'blank' END AS condition FROM c, (VALUES ('a1'), ('a2')) v(annotator) WHERE x OR (rank % 2 = 0) = (annotator = 'a1')),
+r AS (SELECT *, CASE WHEN rank % 7 = 0 THEN 'other' ELSE condition END AS cond, condition = 'anchored' OR rank % 11 = 0 AS suggested FROM a),
+u AS (SELECT *, 1 AS n FROM r UNION ALL SELECT *, 2 FROM r WHERE rank % 13 = 0)
+SELECT annotator, CASE WHEN cond = 'other' THEN 'wrong_condition' WHEN n = 2 THEN 'duplicate' WHEN cond = 'blank' AND suggested THEN 'unblinded' ELSE 'ok' END AS problem, count(*) AS rows FROM u GROUP BY 1, 2
+UNION ALL SELECT annotator, 'unknown', count(*) FROM u WHERE rank % 17 = 0 AND n = 1 GROUP BY 1""",
     "mark_rates": f"SELECT DISTINCT id, sentence, round({rate('sentence')}, 9) AS rate, len({arabic_tokens('sentence')}) AS words FROM train_rows WHERE sentence IS NOT NULL",
     "candidate_pool": f"WITH {POOL} SELECT id, skel, NOT list_has_any(flags, ['no_arabic', 'no_tashkeel', 'pre_vowelized', 'duplicate']) AS eligible, array_to_string(flags, ',') AS flags FROM pool",
     "pool_flag_counts": f"WITH {POOL}, n AS (SELECT unnest(flags) AS flag FROM pool) SELECT v.flag, (SELECT count(*) FROM n WHERE n.flag = v.flag) AS rows FROM (VALUES ({FLAGS})) v(flag)",
@@ -137,6 +187,7 @@ c AS (SELECT edition, surah, flatten(list(w ORDER BY ayah, verse_id, w)) AS w FR
 p AS (SELECT edition, surah, w, unnest(range(len(w))) AS position FROM c),
 n AS (SELECT DISTINCT len(g) AS n_words FROM q WHERE len(g) > 0)
 SELECT q.query_id, p.edition, p.surah, p.position, n.n_words FROM p JOIN n ON p.position + n.n_words <= len(p.w) JOIN q ON len(q.g) = n.n_words AND q.g = p.w[p.position + 1 : p.position + n.n_words]""",
+    "span_recovery": "",
     "character_audit": rf"""
 WITH x AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي\x{{064B}}-\x{{0652}}\x{{0670}}]|{SP}', '', 'g'), '(?s).')) AS ch FROM documents WHERE text IS NOT NULL)
 SELECT ch, CASE WHEN regexp_matches(ch, '\p{{P}}') THEN 'punctuation' WHEN regexp_matches(ch, '\p{{Nd}}') THEN 'digit' WHEN regexp_matches(ch, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS class, count(*) AS n FROM x GROUP BY 1, 2""",
@@ -199,3 +250,8 @@ SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM y GROUP B
     "scan_training": f"SELECT DISTINCT id, coalesce(len({words('phoneme_ref')}), -1) AS tokens FROM train_rows WHERE split = 'train'",
     "scan_synthetic": f"SELECT DISTINCT 'iqra_tts_' || row_no AS id, speaker, coalesce(len({words('phoneme_ref')}), -1) AS tokens FROM tts_rows",
 }
+
+SQL["span_recovery"] = f"""
+WITH m AS ({SQL['span_search']}), k AS (SELECT query_id, count(*) AS n FROM m GROUP BY query_id),
+q AS (SELECT DISTINCT edition || '-' || surah || '-' || ayah AS query_id FROM verses WHERE text IS NOT NULL AND surah IS NOT NULL AND ayah <= 3)
+SELECT count(*) AS queries, count(n) AS located, count(*) FILTER (n = 1) AS unique_place, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n IS NULL) AS missing FROM q LEFT JOIN k USING (query_id)"""
