@@ -140,13 +140,14 @@ class ByteNet:
         for i, w in enumerate(WIDTHS):
             cols, at = keep[w]
             dz = dh[:, i * FILTERS : (i + 1) * FILTERS]  # n, FILTERS
-            picked = np.take_along_axis(np.broadcast_to(cols[:, :, None, :], (n, cols.shape[1], 1, cols.shape[2])), at[:, :, None, None].transpose(0, 1, 2, 3), 1)[:, :, 0]  # n, FILTERS, w*EMBED
+            picked = cols[np.arange(n)[:, None], at]  # n, FILTERS, w*EMBED
             g[f"C{w}"] = np.einsum("nf,nfk->kf", dz, picked)
             g[f"c{w}"] = dz.sum(0)
             de = dz[:, :, None] * self.p[f"C{w}"].T[None]  # n, FILTERS, w*EMBED
             for j in range(w):
                 byte = x[np.arange(n)[:, None], at + j]
-                np.add.at(g["E"], byte.ravel(), de[:, :, j * EMBED : (j + 1) * EMBED].reshape(-1, EMBED))
+                cell = (byte[:, :, None].astype(np.int64) * EMBED + np.arange(EMBED)).ravel()
+                g["E"] += np.bincount(cell, de[:, :, j * EMBED : (j + 1) * EMBED].ravel(), 256 * EMBED).reshape(256, EMBED).astype(np.float32)
         g["E"][0] = 0
         for k, v in self.p.items():
             m, s = adam.setdefault(k, (np.zeros_like(v), np.zeros_like(v)))

@@ -8,7 +8,6 @@ the same when their letters are).
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -26,6 +25,9 @@ LOOK_ALIKE = {
     "ک": "ك", "ڪ": "ك", "ی": "ي", "ھ": "ه", "ہ": "ه", "ە": "ه",
     "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩",
 }
+# Code points outside these ranges are ideographs, syllables, private
+# or unassigned ones, which have no shape, mark or invisible character to map.
+SEARCHED = [range(0x0000, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x17000), range(0x1B000, 0x20000), range(0xE0000, 0xE0200)]
 SHAPE_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 HAMZA_ABOVE, HAMZA_BELOW, TATWEEL = "ٔ", "ٕ", "ـ"
 
@@ -43,21 +45,22 @@ def is_invisible(ch: str) -> bool:
     return (cat == "Cf" and not _within(cp, VISIBLE_FORMAT)) or _within(cp, IGNORABLE) or (cat == "Cc" and not is_blank(ch))
 
 
+def searched():
+    return (chr(cp) for r in SEARCHED for cp in r)
+
+
 @lru_cache(1)
 def tables() -> dict:
     """Rule-built tables: blanks, invisible, shapes (one to one), ligatures (one to many), look_alike."""
     blanks, invisible, shapes, ligatures = [], [], {}, {}
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
+    for ch in searched():
         if is_blank(ch):
             blanks.append(ch)
         elif is_invisible(ch):
             invisible.append(ch)
         else:
             tag, *rest = unicodedata.decomposition(ch).split() or [""]
-            if tag in SHAPE_TAGS or (tag == "<compat>" and 0xFB00 <= cp <= 0xFB4F):
+            if tag in SHAPE_TAGS or (tag == "<compat>" and "\ufb00" <= ch <= "\ufb4f"):
                 out = unicodedata.normalize("NFKC", ch)
                 if out and not out[0].isspace() and out[0] != TATWEEL:
                     (shapes if len(out) == 1 else ligatures)[ch] = out
@@ -75,9 +78,9 @@ def tables() -> dict:
 def _word_tables() -> tuple[dict, re.Pattern]:
     t = tables()
     gone = {ord(c): None for c in t["invisible"]} | {ord(TATWEEL): None}
-    for cp in range(sys.maxunicode + 1):
-        if not 0xD800 <= cp <= 0xDFFF and unicodedata.category(chr(cp)) in ("Mn", "Me") and chr(cp) not in (HAMZA_ABOVE, HAMZA_BELOW):
-            gone[cp] = None
+    for ch in searched():
+        if unicodedata.category(ch) in ("Mn", "Me") and ch not in (HAMZA_ABOVE, HAMZA_BELOW):
+            gone[ord(ch)] = None
     same = {ord(a): b for a, b in t["look_alike"].items()} | {ord("ٱ"): "ا"}
     return gone | same, re.compile(r"[^\W_]+", re.UNICODE)
 
