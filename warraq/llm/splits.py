@@ -110,7 +110,7 @@ def _anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.n
     return best_state
 
 
-def assign(recs: DataFrame, proportions=PROPORTIONS, names=NAMES, chains: int = 4, seed: int = 17, steps: int = 4000) -> DataFrame:
+def assign(recs: DataFrame, proportions=PROPORTIONS, names=NAMES, chains: int = 4, seed: int = 17, steps: int = 12_000) -> DataFrame:
     """records -> rec, group_key, split: tied records never cross splits."""
     spark = recs.sparkSession
     ship_package(spark)
