@@ -33,6 +33,8 @@ from .thresholds import below, hash_order, prefix_thresholds
 MOST_SAMPLES = 20_000
 #: Labelled documents of each language that the second training may use (all, if there are fewer).
 DOCS_PER_LANGUAGE = 400
+#: Longer documents (in characters) are not used for fitting, so the sample's size is bounded too.
+MOST_CHARACTERS = 20_000
 WINDOW, WIDTHS, FILTERS, EMBED = 32, (1, 2, 3, 4, 5), 24, 12
 EPOCHS, MORE_EPOCHS, BATCH, RATE = 40, 12, 64, 0.004
 SWITCH, LEAST = -8.0, -7.0
@@ -291,7 +293,7 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, most: int = MOST_SAMP
     lines = [(r.lang, r.text) for r in rows]
     net = train(lines)
     if docs is not None:
-        labelled = docs.select("doc_id", label_language("lang").alias("grp"), hash_order("doc_id", seed=3).alias("h"), F.lit(1).alias("w"), "text").where("grp is not null and text is not null")
+        labelled = docs.select("doc_id", label_language("lang").alias("grp"), hash_order("doc_id", seed=3).alias("h"), F.lit(1).alias("w"), "text").where(F.col("grp").isNotNull() & (F.length("text") <= MOST_CHARACTERS))
         cuts = prefix_thresholds(labelled.select("grp", "h", "w"), dict.fromkeys(sorted({k for k, _ in lines}), per_language))
         train_further(net, lines, [(r.grp, r.text) for r in labelled.where(below(cuts)).select("grp", "text", "doc_id").orderBy("doc_id").collect()])
     return net

@@ -51,7 +51,7 @@ def searched():
 
 @lru_cache(1)
 def tables() -> dict:
-    """Rule-built tables: blanks, invisible, shapes (one to one), ligatures (one to many), look_alike."""
+    """Rule-built tables: blanks, invisible, shapes (one to one), ligatures (one to many), look_alike, composed."""
     blanks, invisible, shapes, ligatures = [], [], {}, {}
     for ch in searched():
         if is_blank(ch):
@@ -71,7 +71,12 @@ def tables() -> dict:
             out = unicodedata.normalize("NFC", LOOK_ALIKE[parts[0]] + parts[1:])
             if len(out) == 1:
                 look[chr(cp)] = out
-    return {"blanks": blanks, "invisible": invisible, "shapes": shapes, "ligatures": ligatures, "look_alike": look}
+    composed = {}  # letters that carry marks: base and the marks in order
+    for ch in searched():
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and unicodedata.category(ch)[0] == "L" and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            composed[ch] = parts
+    return {"composed": composed, "blanks": blanks, "invisible": invisible, "shapes": shapes, "ligatures": ligatures, "look_alike": look}
 
 
 @lru_cache(1)

@@ -10,6 +10,7 @@ empty string. Texts of any length are processed whole.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,18 @@ def _class(chars) -> str:
     return "[" + "".join(parts) + "]"
 
 
+def _taken_apart(composed: dict[str, str]) -> str:
+    """SQL: a cluster g whose letter carries marks, as its bare letter with all of its marks sorted."""
+    first = "g[1]"
+    part = lambda i: f"translate({first}, {_sql_text(''.join(composed))}, {_sql_text(''.join(v[i] for v in composed.values()))})"
+    deep = {a: v for a, v in composed.items() if len(v) > 2}
+    marks = f"{part(1)} || regexp_replace(g, '(?s)^.', '')"
+    for i in range(2, max(map(len, composed.values()))):
+        own = {a: v for a, v in deep.items() if len(v) > i}
+        marks += f" || CASE WHEN regexp_matches({first}, {_sql_text(_class(own))}) THEN translate({first}, {_sql_text(''.join(own))}, {_sql_text(''.join(v[i] for v in own.values()))}) ELSE '' END"
+    return f"{part(0)} || array_to_string(list_sort(regexp_extract_all({marks}, '\\p{{M}}')), '')"
+
+
 def canonical_sql(source: str = "batch") -> str:
     """The embedded SQL: rid, text -> rid, canon. The table `ligature`(ch, letters) must exist."""
     t = letters.tables()
@@ -52,6 +65,10 @@ def canonical_sql(source: str = "batch") -> str:
     tos = "".join(one_to_one.values())
     odd = _class(list(one_to_one) + t["invisible"])
     lig = _class(t["ligatures"])
+    arabic = {a: b for a, b in t["composed"].items() if "\u0600" <= a <= "\u06ff"}
+    other = {a: b for a, b in t["composed"].items() if a not in arabic}
+    pre, other_pre = _class(t["composed"]), _class(other)
+    in_order = "g[1] || array_to_string(list_sort(regexp_extract_all(g, '\\p{M}')), '')"
     return f"""
 WITH a AS (
   SELECT rid, CASE WHEN regexp_matches(text, {_sql_text(odd)}) THEN translate(text, {_sql_text(froms)}, {_sql_text(tos)}) ELSE text END AS s FROM {source}
@@ -64,9 +81,12 @@ WITH a AS (
   SELECT a.rid, nfc_normalize(replace(regexp_replace(coalesce(joined.s, a.s), '{YEH}(\\p{{M}}*)($|[^\\p{{L}}\\p{{M}}])', '{DOTLESS_YEH}\\1\\2', 'g'), '{YEH}', '{DOTTED_YEH}')) AS s
   FROM a LEFT JOIN joined USING (rid)
 ), c AS (
-  SELECT rid, CASE WHEN regexp_matches(s, '\\p{{M}}{{2}}') THEN
-    array_to_string(list_transform(regexp_extract_all(s, '(?s)\\P{{M}}\\p{{M}}*|\\p{{M}}+'), lambda g:
-      CASE WHEN regexp_matches(g, '\\p{{M}}{{2}}') THEN regexp_extract(g, '(?s)^\\P{{M}}?') || array_to_string(list_sort(regexp_extract_all(g, '\\p{{M}}')), '') ELSE g END), '')
+  SELECT rid, CASE WHEN regexp_matches(s, '\\p{{M}}{{2}}|{pre}\\p{{M}}') THEN
+    nfc_normalize(array_to_string(list_transform(regexp_extract_all(' ' || s, '(?s)\\P{{M}}\\p{{M}}*'), lambda g: CASE
+      WHEN length(g) < 2 THEN g
+      WHEN g >= '{chr(0x600)}' AND g < '{chr(0x700)}' THEN CASE WHEN g[1] IN ({', '.join(map(_sql_text, arabic))}) THEN {_taken_apart(arabic)} WHEN length(g) = 2 THEN g ELSE {in_order} END
+      WHEN regexp_matches(g, '^{other_pre}') THEN {_taken_apart(other)}
+      WHEN length(g) = 2 THEN g ELSE {in_order} END), ''))
     ELSE s END AS s FROM b
 )
 SELECT rid, trim(regexp_replace(s, ' +', ' ', 'g'), ' ') AS canon FROM c ORDER BY rid"""
@@ -93,6 +113,24 @@ class Canonicaliser:
         return pa.chunked_array(got.chunks, type=got.type).combine_chunks().cast(pa.string())
 
 
+#: Bytes of text that DuckDB is given at a time (one longer text goes alone).
+SLICE_BYTES = 8 << 20
+
+
+def by_size(batch: pa.RecordBatch, text: str):
+    """A batch as tables of at most SLICE_BYTES of text each."""
+    t = pa.Table.from_batches([batch])
+    sizes = pc.fill_null(pc.binary_length(t.column(text)), 0).to_pylist()
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if total + n > SLICE_BYTES and i > lo:
+            yield t.slice(lo, i - lo)
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield t.slice(lo)
+
+
 def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     """Adds the consistent form of column `text`; a column of the name `out` is replaced."""
     ship_package(df.sparkSession)
@@ -102,8 +140,7 @@ def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     def run(batches):
         make = Canonicaliser()
         for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
+            for t in by_size(b, text):
                 col = t.column(text).combine_chunks().cast(pa.string())
                 yield from t.append_column(out, make(col)).to_batches()
 
