@@ -38,6 +38,18 @@ def test_more_forms(spark):
     assert again == got
 
 
+def test_order_of_marks_never_counts(spark):
+    import unicodedata
+
+    r = random.Random(6)
+    marks = [chr(c) for c in (0x64B, 0x64E, 0x651, 0x652, 0x653, 0x654, 0x655, 0x670, 0x6D6, 0x6DA, 0x6E3, 0x300, 0x301, 0x304, 0x307, 0x308, 0x323, 0x327)]
+    clusters = [[(r.choice("اويبaeunsAO"), r.choices(marks, k=r.randrange(4))) for _ in range(6)] for _ in range(1500)]
+    one = ["".join(b + "".join(m) for b, m in c) for c in clusters]
+    two = [unicodedata.normalize(r.choice(["NFC", "NFD"]), "".join(b + "".join(r.sample(m, len(m))) for b, m in c)) for c in clusters]
+    got = forms(spark, one + two)
+    assert got[:1500] == got[1500:]
+
+
 def test_large_batches_are_sliced(spark, monkeypatch):
     import pyarrow as pa
 

@@ -51,7 +51,7 @@ def searched():
 
 @lru_cache(1)
 def tables() -> dict:
-    """Rule-built tables: blanks, invisible, shapes (one to one), ligatures (one to many), look_alike, composed."""
+    """Rule-built tables: blanks, invisible, shapes (one to one), ligatures (one to many), look_alike, composed, marks."""
     blanks, invisible, shapes, ligatures = [], [], {}, {}
     for ch in searched():
         if is_blank(ch):
@@ -76,7 +76,11 @@ def tables() -> dict:
         parts = unicodedata.normalize("NFD", ch)
         if len(parts) > 1 and unicodedata.category(ch)[0] == "L" and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
             composed[ch] = parts
-    return {"composed": composed, "blanks": blanks, "invisible": invisible, "shapes": shapes, "ligatures": ligatures, "look_alike": look}
+    marks: dict[int, list[str]] = {}  # combining marks by their class
+    for ch in searched():
+        if unicodedata.category(ch) == "Mn" and ch not in invisible:
+            marks.setdefault(unicodedata.combining(ch), []).append(ch)
+    return {"marks": marks, "composed": composed, "blanks": blanks, "invisible": invisible, "shapes": shapes, "ligatures": ligatures, "look_alike": look}
 
 
 @lru_cache(1)

@@ -40,6 +40,28 @@ def _class(chars) -> str:
     return "[" + "".join(parts) + "]"
 
 
+def _doubled(t: dict) -> list[str]:
+    """Composed letters that hold two marks of one class themselves."""
+    cls = {m: k for k, ms in t["marks"].items() for m in ms}
+    return [a for a, v in t["composed"].items() if len({cls.get(m) for m in v[1:]}) < len(v) - 1]
+
+
+def _unsettled(t: dict) -> str:
+    """A pattern for clusters whose marks composition leaves in the order given: two of one combining class, or any of class 0."""
+    parts = []
+    for cls, marks in sorted(t["marks"].items()):
+        own = _class(marks)
+        if cls == 0:
+            parts += [f"{own}\\p{{M}}", f"\\p{{M}}{own}"]
+            continue
+        if len(marks) > 1:
+            parts.append(f"{own}{{2}}")
+        holders = [a for a, v in t["composed"].items() if any(m in marks for m in v[1:])]
+        if holders:
+            parts.append(f"{_class(holders)}\\p{{M}}*{own}")
+    return "|".join([*parts, _class(_doubled(t))])
+
+
 def _taken_apart(composed: dict[str, str]) -> str:
     """SQL: a cluster g whose letter carries marks, as its bare letter with all of its marks sorted."""
     first = "g[1]"
@@ -67,7 +89,7 @@ def canonical_sql(source: str = "batch") -> str:
     lig = _class(t["ligatures"])
     arabic = {a: b for a, b in t["composed"].items() if "\u0600" <= a <= "\u06ff"}
     other = {a: b for a, b in t["composed"].items() if a not in arabic}
-    pre, other_pre = _class(t["composed"]), _class(other)
+    other_pre, unsettled = _class(other), _unsettled(t)
     in_order = "g[1] || array_to_string(list_sort(regexp_extract_all(g, '\\p{M}')), '')"
     return f"""
 WITH a AS (
@@ -81,9 +103,9 @@ WITH a AS (
   SELECT a.rid, nfc_normalize(replace(regexp_replace(coalesce(joined.s, a.s), '{YEH}(\\p{{M}}*)($|[^\\p{{L}}\\p{{M}}])', '{DOTLESS_YEH}\\1\\2', 'g'), '{YEH}', '{DOTTED_YEH}')) AS s
   FROM a LEFT JOIN joined USING (rid)
 ), c AS (
-  SELECT rid, CASE WHEN regexp_matches(s, '\\p{{M}}{{2}}|{pre}\\p{{M}}') THEN
+  SELECT rid, CASE WHEN regexp_matches(s, {_sql_text(unsettled)}) THEN
     nfc_normalize(array_to_string(list_transform(regexp_extract_all(' ' || s, '(?s)\\P{{M}}\\p{{M}}*'), lambda g: CASE
-      WHEN length(g) < 2 THEN g
+      WHEN length(g) < 2 AND NOT regexp_matches(g, {_sql_text(_class(_doubled(t)))}) THEN g
       WHEN g >= '{chr(0x600)}' AND g < '{chr(0x700)}' THEN CASE WHEN g[1] IN ({', '.join(map(_sql_text, arabic))}) THEN {_taken_apart(arabic)} WHEN length(g) = 2 THEN g ELSE {in_order} END
       WHEN regexp_matches(g, '^{other_pre}') THEN {_taken_apart(other)}
       WHEN length(g) = 2 THEN g ELSE {in_order} END), ''))
