@@ -113,6 +113,17 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((x.doc_id, x.item_id) for x in leaks.leaks(a, b).collect()) == [(i, i) for i in range(5)]
 
 
+def test_edited_copies_are_found(spark):
+    items = [(i, [f"{chr(97 + i)}{j:02}{j:02}" for j in range(14)]) for i in range(14)]
+    docs = [(i, ["z"] * 3 + w[:i] + ["edited"] + w[i + 1 :] + ["z"]) for i, w in items]  # each item's only copy, one word replaced
+    docs += [(100, items[0][1][:5] + ["q"] + items[0][1][6:9] + ["q"] + items[0][1][10:]), (101, items[1][1])]  # five words left in a row, at either end; a whole copy besides the edited one
+    a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.score, x.from_word, x.to_word) for x in leaks.leaks(a, b).collect()}
+    aligned = {(d, i): leaks.align(v, w) for d, w in docs for i, v in items}
+    assert got == {k: x for k, x in aligned.items() if x[0] >= leaks.MATCH * leaks.LEAST_WORDS} and len(got) == 16
+
+
 def test_alignment_scores_edited_copies():
     src = [f"word{i}" for i in range(20)]
     assert leaks.align(src, ["x"] * 5 + src + ["y"]) == (40, 5, 25)

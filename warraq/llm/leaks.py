@@ -1,14 +1,14 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman.
+"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman.
 
-Every run of `run` shared words contains the rarest n-gram of the item's window
-that it covers, so those n-grams (rarity counted over all documents) are seeds
-enough. Documents are read once: those with any n-gram of an item are kept with
-their folded words; seeds join them to the items; each joined pair is aligned
-locally, word by word, around its seeds.
+Every n-gram of an item is a seed, however many documents hold it: an edited copy
+may keep any of them and lose the others. Documents are read once: those with any
+n-gram of an item are kept with their folded words; seeds join them to the items;
+each joined pair is aligned locally, word by word, around its seeds.
 
 Defined results: null or empty texts contain nothing; items of fewer than n words
-have no seeds and are never found; repeated documents each come out under their
-own id; documents of any length are processed whole.
+have no seeds and are never found, nor are copies so edited that no n words in a
+row are left; repeated documents each come out under their own id; documents of
+any length are processed whole.
 """
 
 from __future__ import annotations
@@ -76,23 +76,16 @@ def longest_run(item: list[str], part: list[str]) -> int:
     return best
 
 
-def choose_seeds(words: list[str], counts: dict[tuple, int]) -> set[tuple]:
-    """The rarest n-gram of each window of RUN words (of all, if there are fewer); ties go to the first."""
-    grams = [tuple(words[i : i + NGRAM]) for i in range(len(words) - NGRAM + 1)]
-    span = RUN - NGRAM + 1
-    return {min(grams[i : i + span], key=lambda g: counts.get(g, 0)) for i in range(max(1, len(grams) - span + 1))} if grams else set()
-
-
 def _leaks_of(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     spark = docs.sparkSession
-    grams: dict[tuple, int] = {}
-    for _, words in items:
-        for i in range(len(words) - NGRAM + 1):
-            grams.setdefault(tuple(words[i : i + NGRAM]), len(grams))
-    known = spark.sparkContext.broadcast(grams)  # n-grams of at most BLOCK_ITEMS items
+    seeds: dict[tuple, list[int]] = {}
+    for k, (_, words) in enumerate(items):
+        for g in {tuple(words[i : i + NGRAM]) for i in range(len(words) - NGRAM + 1)}:
+            seeds.setdefault(g, []).append(k)
+    sent = spark.sparkContext.broadcast((items, seeds))  # n-grams of at most BLOCK_ITEMS items
 
     def scan(batches):
-        words, table = Words(), known.value
+        words, table = Words(), sent.value[1]
         heads = {g[:2] for g in table}
         for b in batches:
             ids, texts, at = [], [], []
@@ -107,23 +100,6 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
 
     kept = cut(docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(scan, "doc_id long, words string, hits array<int>"))
 
-    def count(batches):
-        table, n = known.value, {}
-        for b in batches:
-            for t, hits in zip(b.column("words").to_pylist(), b.column("hits").to_pylist()):
-                w = t.split(" ")
-                for g in {table[tuple(w[j : j + NGRAM])] for j in hits}:
-                    n[g] = n.get(g, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["g", "n"])
-
-    seen = {r.g: r.n for r in kept.mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    counts = {g: seen.get(k, 0) for g, k in grams.items()}
-    seeds: dict[tuple, list[int]] = {}
-    for k, (_, words) in enumerate(items):
-        for g in choose_seeds(words, counts):
-            seeds.setdefault(g, []).append(k)
-    sent = spark.sparkContext.broadcast((items, seeds))  # as bounded as the n-grams
-
     def pair(batches):
         all_items, joined = sent.value
         for b in batches:
