@@ -133,27 +133,32 @@ def clean_keys(all_: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     return all_.select(key).distinct().join(bad.select(key).distinct(), key, "left_anti")
 
 
-#: Different query lengths that one search may have.
-MOST_LENGTHS = 1_000
+#: Words of a piece by which phrases are met in the corpus.
+PIECE_WORDS = 8
 
 
 def span_matches(corpus: DataFrame, queries: DataFrame, part: list[str], order: list[str], text: str, query_id: str, query: str) -> DataFrame:
     """Places where the query's n skeleton words follow one another in a part of the corpus.
 
     part names a bounded unit such as a chapter of an edition: its words are put in
-    one row, and a span does not cross its end. For every length n that a query
-    has, n-grams are joined by equality. Result: query_id, part..., position
-    (0-based word of the part), n_words.
+    one row, and a span does not cross its end. Phrases of any length are cut into
+    pieces of at most PIECE_WORDS words that cover them whole; pieces are joined to
+    the corpus by equality, and a phrase lies where all its pieces do. Result:
+    query_id, part..., position (0-based word of the part), n_words.
     """
-    q = queries.select(query_id, X.words(X.skeleton(query)).alias("_q")).where("size(_q) > 0").select(query_id, F.size("_q").alias("n_words"), F.array_join("_q", " ").alias("gram")).distinct()
-    lengths = sorted(r.n_words for r in q.select("n_words").distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"queries of more than {MOST_LENGTHS} different lengths")
+    q = queries.select(query_id, X.words(X.skeleton(query)).alias("_q")).where("size(_q) > 0").select(query_id, F.sha2(F.array_join("_q", " "), 256).alias("_k"), "_q").distinct()
+    at = F.when(F.size("_q") <= PIECE_WORDS, F.array(F.lit(0))).otherwise(F.expr(f"array_distinct(concat(sequence(0, greatest(size(_q) - {PIECE_WORDS}, 0), {PIECE_WORDS}), array(size(_q) - {PIECE_WORDS})))"))
+    phrases = q.select("_k", "_q", F.size("_q").alias("n_words"), at.alias("_at")).dropDuplicates(["_k"])
+    pieces = phrases.select("_k", "_q", "n_words", F.size("_at").alias("_pieces"), F.explode("_at").alias("_off")).select("_k", "n_words", "_pieces", "_off", F.least("n_words", F.lit(PIECE_WORDS)).alias("_n"), F.expr(f"array_join(slice(_q, _off + 1, {PIECE_WORDS}), ' ')").alias("gram"))
+    lengths = sorted(r[0] for r in pieces.select("_n").distinct().collect())  # at most PIECE_WORDS
     lines = corpus.where(F.col(text).isNotNull()).select(*part, F.struct(*order).alias("_o"), X.words(X.skeleton(text)).alias("_w")).distinct()
     whole = lines.groupBy(*part).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_w"))), lambda r: r["_w"])).alias("_w"))
-    grams = whole.select(*part, "_w", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n_words")).where("size(_w) >= n_words")
-    grams = grams.select(*part, "n_words", F.posexplode(F.expr("transform(sequence(0, size(_w) - n_words), i -> array_join(slice(_w, i + 1, n_words), ' '))")).alias("position", "gram"))
-    return grams.join(q, ["n_words", "gram"]).select(query_id, *part, "position", "n_words")
+    grams = whole.select(*part, "_w", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).where("size(_w) >= _n")
+    grams = grams.select(*part, "_n", F.posexplode(F.expr("transform(sequence(0, size(_w) - _n), i -> array_join(slice(_w, i + 1, _n), ' '))")).alias("_p", "gram"))
+    met = grams.join(pieces, ["_n", "gram"]).select("_k", *part, (F.col("_p") - F.col("_off")).alias("position"), "n_words", "_pieces")
+    several = met.where("_pieces > 1").groupBy("_k", *part, "position", "n_words", "_pieces").agg(F.count("*").alias("_met")).where("_met = _pieces")
+    found = met.where("_pieces = 1").drop("_pieces").unionByName(several.drop("_pieces", "_met"))
+    return found.join(q.select(query_id, "_k"), "_k").select(query_id, *part, "position", "n_words")
 
 
 def recovery_choice(matches: DataFrame, query_id: str, part: list[str], overrides: DataFrame | None = None) -> DataFrame:

@@ -136,9 +136,16 @@ def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
     return K.metric_deltas(a, b, "speaker", ["precision", "recall", "f1", "frr", "accuracy"], 1e-9)
 
 
-def span_recovery(spark: SparkSession, d: str) -> DataFrame:
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Verses, and the phrases searched in them: every verse and every candidate sentence, whole."""
     v = read(spark, d, "verses").where("text is not null and surah is not null and ayah is not null")
-    q = v.where("ayah <= 3").select(F.concat_ws("-", "edition", "surah", "ayah").alias("query_id"), F.array_join(F.slice(X.words("text"), 1, 4), " ").alias("phrase"))
+    c = read(spark, d, "candidates").where("id is not null and sentence is not null")
+    q = v.select(F.concat_ws("-", "edition", "surah", "ayah").alias("query_id"), F.col("text").alias("phrase"))
+    return v, q.unionByName(c.select(F.concat_ws("-", F.lit("candidate"), "id").alias("query_id"), F.col("sentence").alias("phrase")))
+
+
+def span_recovery(spark: SparkSession, d: str) -> DataFrame:
+    v, q = _spans(spark, d)
     m = C.span_matches(v, q, ["edition", "surah"], ["ayah", "verse_id"], "text", "query_id", "phrase")
     return K.recovery_summary(C.recovery_choice(m, "query_id", ["edition", "surah"]), q, "query_id")
 
@@ -251,9 +258,8 @@ def clean_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_search(spark: SparkSession, d: str) -> DataFrame:
-    """Where the words of short candidate sentences and verse openings follow one another in a chapter."""
-    v = read(spark, d, "verses").where("text is not null and surah is not null and ayah is not null")
-    q = v.where("ayah <= 3").select(F.concat_ws("-", "edition", "surah", "ayah").alias("query_id"), F.array_join(F.slice(X.words("text"), 1, 4), " ").alias("phrase"))
+    """Where the words of candidate sentences and verses follow one another in a chapter."""
+    v, q = _spans(spark, d)
     return C.span_matches(v, q, ["edition", "surah"], ["ayah", "verse_id"], "text", "query_id", "phrase").select("query_id", "edition", "surah", F.col("position").cast("long").alias("position"), F.col("n_words").cast("long").alias("n_words"))
 
 
