@@ -154,7 +154,7 @@ def review_order(spark: SparkSession, d: str) -> DataFrame:
     """Candidates in order of review: flagged first, then by marks, by id."""
     x = read(spark, d, "candidates").where("id is not null").groupBy("id").agg(F.max(F.coalesce(F.size("flags"), F.lit(-1))).alias("n"), F.max(F.round(F.col("rate"), 6)).alias("rate"))
     y = K.tiered_order(x, [F.col("n") > 1, F.col("n") == 1], "rate", "id")
-    return y.select("id", F.col("tier").cast("long").alias("tier"), "rate").limit(200)
+    return y.select("id", F.col("tier").cast("long").alias("tier"), "rate")
 
 
 # ---- text -----------------------------------------------------------------------
