@@ -185,3 +185,18 @@ def test_held_out_accuracy(sf):
         n += 1
         right += net.classes[int(langid.word_scores(net, words).sum(0).argmax())] == lang
     assert right / n >= 0.95
+
+
+def test_every_document_has_a_language(spark):
+    docs = spark.createDataFrame([(1, "x", "ar"), (2, "b t", None), (3, None, "fr"), (4, " ", None), (4, " ", None), (5, "?", "??"), (6, "x", "en"), (None, "x", "en")], "doc_id long, text string, lang string")
+    segs = spark.createDataFrame([(1, "ar", "ar", 6, 0.5), (1, "ar", "zxx", 9, 1.0), (1, "ar", "en", 2, 0.9), (2, None, "zxx", 1, 0.5), (2, None, "zxx", 3, 0.9), (6, "en", "en", 2, 0.25)], "doc_id long, label string, lang string, n_words int, confidence double")
+    got = sorted((x.doc_id, x.lang, round(x.confidence, 6), x.n_languages, x.label_ok) for x in langid.document_languages(segs, docs).collect())
+    assert got == [(1, "ar", 0.375, 1, True), (2, "zxx", 0.8, 0, False), (3, "zxx", 1.0, 0, False), (4, "zxx", 1.0, 0, False), (5, "zxx", 1.0, 0, False), (6, "en", 0.25, 0, True)]
+
+
+def test_query_has_every_document(spark, sf):
+    from warraq.llm import catalog
+
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select("doc_id").collect()}
+    rows = catalog.p8_documents(spark, sf).collect()
+    assert {r.doc_id for r in rows} == ids and all(r.lang and r.confidence is not None for r in rows)

@@ -126,7 +126,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
-    return langid.document_languages(_p8(spark, d))
+    return langid.document_languages(_p8(spark, d), read(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

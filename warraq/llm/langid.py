@@ -359,11 +359,21 @@ def segments(docs: DataFrame, samples: DataFrame) -> DataFrame:
     return docs.where("text is not null and doc_id is not null").select("doc_id", label_language("lang").alias("label"), "text").mapInArrow(run, _SHAPE)
 
 
-def document_languages(segs: DataFrame) -> DataFrame:
-    """doc_id, lang (most words; ties to the first code), confidence, n_languages of passages, label_ok."""
-    per = segs.where(F.col("lang") != NONE).groupBy("doc_id", "label", "lang").agg(F.sum("n_words").alias("words"), F.max("n_words").alias("longest"), F.sum(F.col("confidence") * F.col("n_words")).alias("mass"))
-    best = per.groupBy("doc_id", "label").agg(F.min_by(F.struct("lang", "words", "mass"), F.struct(-F.col("words"), F.col("lang"))).alias("b"), F.sum("words").alias("all"), F.count_if(F.col("longest") >= PASSAGE).alias("n_languages"))
-    return best.select("doc_id", "b.lang", (F.col("b.mass") / F.col("all")).alias("confidence"), "n_languages", F.coalesce(F.col("label") == F.col("b.lang"), F.lit(False)).alias("label_ok"))
+def document_languages(segs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang (most words; ties to the first code), confidence, n_languages of passages, label_ok.
+
+    A document of phoneme symbols only has lang 'zxx' and their mean probability.
+    With docs, those without a word (null and blank texts too) are there as well:
+    lang 'zxx', confidence 1.
+    """
+    spoken = F.col("lang") != NONE
+    runs = segs.select("doc_id", "label", "lang", "n_words", "confidence")
+    if docs is not None:
+        every = docs.where("doc_id is not null").select("doc_id", label_language("lang").alias("label")).distinct()
+        runs = runs.unionByName(every.select("doc_id", "label", F.lit(NONE).alias("lang"), F.lit(0).alias("n_words"), F.lit(0.0).alias("confidence")))
+    per = runs.groupBy("doc_id", "label", "lang").agg(F.sum("n_words").alias("words"), F.max("n_words").alias("longest"), F.sum(F.col("confidence") * F.col("n_words")).alias("mass"))
+    best = per.groupBy("doc_id", "label").agg(F.min_by(F.struct("lang", "words", "mass"), F.struct(~spoken, -F.col("words"), F.col("lang"))).alias("b"), F.coalesce(F.sum(F.when(spoken, F.col("words"))), F.max("words")).alias("all"), F.count_if(spoken & (F.col("longest") >= PASSAGE)).alias("n_languages"))
+    return best.select("doc_id", "b.lang", F.when(F.col("all") > 0, F.col("b.mass") / F.col("all")).otherwise(1.0).alias("confidence"), "n_languages", F.coalesce(F.col("label") == F.col("b.lang"), F.lit(False)).alias("label_ok"))
 
 
 def unlabelled_passages(segs: DataFrame) -> DataFrame:
