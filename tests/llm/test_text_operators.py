@@ -105,12 +105,51 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(a.limit(0), b).count() == 0 and leaks.leaks(a, b.limit(0)).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
-    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(5)]
-    a = spark.createDataFrame([(i, "z " + t) for i, t in enumerate(texts)], "doc_id long, text string")
+def test_a_crowded_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "FILTER_BITS", 16)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(400)]  # 22,400 seeds for 65,536 bits
+    a = spark.createDataFrame([(i, "z " + t) for i, t in enumerate(texts)] + [(9000 + i, " ".join(f"q{i}y{j}" for j in range(30))) for i in range(200)], "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
-    assert sorted((x.doc_id, x.item_id) for x in leaks.leaks(a, b).collect()) == [(i, i) for i in range(5)]
+    assert sorted((x.doc_id, x.item_id) for x in leaks.leaks(a, b).collect()) == [(i, i) for i in range(400)]
+
+
+def smith_waterman(item, part):
+    """Cell by cell: the best score."""
+    rows = [[0] * (len(part) + 1) for _ in range(len(item) + 1)]
+    for i, w in enumerate(item, 1):
+        for j, x in enumerate(part, 1):
+            s = leaks.MATCH if w == x else leaks.NEAR if leaks._close(w, x) else leaks.MISMATCH
+            rows[i][j] = max(0, rows[i - 1][j - 1] + s, rows[i - 1][j] + leaks.GAP, rows[i][j - 1] + leaks.GAP)
+    return max(map(max, rows))
+
+
+def test_alignment_equals_cell_by_cell(monkeypatch):
+    monkeypatch.setattr(leaks, "ROW_CELLS", 60)
+    r = random.Random(11)
+    word = lambda: r.choice("ab") + "".join(r.choices("xy", k=r.randrange(1, 5)))
+    pairs = [([word() for _ in range(r.randrange(0, 12))], [word() for _ in range(r.randrange(0, 20))]) for _ in range(400)]
+    for (item, part), (s, a, e, run) in zip(pairs, leaks.align_many(pairs).tolist()):
+        assert s == smith_waterman(item, part) == smith_waterman(item, part[a:e])
+        assert run == max((n for i in range(len(item)) for n in range(1, len(item) - i + 1) if any(item[i : i + n] == part[j : j + n] for j in range(len(part)))), default=0)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.2])
+def test_recall_on_edited_copies(spark, rate):
+    """Items of 20 words, each copy with every word replaced, dropped or joined by another with the given probability."""
+    r = random.Random(int(rate * 100))
+    items = [(i, [f"{chr(97 + i % 26)}{r.randrange(10**6)}" for _ in range(20)]) for i in range(400)]
+
+    def edit(words):
+        for w in words:
+            if r.random() >= rate:
+                yield w
+            else:
+                yield from r.choice([["other"], [], [w, "more"]])
+
+    docs = [(i, " ".join(["z"] * r.randrange(30) + list(edit(w)) + ["y"] * r.randrange(30))) for i, w in items]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert all(d == i for d, i in got) and len(got) >= 0.9 * len(items)
 
 
 def test_edited_copies_are_found(spark):

@@ -86,7 +86,9 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d).where(F.col("run_words") >= leaks.RUN).select("doc_id", "item_id").distinct()
+    """Aligned pairs whose score a run of ten words must reach; the exact run follows as a check."""
+    scored = _p6(spark, d).where(F.col("score") >= leaks.MATCH * leaks.RUN)
+    return scored.where(F.col("run_words") >= leaks.RUN).select("doc_id", "item_id").distinct()
 
 
 def p6_alignments(spark: SparkSession, d: str) -> DataFrame:
