@@ -66,6 +66,31 @@ def test_pairs_with_dirt(spark):
     assert lookalike.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_copies_are_paired_text_by_text(spark, monkeypatch):
+    """A third of all rows under one look: each variant meets all copies, copies never meet one another."""
+    from warraq.llm import members
+
+    monkeypatch.setattr(members, "SHARE", 40)
+    monkeypatch.setattr(members, "MOST_LARGE", 1)
+    rows = [("s", f"k{i:04}", "same text") for i in range(500)] + [("s", "v1", "same  text"), ("s", "v2", "same\u00a0text")] + [("s", f"o{i:04}", f"other {i // 2}" + " " * (i % 2)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "field_name string, rec_key string, text string")
+    got = sorted(map(tuple, lookalike.look_alike_pairs(df).collect()))
+    want = {("s", f"k{i:04}", v) for i in range(500) for v in ("v1", "v2")} | {("s", "v1", "v2")} | {("s", f"o{i:04}", f"o{i + 1:04}") for i in range(0, 1000, 2)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_classes(spark):
+    rows = [("s", "1", "a b"), ("s", "2", "a b"), ("s", "2", "a b"), ("s", "3", "a\u00a0b"), ("s", "4", None), (None, "5", "a b"), ("t", "6", "")]
+    got = sorted((r.rec_key, r.canon, r.differs, r.n_rows) for r in lookalike.look_alike_classes(spark.createDataFrame(rows, "field_name string, rec_key string, text string")).where("field_name is not null").collect())
+    assert got == [("1", "a b", True, 3), ("2", "a b", True, 3), ("3", "a b", True, 3), ("6", "", False, 1)]
+
+
+def test_styled_letters_and_more_alphabets(spark):
+    got = forms(spark, ["\U0001d400\U0001d41b1", "Ab1", "ρ", "p", "օ", "o", "²", "2", "①", "1", "ª", "a"])
+    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5]
+    assert got[6] != got[7] and got[8] != got[9] and got[10] != got[11]
+
+
 def test_word_forms():
     w = letters.words_of
     assert w("كَتَبَ، الــرجل") == ["كتب", "الرجل"] and w("کتب") == w("كتب") and w("ﻛﺘﺐ") == w("كتب")

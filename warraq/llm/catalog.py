@@ -47,6 +47,11 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_canonical(_p3(spark, d), "text").select("field_name", "rec_key", "canon")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its class: the consistent form's digest, whether the class holds different strings, and its rows."""
+    return lookalike.look_alike_classes(_p3(spark, d)).select("field_name", "rec_key", F.sha2("canon", 256).alias("class_id"), "differs", "n_rows").distinct()
+
+
 def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return quota.draw(read(spark, d, "msa_pilot_sample"), read(spark, d, "sample_targets"))
 
@@ -132,7 +137,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

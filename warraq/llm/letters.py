@@ -22,13 +22,17 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "ρ": "p", "օ": "o", "Օ": "O", "ս": "u", "Ս": "U", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ѵ": "v", "ɡ": "g", "ɑ": "a",
     "ک": "ك", "ڪ": "ك", "ی": "ي", "ھ": "ه", "ہ": "ه", "ە": "ه",
     "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩",
 }
 # Code points outside these ranges are ideographs, syllables, private
 # or unassigned ones, which have no shape, mark or invisible character to map.
 SEARCHED = [range(0x0000, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x17000), range(0x1B000, 0x20000), range(0xE0000, 0xE0200)]
-SHAPE_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
+# Compatibility forms that show the same letter in the same place. Raised,
+# lowered, encircled and squared forms, fractions and letters in brackets are other signs
+# to the eye and stay as they are.
+SHAPE_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<font>")
 HAMZA_ABOVE, HAMZA_BELOW, TATWEEL = "ٔ", "ٕ", "ـ"
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship_package
-from . import letters
+from . import letters, members
 
 
 # The Persian yeh has no dots at a word's end, where it looks like
@@ -184,13 +184,17 @@ def look_alike_classes(texts: DataFrame) -> DataFrame:
 def look_alike_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (field_name, key_a < key_b) of records whose texts differ as strings but look the same.
 
-    A group of exact copies alone is never expanded: only classes that hold at
-    least two different strings are joined, text by text first.
+    The different texts of a class are paired first; only then does each pair of
+    texts get the records of its two sides. Exact copies are never paired with one
+    another, so no row is made that is not a result.
     """
-    rows = look_alike_classes(texts).where("differs").select("field_name", F.xxhash64("canon").alias("h"), "canon", "rec_key", "text")
-    a = rows.select("field_name", "h", "canon", F.col("rec_key").alias("key_a"), F.col("text").alias("text_a"))
-    b = rows.select("field_name", "h", "canon", F.col("rec_key").alias("key_b"), F.col("text").alias("text_b"))
-    return a.join(b, ["field_name", "h", "canon"]).where("key_a < key_b and text_a != text_b").select("field_name", "key_a", "key_b").distinct()
+    rows = look_alike_classes(texts).where("differs").select("field_name", F.sha2("canon", 256).alias("look"), F.sha2("text", 256).alias("t"), "rec_key")
+    kinds = rows.groupBy("field_name", "look", "t").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: kinds.select("field_name", "look", F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), ["field_name", "look"]).where("t_a < t_b")
+    found = members.expand(pairs, rows.select("field_name", F.col("t").alias("t_a"), F.col("rec_key").alias("one")), ["field_name", "t_a"], "n_a", "one")
+    found = members.expand(found, rows.select("field_name", F.col("t").alias("t_b"), F.col("rec_key").alias("two")), ["field_name", "t_b"], "n_b", "two")
+    return found.where("one != two").select("field_name", F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b")).distinct()
 
 
 def field_texts(candidates: DataFrame, verses: DataFrame) -> DataFrame:
