@@ -143,5 +143,53 @@ def test_annealing_never_worsens():
         hl = np.stack([l[x == j].sum(0) for j in range(3)])
         return np.abs(have - w).sum() + 0.5 * np.abs(hl - wl).sum()
 
-    best = splits._anneal(s, l, start, w, wl, rng, 3000)
-    assert cost(best) < 0.2 * cost(start)
+    starts = np.stack([start, rng.integers(0, 3, 200)])
+    for before, best in zip(starts, splits._anneal(s, l, starts, w, wl, rng, 12)):
+        assert cost(best) < 0.2 * cost(before)
+    alone = splits._anneal(np.array([5.0]), np.ones((1, 4)), np.array([[1]]), want * 5, want[:, None] * np.ones((3, 4)), rng, 12)
+    assert alone.tolist() == [[0]]
+
+
+def test_every_partition_works_on_all_of_its_components(spark, monkeypatch):
+    """Sizes of all classes, one group with a third of the rows, several partitions: shares are met and the work follows the components."""
+    monkeypatch.setattr(splits, "PART_COMPONENTS", 150)
+    r = random.Random(8)
+    rows = [(f"h{i:04}", "u", None, None, "hot", None, None) for i in range(900)]
+    rows += [(f"g{g}x{i:03}", f"st{g % 4}", None, None, f"g{g}", None, None) for g in range(60) for i in range(r.choice([2, 3, 6, 20, 40]))]
+    rows += [(f"s{i:04}", f"st{i % 4}", None, None, None, None, None) for i in range(900)]
+    _, _, hold, _ = tables(spark)
+    recs = splits.records(spark.createDataFrame(rows, PILOT), hold.limit(0))
+    for want in ((0.8, 0.1, 0.1), (0.5, 0.3, 0.2)):
+        out = splits.assign(recs, want)
+        got = {x.split: x.share for x in splits.split_report(out).collect()}
+        assert all(abs(got[n] - w) < 0.01 for n, w in zip(splits.NAMES, want)), got
+        of = collections.defaultdict(set)
+        for x in out.collect():
+            of[x.group_key].add(x.split)
+        assert all(len(v) == 1 for v in of.values())
+
+
+def test_hot_keys_are_divided(spark, monkeypatch):
+    from warraq.llm import members
+
+    monkeypatch.setattr(members, "SHARE", 25)
+    monkeypatch.setattr(members, "MOST_LARGE", 2)
+    ties = [(f"h{i:03}", "hot") for i in range(200)] + [(f"h{i:03}", "warm") for i in range(150, 400)] + [(f"z{i:03}", "mild") for i in range(60)] + [(f"z{i:03}", f"own{i}") for i in range(60)]
+    got = {(x.rec, x.root) for x in graph.components(graph.star_edges(spark.createDataFrame(ties, "rec string, attr string"))).collect()}
+    assert got == {(f"h{i:03}", "h000") for i in range(400)} | {(f"z{i:03}", "z000") for i in range(60)}
+
+
+def test_pairs_of_hot_sequences(spark, monkeypatch):
+    """One sequence holds a third of the training rows and many references: compared once, expanded last."""
+    from warraq.llm import members
+
+    monkeypatch.setattr(members, "SHARE", 30)
+    hot = " ".join("abcdefghij" * 2)
+    train = spark.createDataFrame([(f"t{i:03}", hot, "train", "s", "k", 0, 0) for i in range(200)] + [(f"u{i:03}", hot + f" x{i % 7}", "train", "s", "k", 0, 0) for i in range(100)], TRAIN)
+    _, tts, hold, _ = tables(spark)
+    pilot = spark.createDataFrame([(f"p{i:02}", "u", None, hot, None, None, None) for i in range(40)], PILOT)
+    none = hold.limit(0)
+    got = {(r.eval_key, r.train_key) for r in overlap.cross_split_pairs(train, tts.limit(0), none, pilot).collect()}
+    assert len(got) == 40 * 300
+    classes = overlap.overlap_classes(train, tts.limit(0), none, pilot).collect()
+    assert sorted((c.distance, c.eval_records, c.train_records) for c in classes) == [(0, 40, 200)] + sorted((1, 40, n) for n in [15, 15, 14, 14, 14, 14, 14])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from . import members
 
 # The characters at which Python's str.split() divides.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -259,15 +260,40 @@ def training_texts(train: DataFrame, tts: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def text_pairs(refs: DataFrame, texts: DataFrame) -> DataFrame:
+    """refs(seq), texts(seq) -> ref, seq, distance, covered: near pairs of different sequences, each compared once."""
+    distinct = texts.where("seq is not null").select(F.col("seq").alias("train_key"), "seq").distinct()
+    return near_pairs(refs, distinct).groupBy("ref", "train_key").agg(F.min("distance").alias("distance"), F.max("covered").alias("covered")).withColumnRenamed("train_key", "seq")
+
+
 def cross_split_pairs(train: DataFrame, tts: DataFrame, holdout: DataFrame, pilot: DataFrame) -> DataFrame:
-    """All overlapping pairs: eval_key, eval_set, train_key, how (id, text)."""
+    """All overlapping pairs: eval_key, eval_set, train_key, how (id, text).
+
+    Different sequences are compared; the records of either side join last, in
+    shares where one sequence has many, so copies are scanned once and nothing but
+    results is made of them.
+    """
     refs, ids = eval_entries(holdout, pilot)
     texts = training_texts(train, tts)
     keys = texts.select("train_key").where("train_key is not null").distinct()
     by_id = ids.join(keys, "train_key").select("eval_key", "eval_set", "train_key", F.lit("id").alias("how"))
-    near = near_pairs(refs.select("seq"), texts.select("train_key", "seq")).select(F.col("ref").alias("seq"), "train_key").distinct()
-    by_text = refs.where("seq is not null").distinct().join(near, "seq").select("eval_key", "eval_set", "train_key", F.lit("text").alias("how"))
-    return by_id.unionByName(by_text).distinct()
+    a = refs.where("seq is not null").select("eval_key", "eval_set", F.xxhash64("seq").alias("r"), F.col("seq").alias("ref")).distinct()
+    b = texts.where("seq is not null and train_key is not null").select("train_key", F.xxhash64("seq").alias("t"), "seq").distinct()
+    near = text_pairs(refs.select("seq"), b.select("seq")).select("ref", F.xxhash64("ref").alias("r"), "seq", F.xxhash64("seq").alias("t"))
+    found = members.join_divided(near, b, ["t", "seq"], members.large_keys(b.groupBy("t", "seq").agg(F.count(F.lit(1)).alias("n")), ["t", "seq"], "n"), "train_key")
+    found = members.join_divided(found.select("ref", "r", "train_key"), a, ["r", "ref"], members.large_keys(a.groupBy("r", "ref").agg(F.count(F.lit(1)).alias("n")), ["r", "ref"], "n"), "eval_key")
+    return by_id.unionByName(found.select("eval_key", "eval_set", "train_key", F.lit("text").alias("how"))).distinct()
+
+
+def overlap_classes(train: DataFrame, tts: DataFrame, holdout: DataFrame, pilot: DataFrame) -> DataFrame:
+    """Pairs of representatives (ref, text: digests of sequences) with their distance and the records on either side."""
+    refs, _ = eval_entries(holdout, pilot)
+    texts = training_texts(train, tts)
+    digest = lambda c, n: F.sha2(c, 256).alias(n)
+    evals = refs.where("seq is not null").groupBy(digest("seq", "ref")).agg(F.count_distinct("eval_key").alias("eval_records"))
+    trains = texts.where("seq is not null and train_key is not null").groupBy(digest("seq", "text")).agg(F.count_distinct("train_key").alias("train_records"))
+    near = text_pairs(refs.select("seq"), texts.where("train_key is not null").select("seq")).select(digest("ref", "ref"), digest("seq", "text"), "distance", "covered")
+    return near.join(evals, "ref").join(trains, "text")
 
 
 def overlap_report(train: DataFrame, tts: DataFrame, holdout: DataFrame, pilot: DataFrame) -> DataFrame:
