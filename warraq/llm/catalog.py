@@ -23,18 +23,27 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*_p1(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(*_p1(spark, d))
+
+
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     return splits.records(read(spark, d, "msa_pilot_sample"), read(spark, d, "holdout"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.tied_groups(_p2(spark, d)).select(F.col("rec").alias("rec_key"), F.col("root").alias("group_key"))
+    """The groups of two or more as the split search assigned them."""
+    return splits.assign(_p2(spark, d)).where("group_size > 1").select(F.col("rec").alias("rec_key"), "group_key")
 
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(_p2(spark, d)).select(F.col("rec").alias("rec_key"), "group_key", "split")
 
 
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(splits.assign(_p2(spark, d)))
+
+
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.field_texts(read(spark, d, "candidates"), read(spark, d, "verses"))
 
@@ -137,7 +146,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_splits, p2_report, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,9 +4,10 @@ Records that share a speaker, the words of their sentence or a phoneme sequence
 form components. A start from hashed assignment is improved by moving whole
 components and exchanging them between splits: several annealing chains run in
 parallel over partitions of the components, each partition answering for its
-share of the targets, and the chain with the least deviation of sizes and
-labels is kept. Components larger than a thousandth of all rows (at most a
-thousand of them) are placed first, by the same search in one place.
+share of the targets, with steps in proportion to its components, and the chain
+with the least deviation of sizes and labels is kept. Components are searched by
+classes of size, the largest first, each class for what the larger ones left of
+the targets; every class is treated alike.
 
 Defined results: null or blank speakers, and sentences without words, tie
 nobody; a record whose fields are all null is a component of its own; repeated
@@ -22,16 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship_package
-from . import graph
+from . import graph, members
 from .letters import Words
 from .overlap import sequence
 
 #: Labels are counted in this many hashed bins.
 LABEL_BINS = 16
 #: Components per annealing partition (one partition is a few MB).
-PART_COMPONENTS = 50_000
-#: A component with more than this share of the rows is placed in the first, central search.
-LARGE_SHARE = 0.001
+PART_COMPONENTS = 10_000
 PROPORTIONS = (0.8, 0.1, 0.1)
 NAMES = ("train", "validation", "test")
 
@@ -63,123 +62,125 @@ def tied_groups(recs: DataFrame) -> DataFrame:
     return graph.components(graph.star_edges(ties))
 
 
-def _anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.ndarray, want_labels: np.ndarray, rng: np.random.Generator, steps: int) -> np.ndarray:
-    """Moves and exchanges of whole components under a falling temperature; the best state seen."""
-    n, k = len(sizes), len(want)
-    state = start.copy()
-    have = np.bincount(state, weights=sizes, minlength=k)
-    have_l = np.zeros((k, labels.shape[1]))
-    np.add.at(have_l, state, labels)
-    total = max(1.0, sizes.sum())
-
-    def cost(h, hl):
-        return np.abs(h - want).sum() + 0.5 * np.abs(hl - want_labels).sum()
-
-    now = best = cost(have, have_l)
-    best_state = state.copy()
-    heat = 0.02 * total
-    cool = 0.001 ** (1 / max(1, steps))
-    picks, partners, dice = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.random((steps, 2))
-    for i in range(steps):
-        a, b = picks[i], partners[i]
-        sa = state[a]
-        exchange = dice[i, 0] < 0.5 and state[b] != sa
-        sb = state[b] if exchange else int(dice[i, 0] * 7919) % k
-        if sa == sb:
-            continue
-        ds = sizes[a] - (sizes[b] if exchange else 0)
-        dl = labels[a] - (labels[b] if exchange else 0)
-        have[sa] -= ds
-        have[sb] += ds
-        have_l[sa] -= dl
-        have_l[sb] += dl
-        new = cost(have, have_l)
-        if new <= now or dice[i, 1] < np.exp((now - new) / max(heat, 1e-9)):
-            now = new
-            state[a] = sb
-            if exchange:
-                state[b] = sa
-            if now < best:
-                best, best_state = now, state.copy()
-        else:
-            have[sa] += ds
-            have[sb] -= ds
-            have_l[sa] += dl
-            have_l[sb] -= dl
-        heat *= cool
-    return best_state
-
-
-def assign(recs: DataFrame, proportions=PROPORTIONS, names=NAMES, chains: int = 4, seed: int = 17, steps: int = 12_000) -> DataFrame:
-    """records -> rec, group_key, split: tied records never cross splits."""
+def _cost(have: np.ndarray, have_l: np.ndarray, want: np.ndarray, want_l: np.ndarray) -> np.ndarray:
+    """Deviation of sizes and, at half their weight, of labels, for each chain."""
+    return np.abs(have - want).sum(-1) + 0.5 * np.abs(have_l - want_l).sum((-2, -1))
+
+
+def _anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.ndarray, want_labels: np.ndarray, rng: np.random.Generator, sweeps: int) -> np.ndarray:
+    """Moves and exchanges of whole components under a falling temperature, all chains in step.
+
+    start: chains x components. Each chain proposes `sweeps` times as many steps as
+    there are components; of the states at the end of each sweep, and the start, the
+    best is kept.
+    """
+    chains, n = start.shape
+    k = len(want)
+    state, row = start.copy(), np.arange(chains)
+    have = np.stack([np.bincount(x, weights=sizes, minlength=k) for x in state])
+    have_l = np.zeros((chains, k, labels.shape[1]))
+    for c in range(chains):
+        np.add.at(have_l[c], state[c], labels)
+    now = _cost(have, have_l, want, want_labels)
+    best, kept = now.copy(), start.copy()
+    steps = sweeps * n
+    heat, cool = max(float(now.mean()) / n, 2.0 * float(sizes.mean())), 0.001 ** (1 / max(1, steps))
+    for _ in range(sweeps):
+        picks, partners, target = (rng.integers(0, top, (n, chains)) for top in (n, n, k))
+        dice, kind = rng.random((n, chains)), rng.random((n, chains)) < 0.5
+        for i in range(n):
+            a, b = picks[i], partners[i]
+            sa, sb_ = state[row, a], state[row, b]
+            exchange = kind[i] & (sb_ != sa)
+            sb = np.where(exchange, sb_, target[i])
+            ds = sizes[a] - np.where(exchange, sizes[b], 0)
+            dl = labels[a] - np.where(exchange[:, None], labels[b], 0)
+            h, hl = have.copy(), have_l.copy()
+            h[row, sa] -= ds
+            h[row, sb] += ds
+            hl[row, sa] -= dl
+            hl[row, sb] += dl
+            new = _cost(h, hl, want, want_labels)
+            ok = (new <= now) | (dice[i] < np.exp(np.minimum(0.0, (now - new) / heat)))
+            now = np.where(ok, new, now)
+            have, have_l = np.where(ok[:, None], h, have), np.where(ok[:, None, None], hl, have_l)
+            w = row[ok]
+            state[w, a[ok]] = sb[ok]
+            w = row[ok & exchange]
+            state[w, b[w]] = sa[w]
+            heat *= cool
+        better = now < best
+        best[better], kept[better] = now[better], state[better]
+    return kept
+
+
+def _annealed(pdf: pd.DataFrame, want: np.ndarray, want_l: np.ndarray, chains: int, seed: int, sweeps: int) -> np.ndarray:
+    """Splits (chains x components) of one partition of a size class, from hashed assignment."""
+    k = len(want)
+    share = want / max(1e-9, want.sum())
+    h = pdf["h"].to_numpy().astype(np.uint64)
+    u = np.stack([((h * np.uint64(2 * c + 1)) >> np.uint64(11)).astype(float) / 2.0**53 for c in range(chains)])
+    start = np.minimum(np.searchsorted(np.cumsum(share), u, side="right"), k - 1)
+    return _anneal(pdf["size"].to_numpy(float), pdf[[f"l{i}" for i in range(LABEL_BINS)]].to_numpy(float), start, want, want_l, np.random.default_rng([seed, int(pdf["part"].iloc[0])]), sweeps)
+
+
+def _search(share: np.ndarray, share_l: np.ndarray, chains: int, seed: int, sweeps: int):
+    """The search of one partition: its components with their split in each chain."""
+    cols = [f"l{i}" for i in range(LABEL_BINS)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("group_key", kind="stable")
+        state = _annealed(pdf, share * float(pdf["size"].sum()), share_l * pdf[cols].to_numpy(float).sum(0)[None, :], chains, seed, sweeps)
+        return pdf[["group_key", "size"]].assign(splits=list(state.T.tolist()), **{c: pdf[c] for c in cols})
+
+    return run
+
+
+def assign(recs: DataFrame, proportions=PROPORTIONS, names=NAMES, chains: int = 8, seed: int = 17, sweeps: int = 6) -> DataFrame:
+    """records -> rec, group_key, split, group_size: tied records never cross splits."""
     spark = recs.sparkSession
     ship_package(spark)
     props = np.array(proportions, float) / sum(proportions)
     k = len(props)
     one = recs.groupBy("rec").agg(F.min("label").alias("label"))
     groups = tied_groups(recs)
-    members = cut(one.join(groups, "rec", "left").select("rec", "label", F.coalesce("root", "rec").alias("group_key")))
+    members_ = cut(one.join(groups, "rec", "left").select("rec", "label", F.coalesce("root", "rec").alias("group_key")))
     bin_ = F.pmod(F.xxhash64("label"), F.lit(LABEL_BINS)).cast("int")
     by_bin = [F.count_if(bin_ == i).alias(f"l{i}") for i in range(LABEL_BINS)]
-    comps = cut(members.groupBy("group_key").agg(F.count("*").alias("size"), *by_bin))
     cols = ["size", *(f"l{i}" for i in range(LABEL_BINS))]
-    total = comps.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols)).first()
-    if not total.n:
-        return members.select("rec", "group_key", F.lit(None).cast("string").alias("split"))
-    bound = max(1, int(LARGE_SHARE * total["size"]))
-    large = comps.where(F.col("size") > bound).orderBy("group_key").toPandas()  # at most 1 / LARGE_SHARE rows
-    want = props * total["size"]
-    want_l = props[:, None] * np.array([total[c] for c in cols[1:]], float)[None, :]
-    fixed: dict[str, int] = {}
-    if len(large):
-        s, l = large["size"].to_numpy(float), large[cols[1:]].to_numpy(float)
-        start = np.zeros(len(s), int)
-        room = want.copy()
-        for i in np.argsort(-s, kind="stable"):  # hashed assignment cannot place a component that exceeds a split
-            start[i] = int(np.argmax(room))
-            room[start[i]] -= s[i]
-        runs = [_anneal(s, l, start, props * s.sum(), props[:, None] * l.sum(0)[None, :], np.random.default_rng(seed + c), steps) for c in range(chains)] + [start]
-
-        def off(x):
-            have = np.bincount(x, weights=s, minlength=k)
-            return np.maximum(have - want, 0).sum() * 10 + np.abs(have - props * s.sum()).sum()
-
-        state = min(runs, key=off)
-        fixed = dict(zip(large["group_key"], map(int, state)))
-        want = want - np.bincount(state, weights=s, minlength=k)
-        for j in range(k):
-            want_l[j] -= l[state == j].sum(0)
-    want, want_l = np.maximum(want, 0), np.maximum(want_l, 0)
-    rest = comps.where(F.col("size") <= bound)
-    parts = max(1, -(-int(total.n) // PART_COMPONENTS))
-    small_rows = max(1.0, total["size"] - float(large["size"].sum() if len(large) else 0))
-    share, share_l = want / max(1.0, want.sum()), want_l / np.maximum(1.0, want_l.sum(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group_key", kind="stable")
-        s, l = pdf["size"].to_numpy(float), pdf[cols[1:]].to_numpy(float)
-        h = pdf["h"].to_numpy()
-        out = []
-        for c in range(chains):
-            u = ((h.astype(np.uint64) * np.uint64(2 * c + 1)) >> np.uint64(11)).astype(float) / 2.0**53
-            start = np.minimum(np.searchsorted(np.cumsum(share), u, side="right"), k - 1)
-            state = _anneal(s, l, start, share * s.sum(), share_l * l.sum(0)[None, :], np.random.default_rng([seed, c, int(pdf["part"].iloc[0])]), steps)
-            out.append(pd.DataFrame({"group_key": pdf["group_key"], "chain": c, "split_no": state, "size": pdf["size"], **{x: pdf[x] for x in cols[1:]}}))
-        return pd.concat(out)
-
-    shape = "group_key string, chain int, split_no int, size long, " + ", ".join(f"{c} long" for c in cols[1:])
-    tried = cut(rest.withColumn("h", F.xxhash64("group_key")).withColumn("part", F.pmod(F.col("h"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(run, shape))
-    score = tried.groupBy("chain", "split_no").agg(*(F.sum(c).alias(c) for c in cols)).toPandas()  # chains x splits rows
-    best, least = 0, float("inf")
-    for c, g in score.groupby("chain"):
-        have, have_l = np.zeros(k), np.zeros_like(want_l)
-        for _, x in g.iterrows():
-            have[int(x.split_no)], have_l[int(x.split_no)] = x["size"], x[cols[1:]].to_numpy(float)
-        dev = np.abs(have - share * small_rows).sum() + 0.5 * np.abs(have_l - share_l * have_l.sum(0)[None, :]).sum()
-        if dev < least:
-            best, least = c, dev
-    chosen = tried.where(F.col("chain") == int(best)).select("group_key", "split_no")
-    if fixed:
-        chosen = chosen.unionByName(spark.createDataFrame(list(fixed.items()), "group_key string, split_no int"))
+    comps = members_.groupBy("group_key").agg(F.count("*").alias("size"), *by_bin)
+    comps = cut(comps.withColumn("h", F.xxhash64("group_key")).withColumn("cls", F.floor(F.log2(F.col("size").cast("double")) / 2).cast("int")))
+    # one row a size class, of which there are at most some thirty
+    classes = comps.groupBy("cls").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols)).orderBy(F.desc("cls")).collect()
+    if not classes:
+        return members_.select("rec", "group_key", F.lit(None).cast("string").alias("split"), F.lit(0).cast("long").alias("group_size"))
+    whole = {c: float(sum(r[c] for r in classes)) for c in cols}
+    left, left_l = props * whole["size"], props[:, None] * np.array([whole[c] for c in cols[1:]])[None, :]
+    shape, chosen = "group_key string, size long, splits array<int>, " + ", ".join(f"{c} long" for c in cols[1:]), None
+    for r in classes:  # large components first; every class starts from hashed assignment and takes what the larger ones left
+        parts = max(1, -(-int(r.n) // PART_COMPONENTS))
+        own, own_l = float(r["size"]), np.array([r[c] for c in cols[1:]], float)
+        room, room_l = np.maximum(left, 0), np.maximum(left_l, 0)
+        share, share_l = room / max(1e-9, room.sum()), room_l / np.maximum(1e-9, room_l.sum(0))
+
+        mine = comps.where(F.col("cls") == r.cls).withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+        tried = cut(mine.groupBy("part").applyInPandas(_search(share, share_l, chains, seed, sweeps), shape))
+        # sums of chains x splits
+        sums = tried.select(F.posexplode("splits").alias("chain", "s"), *cols).groupBy("chain", "s").agg(*(F.sum(c).alias(c) for c in cols)).collect()
+        have, have_l = np.zeros((chains, k)), np.zeros((chains, k, LABEL_BINS))
+        for x in sums:
+            have[x.chain, x.s], have_l[x.chain, x.s] = x["size"], [x[c] for c in cols[1:]]
+        best = int(np.argmin(_cost(have, have_l, share * own, share_l * own_l[None, :])))
+        left, left_l = left - have[best], left_l - have_l[best]
+        part = tried.select("group_key", F.get("splits", F.lit(best)).alias("split_no"), F.col("size").alias("group_size"))
+        chosen = part if chosen is None else chosen.unionByName(part)
     name = F.element_at(F.array(*map(F.lit, names)), F.col("split_no") + 1)
-    return members.join(chosen, "group_key").select("rec", "group_key", name.alias("split"))
+    large = members.large_keys(chosen, ["group_key"], "group_size")
+    return members.join_divided(chosen, members_, ["group_key"], large, "rec").select("rec", "group_key", name.alias("split"), "group_size")
+
+
+def split_report(assigned: DataFrame) -> DataFrame:
+    """split, records, share of all records, groups: what the search reached."""
+    g = assigned.groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("group_key").alias("groups"))
+    total = assigned.agg(F.count("*").alias("_n"))
+    return g.join(F.broadcast(total)).select("split", "records", (F.col("records") / F.col("_n")).alias("share"), "groups")  # one row
