@@ -66,8 +66,10 @@ def test_thresholds_are_exact(spark):
                 break
             total, n = total + w, n + 1
         assert sum(h < cut[g] for h, _ in own) == n
-    kept = df.where(thresholds.below(cut)).groupBy("grp").agg(F.sum("w").alias("w")).collect()
+    kept = thresholds.with_below(df, cut, "_in").where("_in").groupBy("grp").agg(F.sum("w").alias("w")).collect()
     assert {r.grp: r.w for r in kept if r.grp == "0"}["0"] <= 1234
+    many = {f"g{i}": 5.0 for i in range(1500)} | {"0": 100.0}
+    assert thresholds.prefix_thresholds(df, many)["0"] == thresholds.prefix_thresholds(df, {"0": 100.0})["0"]
 
 
 def test_mixture(spark):
@@ -92,13 +94,46 @@ def test_mixture(spark):
     assert mix.count() == 0 and report.count() == 4
 
 
-def test_token_counts():
+def test_balanced_mixture(spark):
+    """The largest mix whose shares hold: one source is used up, all reached shares are the targets'."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices(["read", "the", "كتب", "line"], k=r.randrange(1, 40))), r.choice(["a"] * 6 + ["b"] * 2 + ["c"])) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.4, 3), ("c", 0.2, 1), ("gone", 0.1, 4), ("zero", 0.0, 4)], "source string, target_share double, max_repeats int")
+    rep = {x.source: x for x in mixture.mix(df, targets, balanced=True)[1].collect()}
+    for s, share in (("a", 3 / 9), ("b", 4 / 9), ("c", 2 / 9)):
+        assert rep[s].target_share == pytest.approx(share) and rep[s].mixed_share == pytest.approx(share, abs=0.01) and not rep[s].unmet
+    assert rep["c"].mixed_tokens == rep["c"].tokens and rep["gone"].mixed_tokens == 0 and rep["gone"].falls_short and rep["zero"].falls_short
+    plain = {x.source: x for x in mixture.mix(df, targets)[1].collect()}
+    assert plain["c"].unmet and plain["c"].falls_short and plain["c"].largest_mix_tokens == pytest.approx(plain["c"].tokens / 0.2) and plain["zero"].largest_mix_tokens is None
+
+
+def test_token_counts(monkeypatch):
     from pathlib import Path
 
     count = mixture.TokenCounter(Path(mixture.TOKENIZER).read_bytes())
     assert count(None) == count("") == 0 and count("read the line") > 0
-    one = "ab" * 30_000
-    assert count("x " + one + " y") == sum(count(p) for p in ("x ", *(one[i : i + 4096] for i in range(0, len(one), 4096)), " y"))
+    r = random.Random(1)
+    texts = ["".join(r.choice(["كتاب", "abc", "reading", "é", "\U0001f600", "7" * 9, "...", "  ", "\n", " ", "'s"]) for _ in range(r.randrange(1, 80))) for _ in range(400)]
+    whole = [len(count.encode(t)) for t in texts]
+    assert count("x " + "ab" * 3000 + " y") == len(count.encode("x " + "ab" * 3000 + " y"))
+    assert count("z" * 200_000) > 10_000
+    monkeypatch.setattr(mixture, "LONG_RUN", 5)
+    short = mixture.TokenCounter(Path(mixture.TOKENIZER).read_bytes())
+    assert [short(t) for t in texts] == whole
+
+
+def test_conflicting_targets_are_reported(spark):
+    """Enough rows of both categories, but the sample is too small for both: neither target is met."""
+    df = spark.createDataFrame([(f"{i:03}", "a" if i % 2 else "b", 0.1) for i in range(200)], "id string, stratum string, disagreement double")
+    cats = spark.createDataFrame([(c, c, 0.0, 1.0, 0.8, floor, 50) for c, floor in (("a", 20), ("b", 5))], TARGETS)
+    sample, report = quota.draw(df, cats)
+    rep = {r.category: r for r in report.collect()}
+    assert sample.count() == 50 and sum(r.drawn_rows for r in rep.values()) == 50 and rep["a"].drawn_rows >= 20
+    assert any(r.unmet for r in rep.values()) and all(r.unmet == (r.drawn_rows < 40) for r in rep.values()) and not any(r.falls_short for r in rep.values())
+    floors = spark.createDataFrame([(c, c, 0.0, 1.0, 0.5, 45, 50) for c in "ab"], TARGETS)
+    sample, report = quota.draw(df, floors)
+    assert sample.count() == 50 and [r.unmet for r in report.collect()].count(True) >= 1
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -236,6 +236,22 @@ def test_labels(spark):
     assert [r[0] for r in df.select(langid.label_language("l")).collect()] == ["ar", "ar", "ar", "fa", "de", None, None, None, None, "en", None]
 
 
+def test_languages_are_those_of_the_samples(spark):
+    """A ninth language is learned like the others, under its own label in any case and with a region."""
+    lines, words = samples()
+    words["it"] = "il lettore ha segnato una breve storia accanto alla finestra aperta prima di ogni esame".split()
+    r = random.Random(12)
+    lines += [("IT ", " ".join(r.choices(words["it"], k=9))) for _ in range(60)]
+    s = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(lines)] + [(9999, "und.", "x y z")], "sample_id long, lang string, text string").where("sample_id < 9999")
+    net = langid.fit(s)
+    assert net.classes == ["ar", "en", "fa", "fr", "it", "zxx"]
+    docs = [(i, "\n".join(" ".join(r.choices(words[p], k=10)) for p in ("it", "en")), lab) for i, lab in enumerate(["it-IT", "it", "en", None, "Italian"] * 8)]
+    segs = langid.segments(spark.createDataFrame(docs, "doc_id long, text string, lang string"), net)
+    got = set(map(tuple, langid.unlabelled_passages(segs).collect()))
+    want = {(i, p) for i, _, lab in docs for p in ("it", "en") if not (lab or "").startswith(p)}
+    assert len(got ^ want) <= 2
+
+
 def test_held_out_accuracy(sf):
     """Trained on three quarters of the labelled lines; words of the others are mostly known forms."""
     import duckdb

@@ -66,7 +66,9 @@ def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d)[1].where("falls_short").select("category")
+    """Categories of which the drawn sample has too few, where the exact supply confirms it."""
+    lacking = _p4(spark, d)[1].where("drawn_rows < greatest(wanted_rows, floor_rows)")
+    return lacking.where("falls_short").select("category")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +120,9 @@ def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p7(spark, d)[1].where("falls_short").select("source")
+    """Sources of which the mix has too few tokens, where the exact supply confirms it."""
+    lacking = _p7(spark, d)[1].where("mixed_tokens < wanted_tokens or mixed_tokens = 0")
+    return lacking.where("falls_short").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +133,25 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)[1]
 
 
+def p7_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mix in which every source that has documents holds its share."""
+    return mixture.mix(read(spark, d, "documents"), read(spark, d, "source_targets"), balanced=True)[1]
+
+
+#: The network of a session's last folder; p8 queries over one folder share it.
+_fitted: dict[tuple[str, str], langid.ByteNet] = {}
+
+
+def _network(spark: SparkSession, d: str) -> langid.ByteNet:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = langid.fit(read(spark, d, "lang_samples"), read(spark, d, "documents"))
+    return _fitted[key]
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
-    return langid.segments(read(spark, d, "documents"), read(spark, d, "lang_samples"))
+    return langid.segments(read(spark, d, "documents"), _network(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +163,11 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
-    return langid.document_languages(_p8(spark, d), read(spark, d, "documents"))
+    return langid.document_languages(_p8(spark, d), read(spark, d, "documents"), _network(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_splits, p2_report, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_splits, p2_report, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p7_balanced, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.phonemes import INVENTORY
 from ..session import ship_package
 from . import letters
-from .thresholds import below, hash_order, prefix_thresholds
+from .thresholds import hash_order, prefix_thresholds, with_below
 
 #: The classifier is fitted on at most so many labelled lines (all of them, if there are fewer).
 MOST_SAMPLES = 20_000
@@ -41,10 +42,8 @@ SWITCH, LEAST = -8.0, -7.0
 #: Running words that make a passage.
 PASSAGE = 6
 NONE = "zxx"
-ARABIC_SCRIPT = ("ar", "fa", "ur")
-
 # The phoneme symbols.
-SYMBOLS = "a aa A AA i ii I II u uu U UU < << b bb t tt ^ ^^ j jj H HH x xx d dd * ** r rr z zz s ss $ $$ S SS D DD T TT Z ZZ E EE g gg f ff q qq k kk l ll m mm n nn h hh w ww y yy".split()
+SYMBOLS = INVENTORY
 
 # Spellings of the languages, by two-letter code.
 SPELLINGS = {
@@ -59,11 +58,27 @@ SPELLINGS = {
 }
 
 
-def label_language(col: str | Column) -> Column:
-    """The two-letter code that a label names in any spelling; null if it names none."""
-    c = F.col(col) if isinstance(col, str) else col
-    head = F.regexp_extract(F.lower(c), r"([\p{L}]+)", 1)
-    return F.element_at(F.create_map(*(F.lit(x) for code, names in SPELLINGS.items() for n in names.split() for x in (n, code))), head)
+def _head(c: Column) -> Column:
+    """The first run of letters of a label, in small letters."""
+    return F.regexp_extract(F.lower(c), r"([\p{L}]+)", 1)
+
+
+def label_language(col: str | Column, languages: list[str] | tuple[str, ...] = ()) -> Column:
+    """The two-letter code that a label names in any spelling; null if it names none.
+
+    Names and three-letter codes are known for the languages of SPELLINGS; of any other of `languages`,
+    the code itself is, in any case, with a region and padded.
+    """
+    head = _head(F.col(col) if isinstance(col, str) else col)
+    spelt = {n: code for code, names in SPELLINGS.items() for n in names.split()}
+    spelt |= {x: x for x in languages if x not in spelt and x != NONE}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in spelt.items() for x in pair)), head)
+
+
+def sample_language(col: str | Column) -> Column:
+    """The language of a labelled line: as label_language has it, or else the code that is written."""
+    head = _head(F.col(col) if isinstance(col, str) else col)
+    return F.coalesce(label_language(col), F.when(F.length(head).between(2, 3), head))
 
 
 @lru_cache(1)
@@ -217,9 +232,18 @@ def _is_arabic(word: str) -> bool:
     return any("\u0600" <= c <= "\u06ff" for c in word)
 
 
+def arabic_script(lines: list[tuple[str, str]]) -> set[str]:
+    """The languages most of whose words in the labelled lines are in Arabic script."""
+    score: dict[str, int] = {}
+    for lang, text in lines:
+        score[lang] = score.get(lang, 0) + sum(1 if _is_arabic(w) else -1 for w in text.split())
+    return {k for k, v in score.items() if v > 0}
+
+
 def train_further(net: ByteNet, lines: list[tuple[str, str]], documents: list[tuple[str, str]], seed: int = 6) -> None:
     """Adds the words of documents most of whose words the network finds in the labelled language."""
     numbers: dict[str, int] = {}
+    arabic = arabic_script(lines)
     rows = [np.array([numbers.setdefault(w, len(numbers)) for t in text.split() for w in token_words(t)], np.int64) for _, text in documents]
     full = [i for i, r in enumerate(rows) if len(r)]
     if not full:
@@ -230,7 +254,7 @@ def train_further(net: ByteNet, lines: list[tuple[str, str]], documents: list[tu
     for i, path in zip(full, paths):
         lang = documents[i][0]
         if lang in net.classes and (path == net.classes.index(lang)).mean() >= 0.7:
-            right = lang in ARABIC_SCRIPT
+            right = lang in arabic
             good.append((lang, " ".join(names[k] for k in rows[i] if _is_arabic(names[k]) == right)))
     counts = _counts(good)
     for w, d in _counts(lines).items():
@@ -288,29 +312,37 @@ def best_paths(scores: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def fit(samples: DataFrame, docs: DataFrame | None = None, most: int = MOST_SAMPLES, per_language: int = DOCS_PER_LANGUAGE) -> ByteNet:
-    """The network, fitted on at most `most` labelled lines and `per_language` labelled documents of each language."""
-    rows = samples.where("lang is not null and text is not null").select(label_language("lang").alias("lang"), "text", F.xxhash64("sample_id").alias("h")).where("lang is not null").orderBy("h", "text").limit(most).collect()
+    """The network, fitted on at most `most` labelled lines and `per_language` labelled documents of each language.
+
+    Its classes are the languages that the lines have, whichever they are, and that
+    of no language.
+    """
+    rows = samples.where("lang is not null and text is not null").select(sample_language("lang").alias("lang"), "text", F.xxhash64("sample_id").alias("h")).where("lang is not null").orderBy("h", "text").limit(most).collect()
     lines = [(r.lang, r.text) for r in rows]
     net = train(lines)
-    if docs is not None:
-        labelled = docs.select("doc_id", label_language("lang").alias("grp"), hash_order("doc_id", seed=3).alias("h"), F.lit(1).alias("w"), "text").where(F.col("grp").isNotNull() & (F.length("text") <= MOST_CHARACTERS))
-        cuts = prefix_thresholds(labelled.select("grp", "h", "w"), dict.fromkeys(sorted({k for k, _ in lines}), per_language))
-        train_further(net, lines, [(r.grp, r.text) for r in labelled.where(below(cuts)).select("grp", "text", "doc_id").orderBy("doc_id").collect()])
+    if docs is not None and lines:
+        names = sorted({k for k, _ in lines})
+        labelled = docs.select("doc_id", label_language("lang", names).alias("grp"), hash_order("doc_id", seed=3).alias("h"), F.lit(1).alias("w"), "text").where(F.col("grp").isNotNull() & (F.length("text") <= MOST_CHARACTERS))
+        cuts = prefix_thresholds(labelled.select("grp", "h", "w"), dict.fromkeys(names, per_language))
+        train_further(net, lines, [(r.grp, r.text) for r in with_below(labelled, cuts, "_in").where("_in").select("grp", "text", "doc_id").orderBy("doc_id").collect()])
     return net
 
 
 _SHAPE = "doc_id long, label string, segment_no int, lang string, from_word int, n_words int, confidence double"
 
 
-def segments(docs: DataFrame, samples: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, model: DataFrame | ByteNet) -> DataFrame:
     """documents(doc_id, text, lang) -> one row for each run of words of one language.
 
+    model: a fitted network, or labelled lines to fit one on.
+
     label is the language that the document's own label names. Runs of phoneme
     symbols have lang 'zxx'. confidence is the mean probability of the words.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    net = spark.sparkContext.broadcast(fit(samples, docs))  # weights of fixed size, well under 1 MB
+    fitted = model if isinstance(model, ByteNet) else fit(model, docs)
+    net = spark.sparkContext.broadcast(fitted)  # weights of fixed size, well under 1 MB
     names = [x.split()[0] for x in _SHAPE.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
 
@@ -356,10 +388,10 @@ def segments(docs: DataFrame, samples: DataFrame) -> DataFrame:
             if len(seen) > 400_000:
                 seen.clear()
 
-    return docs.where("text is not null and doc_id is not null").select("doc_id", label_language("lang").alias("label"), "text").mapInArrow(run, _SHAPE)
+    return docs.where("text is not null and doc_id is not null").select("doc_id", label_language("lang", fitted.classes).alias("label"), "text").mapInArrow(run, _SHAPE)
 
 
-def document_languages(segs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def document_languages(segs: DataFrame, docs: DataFrame | None = None, net: ByteNet | None = None) -> DataFrame:
     """doc_id, lang (most words; ties to the first code), confidence, n_languages of passages, label_ok.
 
     A document of phoneme symbols only has lang 'zxx' and their mean probability.
@@ -369,7 +401,7 @@ def document_languages(segs: DataFrame, docs: DataFrame | None = None) -> DataFr
     spoken = F.col("lang") != NONE
     runs = segs.select("doc_id", "label", "lang", "n_words", "confidence")
     if docs is not None:
-        every = docs.where("doc_id is not null").select("doc_id", label_language("lang").alias("label")).distinct()
+        every = docs.where("doc_id is not null").select("doc_id", label_language("lang", net.classes if net else ()).alias("label")).distinct()
         runs = runs.unionByName(every.select("doc_id", "label", F.lit(NONE).alias("lang"), F.lit(0).alias("n_words"), F.lit(0.0).alias("confidence")))
     per = runs.groupBy("doc_id", "label", "lang").agg(F.sum("n_words").alias("words"), F.max("n_words").alias("longest"), F.sum(F.col("confidence") * F.col("n_words")).alias("mass"))
     best = per.groupBy("doc_id", "label").agg(F.min_by(F.struct("lang", "words", "mass"), F.struct(~spoken, -F.col("words"), F.col("lang"))).alias("b"), F.coalesce(F.sum(F.when(spoken, F.col("words"))), F.max("words")).alias("all"), F.count_if(spoken & (F.col("longest") >= PASSAGE)).alias("n_languages"))

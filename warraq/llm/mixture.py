@@ -7,13 +7,15 @@ rest is the hash prefix of its documents that fits, found by nested histograms.
 
 Defined results: null or empty text has no tokens; documents whose source is null
 or blank are left out of the mix and of the total; a source without a target
-counts in the total only; a source with a target but no documents falls short.
-An unbroken run of more than 4,096 characters is tokenized in slices of that length.
+counts in the total only; a source with a target, zero too, but no documents falls short.
+Texts are tokenized whole; a piece of more than 4,096 characters is merged here by
+the same rule, which the tokenizer would need quadratic time for.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from pathlib import Path
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship_package
-from .thresholds import below, hash_order, prefix_thresholds
+from .thresholds import hash_order, prefix_thresholds, with_below
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that belongs to the byte-level vocabulary files (fixed value).
@@ -34,27 +36,53 @@ MOST_SOURCES = 2_000
 _made: dict[int, object] = {}
 
 
+def merged_length(data: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of one piece: the adjacent pair of lowest rank, the leftmost of equals, is merged until none has a rank."""
+    n = len(data)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # starts of the neighbouring parts
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = bytearray(b"\1") * n
+    left = n
+    while heap:
+        _, i, j, end = heapq.heappop(heap)
+        if not alive[i] or after[i] != j or j >= n or not alive[j] or after[j] != end:
+            continue  # one of the two parts has changed
+        alive[j] = 0
+        left -= 1
+        after[i] = end
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(data[i : after[end]])) is not None:
+                heapq.heappush(heap, (r, i, end, after[end]))
+        k = before[i]
+        if k >= 0 and (r := ranks.get(data[k:end])) is not None:
+            heapq.heappush(heap, (r, k, i, end))
+    return left
+
+
 class TokenCounter:
     """Counts tokens; built from the bytes of a vocabulary file."""
 
     def __init__(self, data: bytes):
+        import regex
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.long = re.compile(r"\S{%d,}" % (LONG_RUN + 1))
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        self.pieces = regex.compile(PATTERN)
+        self.long = re.compile(r"\S{%d,}|\s{%d,}" % (LONG_RUN + 1, LONG_RUN + 1))
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         if len(text) <= LONG_RUN or not self.long.search(text):
             return len(self.encode(text))
-        n, at = 0, 0
-        for m in self.long.finditer(text):
-            n += len(self.encode(text[at : m.start()]))
-            n += sum(len(self.encode(text[i : min(i + LONG_RUN, m.end())])) for i in range(m.start(), m.end(), LONG_RUN))
-            at = m.end()
-        return n + len(self.encode(text[at:]))
+        n = 0
+        for m in self.pieces.finditer(text):
+            p = m.group()
+            n += len(self.encode(p)) if len(p) <= LONG_RUN else merged_length(p.encode("utf-8", "replace"), self.ranks)
+        return n
 
 
 def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -74,33 +102,47 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return docs.select("doc_id", source, "text").mapInArrow(run, "doc_id long, source string, tokens long")
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, mix_tokens: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, mix_tokens: int | None = None, seed: int = 11, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mix: doc_id, source, tokens, repeats; report by source of targets).
 
     mix_tokens: size of the mix, by default as many tokens as all documents of
     known source have. Report: source, target_share, max_repeats, tokens,
-    wanted_tokens, mixed_tokens, mixed_share, falls_short.
+    wanted_tokens, mixed_tokens, mixed_share, largest_mix_tokens (the size up to
+    which the source can hold its share), unmet (the mix has less of it than wanted,
+    by more than a document), falls_short.
+
+    Sources that fall short leave the shares of the others too large. balanced
+    gives the largest mix in which every source that has documents holds its share
+    among those sources, to within a document.
     """
     spark = docs.sparkSession
     goals = targets.where("source is not null").orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(goals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} source targets")
     sized = cut(token_sizes(docs, tokenizer).where("source is not null").withColumn("h", hash_order("doc_id", seed=seed)))
-    names = [g.source for g in goals]
-    have = {r.g: r.n for r in sized.groupBy(F.when(F.col("source").isin(names), F.col("source")).alias("g")).agg(F.sum("tokens").alias("n")).collect()}
-    total = mix_tokens if mix_tokens is not None else sum(v or 0 for v in have.values())
-    whole, budgets, report = {}, {}, []
+    known = spark.createDataFrame([(g.source,) for g in goals], "source string").distinct().withColumn("goal", F.lit(True))
+    sums = sized.join(F.broadcast(known), "source", "left").groupBy(F.when(F.col("goal"), F.col("source")).alias("g")).agg(F.sum("tokens").alias("n"), F.max("tokens").alias("most")).collect()  # at most a row for each target, and one
+    have, longest = {r.g: r.n or 0 for r in sums}, {r.g: r.most or 0 for r in sums}
+    shares = {g.source: g.target_share or 0.0 for g in goals}
+    reach = {g.source: have.get(g.source, 0) * (g.max_repeats or 0) for g in goals}
+    if balanced:
+        there = {s: v for s, v in shares.items() if v > 0 and reach[s] > 0}
+        shares = {s: there.get(s, 0.0) / max(1e-12, sum(there.values())) for s in shares}
+        total = min((reach[s] / shares[s] for s in there), default=0.0)
+    else:
+        total = mix_tokens if mix_tokens is not None else sum(have.values())
+    whole, budgets, report, slack = [], {}, [], 1e-6 if balanced else 0.0
     for g in goals:
-        n, want, most = have.get(g.source) or 0, (g.target_share or 0.0) * total, g.max_repeats or 0
+        n, want, most = have.get(g.source, 0), shares[g.source] * total, g.max_repeats or 0
         passes = min(most, int(want // n)) if n else 0
-        whole[g.source] = passes
+        whole.append((g.source, passes))
         if n and passes < most and want - passes * n > 0:
             budgets[g.source] = want - passes * n
-        report.append([g.source, g.target_share, g.max_repeats, n, want, bool(n * most < want)])
+        report.append((g.source, shares[g.source], g.max_repeats, n, want, reach[g.source] / shares[g.source] if shares[g.source] > 0 else None, g.source not in have or bool(reach[g.source] < want - slack)))
     cuts = prefix_thresholds(sized, budgets, group="source", weight="tokens")
-    passes = F.coalesce(F.element_at(F.create_map(*(x for s, p in whole.items() for x in (F.lit(s), F.lit(p)))), F.col("source")), F.lit(0)) if whole else F.lit(0)
-    mixed = sized.withColumn("repeats", (passes + F.when(below(cuts, group="source"), 1).otherwise(0)).cast("int")).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+    passes_of = F.broadcast(spark.createDataFrame(whole, "source string, _passes int").dropDuplicates(["source"]))
+    mixed = with_below(sized.join(passes_of, "source"), cuts, "_more", group="source").withColumn("repeats", F.col("_passes") + F.col("_more").cast("int")).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).collect()}
     all_mixed = sum(got.values())
-    rows = [(s, share, most, n, float(want), got.get(s, 0), got.get(s, 0) / all_mixed if all_mixed else 0.0, short) for s, share, most, n, want, short in report]
-    return mixed, spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, wanted_tokens double, mixed_tokens long, mixed_share double, falls_short boolean")
+    rows = [(s, share, most, n, float(want), got.get(s, 0), got.get(s, 0) / all_mixed if all_mixed else 0.0, largest, bool(want - got.get(s, 0) > max(longest.get(s, 0), 1e-6)), short) for s, share, most, n, want, largest, short in report]
+    return mixed, spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, wanted_tokens double, mixed_tokens long, mixed_share double, largest_mix_tokens double, unmet boolean, falls_short boolean")

@@ -8,7 +8,8 @@ deviation from the targets; the records of each signature are then drawn by hash
 
 Defined results: repeated rows of an id count once (its categories are united); a
 null or NaN disagreement, or a null stratum, belongs to no category; records
-without an id are left out; rows without a category only fill up the sample.
+without an id are left out; rows without a category only fill up the sample; where
+the floors together exceed the sample's size, scarce categories get theirs first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .thresholds import below, hash_order, prefix_thresholds
+from .thresholds import hash_order, prefix_thresholds, with_below
 
 #: The target table is a small dimension; more rows than this are refused.
 MOST_CATEGORIES = 2_000
@@ -42,10 +43,11 @@ def signatures(pilot: DataFrame, cats: list) -> DataFrame:
 
 
 def floor_start(supply: np.ndarray, member: np.ndarray, floors: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """A random sample of signature counts that gives every category its floor where it can."""
+    """A random sample of at most `size` signature counts that gives every category its floor where it can, scarce ones first."""
     take = np.zeros(len(supply), np.int64)
-    for c in np.argsort(member.T @ supply, kind="stable"):  # scarce categories first
+    for c in np.argsort(member.T @ supply, kind="stable"):
         lack = int(min(floors[c], member[:, c] @ supply) - member[:, c] @ take)
+        lack = min(lack, size - int(take.sum()))
         if lack > 0:
             pool = np.where(member[:, c], supply - take, 0)
             take += rng.multivariate_hypergeometric(pool, min(lack, int(pool.sum())), method="marginals")
@@ -55,39 +57,45 @@ def floor_start(supply: np.ndarray, member: np.ndarray, floors: np.ndarray, size
 
 
 def repair(take: np.ndarray, supply: np.ndarray, member: np.ndarray, want: np.ndarray, floors: np.ndarray) -> np.ndarray:
-    """Exchanges counts between two signatures while that lowers the deviation and keeps the floors."""
+    """Exchanges counts between two signatures while that lowers the deviation and keeps the floors.
+
+    For each signature that gives, all that can take are scored at once.
+    """
     take = take.copy()
     floor_now = np.minimum(floors, member.T @ supply)
 
-    def off(t):
-        have = member.T @ t
-        return np.abs(have - want).sum() + 1e6 * np.maximum(floor_now - have, 0).sum()
+    def off(have):
+        return np.abs(have - want).sum(-1) + 1e6 * np.maximum(floor_now - have, 0).sum(-1)
 
-    now, step = off(take), max(1, int(take.sum()))
+    step = max(1, int(take.sum()))
     while step >= 1:
-        best, move = now - 1e-9, None
-        for i in np.flatnonzero(take >= step):
-            for j in np.flatnonzero(supply - take >= step):
-                if i != j:
-                    t = take.copy()
-                    t[i] -= step
-                    t[j] += step
-                    if (o := off(t)) < best:
-                        best, move = o, (i, j)
+        have = member.T @ take
+        best, move = off(have) - 1e-9, None
+        takers = np.flatnonzero(supply - take >= step)
+        for i in np.flatnonzero(take >= step) if len(takers) else ():
+            o = off(have - step * member[i] + step * member[takers])
+            o[takers == i] = np.inf
+            k = int(o.argmin())
+            if o[k] < best:
+                best, move = o[k], (i, takers[k])
         if move is None:
             step //= 2
         else:
             take[move[0]] -= step
             take[move[1]] += step
-            now = best
     return take
 
 
 def draw(pilot: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(sample: id, sig; report: category, supply, wanted_rows, floor_rows, drawn_rows, drawn_share, falls_short)."""
+    """(sample: id, sig; report: category, supply, wanted_rows, floor_rows, drawn_rows, drawn_share, unmet, falls_short).
+
+    unmet: the sample as drawn has fewer rows of the category than its target
+    (whole rows) or its floor, for want of supply or because targets conflict;
+    falls_short: there are fewer rows than that in all.
+    """
     spark = pilot.sparkSession
     cats = load_targets(targets)
-    shape = "category string, supply long, wanted_rows double, floor_rows long, drawn_rows long, drawn_share double, falls_short boolean"
+    shape = "category string, supply long, wanted_rows double, floor_rows long, drawn_rows long, drawn_share double, unmet boolean, falls_short boolean"
     rows = cut(signatures(pilot, cats).withColumn("h", hash_order("id", seed=seed)))
     counts = rows.groupBy("sig").agg(F.count("*").alias("n")).orderBy("sig").collect()
     sigs = [r.sig for r in counts]
@@ -106,8 +114,8 @@ def draw(pilot: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame
         take = np.zeros(len(sigs), np.int64)
     drawn = member.T @ take if len(sigs) else have
     total = max(1, int(take.sum()))
-    report = [(c.category, int(have[i]), float(want[i]), int(floors[i]), int(drawn[i]), float(drawn[i] / total), bool(have[i] < max(want[i], floors[i]))) for i, c in enumerate(cats)]
+    report = [(c.category, int(have[i]), float(want[i]), int(floors[i]), int(drawn[i]), float(drawn[i] / total), bool(drawn[i] < max(np.floor(want[i]), floors[i])), bool(have[i] < max(want[i], floors[i]))) for i, c in enumerate(cats)]
     budgets = {s: int(n) for s, n in zip(sigs, take) if n}
     cuts = prefix_thresholds(rows.withColumn("w", F.lit(1)), budgets, group="sig")
-    sample = rows.where(below(cuts, group="sig")).select("id", "sig")
+    sample = with_below(rows, cuts, "_in", group="sig").where("_in").select("id", "sig")
     return sample, spark.createDataFrame(report, shape)
