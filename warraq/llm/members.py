@@ -8,13 +8,18 @@ most one MOST_LARGE-th of all rows, so their list has a fixed size and is broadc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one share, and keys that are divided.
 SHARE, MOST_LARGE = 20_000, 2_000
 
 
+def digest(c: str, name: str) -> list[Column]:
+    """128 bits of a text as two numbers: long keys are joined by these, not by their texts."""
+    return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(7), c).alias(f"{name}2")]
+
+
 def large_keys(counts: DataFrame, key: list[str], count: str) -> DataFrame:
     """counts(key..., count) -> key..., _shares of the keys with more rows than a share holds, the largest MOST_LARGE of them."""
     n = counts.where(F.col(count) > SHARE).groupBy(*key).agg(F.max(count).alias("_n"))

@@ -277,11 +277,12 @@ def cross_split_pairs(train: DataFrame, tts: DataFrame, holdout: DataFrame, pilo
     texts = training_texts(train, tts)
     keys = texts.select("train_key").where("train_key is not null").distinct()
     by_id = ids.join(keys, "train_key").select("eval_key", "eval_set", "train_key", F.lit("id").alias("how"))
-    a = refs.where("seq is not null").select("eval_key", "eval_set", F.xxhash64("seq").alias("r"), F.col("seq").alias("ref")).distinct()
-    b = texts.where("seq is not null and train_key is not null").select("train_key", F.xxhash64("seq").alias("t"), "seq").distinct()
-    near = text_pairs(refs.select("seq"), b.select("seq")).select("ref", F.xxhash64("ref").alias("r"), "seq", F.xxhash64("seq").alias("t"))
-    found = members.join_divided(near, b, ["t", "seq"], members.large_keys(b.groupBy("t", "seq").agg(F.count(F.lit(1)).alias("n")), ["t", "seq"], "n"), "train_key")
-    found = members.join_divided(found.select("ref", "r", "train_key"), a, ["r", "ref"], members.large_keys(a.groupBy("r", "ref").agg(F.count(F.lit(1)).alias("n")), ["r", "ref"], "n"), "eval_key")
+    a = refs.where("seq is not null").select("eval_key", "eval_set", *members.digest("seq", "r")).distinct()
+    b = texts.where("seq is not null and train_key is not null").select("train_key", *members.digest("seq", "t")).distinct()
+    near = text_pairs(refs.select("seq"), texts.where("train_key is not null").select("seq")).select(*members.digest("ref", "r"), *members.digest("seq", "t"))
+    large = lambda x, k: members.large_keys(x.groupBy(*k).agg(F.count(F.lit(1)).alias("n")), k, "n")
+    found = members.join_divided(near, b, ["t1", "t2"], large(b, ["t1", "t2"]), "train_key")
+    found = members.join_divided(found.select("r1", "r2", "train_key"), a, ["r1", "r2"], large(a, ["r1", "r2"]), "eval_key")
     return by_id.unionByName(found.select("eval_key", "eval_set", "train_key", F.lit("text").alias("how"))).distinct()
 
 
