@@ -188,12 +188,14 @@ def look_alike_pairs(texts: DataFrame) -> DataFrame:
     texts get the records of its two sides. Exact copies are never paired with one
     another, so no row is made that is not a result.
     """
-    rows = look_alike_classes(texts).where("differs").select("field_name", F.sha2("canon", 256).alias("look"), F.sha2("text", 256).alias("t"), "rec_key")
-    kinds = rows.groupBy("field_name", "look", "t").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda x: kinds.select("field_name", "look", F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"))
-    pairs = side("a").join(side("b"), ["field_name", "look"]).where("t_a < t_b")
-    found = members.expand(pairs, rows.select("field_name", F.col("t").alias("t_a"), F.col("rec_key").alias("one")), ["field_name", "t_a"], "n_a", "one")
-    found = members.expand(found, rows.select("field_name", F.col("t").alias("t_b"), F.col("rec_key").alias("two")), ["field_name", "t_b"], "n_b", "two")
+    made = with_canonical(texts.select("field_name", "rec_key", "text").where("text is not null and rec_key is not null"), "text")
+    rows = cut(made.select("field_name", "rec_key", *members.digest("canon", "l"), *members.digest("text", "t")).distinct())
+    kinds = rows.groupBy("field_name", "l1", "l2", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: kinds.select("field_name", "l1", "l2", F.col("t1").alias(f"{x}1"), F.col("t2").alias(f"{x}2"), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), ["field_name", "l1", "l2"]).where("(a1, a2) < (b1, b2)").drop("l1", "l2")
+    of = lambda x, name: rows.select("field_name", F.col("t1").alias(f"{x}1"), F.col("t2").alias(f"{x}2"), F.col("rec_key").alias(name))
+    found = members.expand(pairs, of("a", "one"), ["field_name", "a1", "a2"], "n_a", "one")
+    found = members.expand(found, of("b", "two"), ["field_name", "b1", "b2"], "n_b", "two")
     return found.where("one != two").select("field_name", F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b")).distinct()
 
 
