@@ -1,13 +1,11 @@
 """Text functions: Column -> Column, built-in expressions wherever Spark has them.
 
-Only character names and the per-character cleaning contract need an Arrow UDF;
-everything else stays in the JVM. Null in,
+Only character names need an Arrow UDF; everything else stays in the JVM. Null in,
 null out, unless a function says otherwise.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -32,8 +30,6 @@ PRESENTATION = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 # The separators of a wide whitespace split.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_SUPPORTED = frozenset(SUPPORTED_LETTERS + SUPPORTED_MARKS + DAGGER_ALEF)
-
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -182,55 +178,35 @@ def kept_share(source: str | Column, output: str | Column) -> Column:
 
 
 # ---- The cleaning contract --------------------------------------------------
-CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("flags", T.ArrayType(T.StringType())), T.StructField("dropped", T.ArrayType(T.StringType()))])
 UNFAIR = ("latin", "digits", "no_msa_equivalent")
-_LATIN_RE, _FORM_RE, _SPACES_RE = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[ﭐ-﷿ﹰ-﻿]"), re.compile(r"\s+")
-
-
-def _fate(ch: str) -> tuple[str | None, str | None]:
-    """(what is written instead, flag); None: the character is dropped."""
-    if ch in _SUPPORTED:
-        return ch, None
-    if ch.isspace():
-        return " ", None
-    if ch in SCRIPT_VARIANTS:
-        return SCRIPT_VARIANTS[ch], "script_variant"
-    kind = unicodedata.category(ch)
-    if ch == TATWEEL or kind == "Mn":
-        return None, "non_phonemic_mark"
-    if ch in FOREIGN_LETTERS:
-        return None, "no_msa_equivalent"
-    if kind[0] == "P":
-        return " ", "punctuation"
-    return None, "unsupported_character"
-
-
-class Cleaner:
-    """Applies the contract with one lookup per character; fates are remembered."""
-
-    def __init__(self):
-        self.fates: dict[str, tuple[str | None, str | None]] = {}
-
-    def __call__(self, text: str) -> tuple[str, list[str], list[str]]:
-        flags = {name for name, hit in (("latin", _LATIN_RE.search(text)), ("digits", any(map(str.isdigit, text))), ("presentation_form", _FORM_RE.search(text))) if hit}
-        kept, lost = [], []
-        for ch in unicodedata.normalize("NFKC", text):
-            fate = self.fates.get(ch) or self.fates.setdefault(ch, _fate(ch))
-            if fate[1]:
-                flags.add(fate[1])
-            if fate[0] is None:
-                lost.append(ch)
-            else:
-                kept.append(fate[0])
-        return _SPACES_RE.sub(" ", "".join(kept)).strip(), sorted(flags), lost
-
-
-@F.pandas_udf(CLEANED)
-def clean(s: pd.Series) -> pd.DataFrame:
-    """struct(text, flags, dropped): folded text, what had to be done, and the characters that went."""
-    one = Cleaner()
-    rows = [one(x) if x is not None else (None, None, None) for x in s]
-    return pd.DataFrame(rows, columns=["text", "flags", "dropped"], dtype=object)
+_KEPT = f"{SUPPORTED_LETTERS}{SUPPORTED_MARKS}{DAGGER_ALEF}{SPACE[1:-1]}"
+_OTHER_MARK = f"[{TATWEEL}[\\p{{Mn}}&&[^{_KEPT}]]]"
+#: flag -> the characters that raise it, of the text as given and of its composed compatibility form.
+RAW_FLAGS = {"latin": LATIN, "presentation_form": PRESENTATION}
+FORM_FLAGS = {
+    "script_variant": f"[{''.join(SCRIPT_VARIANTS)}]",
+    "non_phonemic_mark": _OTHER_MARK,
+    "no_msa_equivalent": f"[{FOREIGN_LETTERS}]",
+    "punctuation": r"\p{P}",
+    "unsupported_character": f"[^{_KEPT}{''.join(SCRIPT_VARIANTS)}{FOREIGN_LETTERS}{TATWEEL}\\p{{Mn}}\\p{{P}}]",
+}
+_DROPPED = f"[^{_KEPT}{''.join(SCRIPT_VARIANTS)}\\p{{P}}]"
+
+
+def clean(x: str | Column) -> Column:
+    """struct(text, flags, dropped): folded text, what had to be done, and the characters that went, in order.
+
+    Punctuation becomes a blank, variants of letters the usual letter; all other
+    characters that are not supported go.
+    """
+    raw = _c(x)
+
+    def of(form: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(form, _DROPPED, ""), r"\p{P}", " ")
+        flags = flag_set(*((n, F.rlike(raw, F.lit(p))) for n, p in RAW_FLAGS.items()), ("digits", has_digits(raw)), *((n, F.rlike(form, F.lit(p))) for n, p in FORM_FLAGS.items()))
+        return F.struct(squeeze(F.translate(text, "".join(SCRIPT_VARIANTS), "".join(SCRIPT_VARIANTS.values()))).alias("text"), flags.alias("flags"), F.regexp_extract_all(form, F.lit(f"({_DROPPED})"), 1).alias("dropped"))
+
+    return F.when(raw.isNotNull(), let(nfkc(raw), of))
 
 
 def fair(flags: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 A tool maps a list of texts to a list of texts of the same length and order. It
 is built once per worker, behind an Arrow iterator; over-long inputs are packed
-into word chunks, sent in one flat call, and joined again.
+into word chunks as a list column.
 """
 
 from __future__ import annotations
@@ -11,10 +11,15 @@ import subprocess
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text as X
+
 
 class BatchTool(Protocol):
     name: str
@@ -38,50 +43,53 @@ def build(name: str) -> BatchTool:
     return _REGISTRY[name]()
 
 
-def pack_words(text: str, limit: int) -> list[str]:
-    """Chunks of whole words of at most `limit` characters, as full as possible from the left; a longer word is an error."""
-    chunks: list[str] = []
-    for w in text.split():
-        if len(w) > limit:
-            raise ValueError(f"a word of {len(w)} characters exceeds the limit of {limit}")
-        if chunks and len(chunks[-1]) + 1 + len(w) <= limit:
-            chunks[-1] += " " + w
-        else:
-            chunks.append(w)
-    return chunks
-
-
-def run_long(tool: BatchTool, texts: list[str]) -> tuple[list[str], list[int]]:
-    """(outputs, seams): texts within the limit pass unsplit, white space intact."""
-    limit = tool.max_input_chars
-    parts = [[t] if limit is None or len(t) <= limit else pack_words(t, limit) for t in texts]
-    flat = tool.run([p for ps in parts for p in ps])
-    if len(flat) != sum(map(len, parts)):
-        raise ValueError(f"{tool.name} returned {len(flat)} texts for {sum(map(len, parts))}")
-    out, at = [], 0
-    for ps in parts:
-        out.append(" ".join(flat[at : at + len(ps)]))
-        at += len(ps)
-    return out, [max(0, len(ps) - 1) for ps in parts]
-
-
-def apply_tool(df: DataFrame, make: Callable[[], BatchTool], text: str, out: str = "output") -> DataFrame:
-    """Adds `out` and seams; null texts stay null with no seam."""
+def word_chunks(text: str | Column, limit: int | None) -> Column:
+    """array<string> of what a tool is given: the text as it is within the limit, else chunks of whole words.
+
+    Chunks are as full as possible from the left; a word longer than the limit is an
+    error; white space between words becomes one blank.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    if limit is None:
+        return F.when(c.isNotNull(), F.array(c))
+    state = F.struct(F.array().cast("array<string>").alias("full"), F.lit("").alias("open"))
+
+    def take(s: Column, w: Column) -> Column:
+        word = F.when(F.length(w) > limit, F.raise_error(F.concat(F.lit("a word is longer than the limit of "), F.lit(str(limit))))).otherwise(w)
+        more = F.when(s["open"] == "", word).otherwise(F.concat_ws(" ", s["open"], word))
+        fits = F.length(more) <= limit
+        return F.struct(F.when(fits, s["full"]).otherwise(F.array_append(s["full"], s["open"])).alias("full"), F.when(fits, more).otherwise(word).alias("open"))
+
+    packed = F.aggregate(X.words(c), state, take, lambda s: F.filter(F.array_append(s["full"], s["open"]), lambda p: p != ""))
+    return F.when(F.length(c) <= limit, F.array(c)).when(c.isNotNull(), packed)
+
+
+def apply_tool(df: DataFrame, make: Callable[[], BatchTool], text: str, out: str = "output", limit: int | None = None) -> DataFrame:
+    """Adds `out` and seams: what the tool makes of each text, and the joints of its chunks. Null texts stay null with no seam.
+
+    Chunks are packed in the JVM as a list column. The tool, built once a worker, is
+    called once for the chunks of a whole Arrow batch; its answers take the lists'
+    offsets and are joined again in the JVM.
+    """
     df = df.drop(out, "seams")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("seams", T.IntegerType())])
+    names = df.columns
+    x = df.withColumn("_parts", word_chunks(text, limit))
 
     def run(batches):
         tool = make()
         for b in batches:
-            texts = b.column(text).to_pylist()
-            full = [i for i, t in enumerate(texts) if t is not None]
-            done, seams = run_long(tool, [texts[i] for i in full])
-            o, s = [None] * len(texts), [0] * len(texts)
-            for i, x, n in zip(full, done, seams):
-                o[i], s[i] = x, n
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(o, pa.string()), pa.array(s, pa.int32())], [*b.schema.names, out, "seams"])
-
-    return df.mapInArrow(run, schema)
+            parts = b.column("_parts")
+            flat = parts.flatten().to_pylist()
+            got = tool.run(flat)
+            if len(got) != len(flat):
+                raise ValueError(f"{tool.name} gave {len(got)} answers to {len(flat)} texts")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(parts), 0))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            answers = pa.ListArray.from_arrays(ends, pa.array(got, pa.string()), mask=parts.is_null())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), answers], [*names, "_parts"])
+
+    done = x.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_parts", T.ArrayType(T.StringType()))]))
+    return done.select(*names, F.array_join("_parts", " ").alias(out), F.greatest(F.coalesce(F.size("_parts"), F.lit(0)) - 1, F.lit(0)).alias("seams"))
 
 
 class MarkStripper:
