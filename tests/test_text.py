@@ -26,6 +26,8 @@ def one(spark, value, column, kind="string"):
         ("نعم ok", "نعم", ["latin", "unsupported_character"]),
         ("نعم 3", "نعم", ["digits", "unsupported_character"]),
         ("نـعم", "نعم", ["non_phonemic_mark"]),
+        ("أۖبٰ  چ؟", "أبٰ", ["no_msa_equivalent", "non_phonemic_mark", "punctuation"]),
+        ("۱² ☺", "", ["digits", "unsupported_character"]),
         ("", "", []),
     ],
 )
@@ -181,6 +183,46 @@ def test_nfc_is_composed(spark):
     assert one(spark, s, X.nfc("x")) == unicodedata.normalize("NFC", s)
 
 
+@pytest.mark.parametrize(
+    "word,want",
+    [("كِتَابًا", "tanwin fath"), ("كَتَبَ", "fatha"), ("مِنْ", "sukun"), ("كتب", "(bare)"), ("رَبِّ", "kasra"), ("رَبّ", "fatha"), ("عَلَى", "fatha"), ("هٰذا", "superscript alef"), ("بَيْتٌ", "tanwin damm"), ("", "(bare)"), (None, None)],
+)
+def test_final_mark_is_the_last_one_in_the_word(spark, word, want):
+    assert one(spark, word, P.final_mark("x")) == want
+
+
+def test_published_word_rate_follows_the_convention(spark):
+    rows = [("كَتَبَ الْوَلَدُ أَمْسِ", "كَتَبُ الْوَلَدُ أَمْسِ"), ("كَتَبَ", "كَتَبُ"), ("كَتَبَ الْوَلَدُ", "كَتَبَ"), ("الرَّحْمَٰنِ", "الرَّحْمَنِ"), ("كَتَبَ (Reuters)", "كَتَبَ")]
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)] * 2, "g string, r string, h string")
+    got = {(x.g, x.case_endings): (x.label_distance // 2, x.labels // 2, x.word_distance // 2, x.words // 2) for x in M.published_scores(df, "r", "h", ["g"]).collect()}
+    assert got["0", True] == (1, 15, 1, 3) and got["0", False] == (0, 15, 0, 3)  # a case ending before a blank is free
+    assert got["1", True][0] == got["1", False][0] == 1 and got["1", False][2] == 1  # the last word keeps its ending
+    assert got["2", True] == (6, 11, 1, 2) and got["3", True][0] == 0 and got["4", True] == (0, 5, 0, 1)
+    assert one(spark, "كَتَبَ الْوَلَدُ", M.published_words("x", False))[0] == "كَتَب"
+
+
+def test_conversion_conventions(spark):
+    say = lambda t, c="prescriptive": one(spark, t, g2p.phonemes("x", c))
+    full = say("ذَهَبَ الْوَلَدُ")
+    assert full[-1] == "u" and say("ذَهَبَ الْوَلَدُ", "pausal") == full[:-1]
+    assert "n" in say("بَيْتٌ كَبِيرٌ") and "n" not in say("بَيْتٌ كَبِيرٌ", "pausal")
+    assert "aa" in say("شُكْرًا", "pausal") and say("شُكْرًا", "pausal") == "$ u k r aa".split() and say("شُكْرًا")[-2:] == ["a", "n"] == say("شُكْراً")[-2:]
+    city = say("فِي الْمَدِينَةِ")
+    assert city[-2:] == ["t", "i"] and say("فِي الْمَدِينَةِ", "pausal") == city[:-2]
+    assert "yy" in say("أَيَّ") and say("الرَّحْمَٰنِ") == say("الرَّحْمَنِ") and "aa" not in say("الرَّحْمَٰنِ")
+    shadda_first, vowel_first = "\u0625\u0650\u0646\u0651\u064e", "\u0625\u0650\u0646\u064e\u0651"
+    assert say(shadda_first, "pausal") == say(vowel_first, "pausal") and "nn" in say(vowel_first, "pausal")
+    assert say("بَيْتٌ\nبَيْتٌ") == say("بَيْتٌ بَيْتٌ") and say("   \n  ") == [] and "rr" in say("الرَّحِيمِ")
+    for t in ("إِلاَّ", "عَلَىٍّ", "دُجَىٌّ"):
+        assert set(say(t, "pausal")) <= set(P.INVENTORY)
+    assert say("كَتَبُوا") == "k a t a b uu".split()
+
+
+def test_power_and_recommendation(spark):
+    row = spark.range(1).select(R.did_error(F.lit(2.0), F.lit(1.0), F.lit(0.5)).alias("se"), R.recommendation(F.lit(0.0907), F.lit(0.1635)).alias("a"), R.recommendation(F.lit(0.2), F.lit(0.1635)).alias("b"), R.recommendation(F.lit(float("nan")), F.lit(1.0)).alias("c")).first()
+    assert row.se == pytest.approx(2.0) and row.a.decision == "keep" and row.a.margin == pytest.approx(0.1635 / 0.0907) and row.b.decision == row.c.decision == "cut"
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(16, 1363), (42, 293), (0, 0), (0, 10), (10, 10)], "k long, n long")
     lo, hi = R.wilson("k", "n")

@@ -56,7 +56,7 @@ def convert_word(word: str) -> list[str]:
     units = _units(word)
     lengthen = "".join(c for c, _ in units) in UNWRITTEN_A
     vowel = ""  # quality of the vowel just written, if it can still be lengthened
-    backed = False
+    backed = bare = False  # bare: the consonant just written has no mark
 
     def say(quality: str) -> None:
         nonlocal vowel
@@ -65,13 +65,25 @@ def convert_word(word: str) -> list[str]:
 
     for k, (ch, marks) in enumerate(units):
         plain = not set(marks) - {X.SUKUN}
+        was_bare, bare = bare, False
+        if ch == "ة" and not set(marks) & (VOWELS.keys() | NUNATION.keys()):
+            vowel = ""
+            continue  # silent where no ending is read after it
         if ch in "اى" or (ch == "و" and vowel == "u" and not marks) or (ch == "ي" and vowel == "i" and not marks):
             if ch in "اى" and not plain:  # a connecting alef that carries its own vowel
                 if k == 0 and marks[0] in VOWELS:
                     backed = False
                     phones.append("<")
                     say(VOWELS[marks[0]])
+                elif k and any(m in NUNATION for m in marks):
+                    for m in marks:
+                        if m in NUNATION:
+                            say(NUNATION[m])
+                            phones.append("n")
+                    vowel = ""
                 continue
+            if k and ch in "اى" and was_bare:  # the vowel before it is not written
+                say("a")
             if phones and (vowel == "a" and ch in "اى" or vowel == "u" and ch == "و" or vowel == "i" and ch == "ي"):
                 phones[-1] *= 2
             vowel = ""
@@ -86,7 +98,7 @@ def convert_word(word: str) -> list[str]:
         if ch == "ل" and not marks and k == 1 and units[0][0] == "ا" and k + 1 < len(units) and X.SHADDA in units[k + 1][1]:
             continue  # the article's l is taken up by the doubled letter
         phones.append(symbol * 2 if X.SHADDA in marks else symbol)
-        backed, vowel = symbol in EMPHATIC, ""
+        backed, vowel, bare = symbol in EMPHATIC, "", not marks
         for m in marks:
             if m in VOWELS:
                 say(VOWELS[m])

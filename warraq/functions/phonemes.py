@@ -38,15 +38,20 @@ def phoneme_class(t: str | Column) -> Column:
     return F.when(c.isin(*SHORT), "short").when(c.isin(*LONG), "long").otherwise("consonant")
 
 
+# Names of the marks by which a word's ending is told.
+MARK_NAMES = {"\u064b": "tanwin fath", "\u064c": "tanwin damm", "\u064d": "tanwin kasr", "\u064e": "fatha", "\u064f": "damma", "\u0650": "kasra", "\u0652": "sukun", "\u0670": "superscript alef"}
+
+
 def final_mark(word: str | Column) -> Column:
-    """The last mark of a word besides shadda, by name; '(bare)' if its last letter has none."""
-    c = F.regexp_replace(F.col(word) if isinstance(word, str) else word, X.SHADDA, "")
-    last = F.substring(c, -1, 1)
-    names = {"ً": "fathatan", "ٌ": "dammatan", "ٍ": "kasratan", "َ": "fatha", "ُ": "damma", "ِ": "kasra", "ْ": "sukun", "ٰ": "dagger_alef"}
-    out = None
-    for mark, name in names.items():
-        out = F.when(last == mark, name) if out is None else out.when(last == mark, name)
-    return out.otherwise("(bare)")
+    """Name of the last mark that a word carries anywhere, shadda not counted; '(bare)' without any.
+
+    Tanwin is written on the letter before a final alef, so the last mark need not
+    stand on the last letter. Null stays null.
+    """
+    c = F.col(word) if isinstance(word, str) else word
+    last = F.regexp_extract(c, f"([{''.join(MARK_NAMES)}])[^{''.join(MARK_NAMES)}]*$", 1)
+    names = F.create_map(*(F.lit(x) for pair in MARK_NAMES.items() for x in pair))
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(names, last), F.lit("(bare)")))
 
 
 # ---- codec -------------------------------------------------------------------

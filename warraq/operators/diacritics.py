@@ -46,37 +46,54 @@ def scores(rows: DataFrame, reference: str, hypothesis: str, by: list[str], vari
     return g.select("*", R.ratio("errors", "positions", "zero").alias("der"), R.ratio("word_errors", "words", "zero").alias("wer"))
 
 
-def published_labels(x: str | Column, case_endings: bool = True) -> Column:
-    """<BOS>, a label for each letter and each blank, <EOS>.
+def _published_units(x: str | Column) -> Column:
+    """array<struct<letter, label>>: each letter and each blank between words with its sorted marks.
 
-    The dagger alef is deleted; what is neither letter nor mark divides words and
-    adds no label. Without case endings the letter before a blank gets an empty
-    label, and the length stays.
+    The dagger alef is deleted; what is neither letter nor mark divides words.
     """
-    c = X._c(x)
-    clean = X.squeeze(F.regexp_replace(F.regexp_replace(c, f"[{X.DAGGER_ALEF}{X.TATWEEL}]", ""), f"[^{X.LETTER}{X.MARKS}]", " "))
+    clean = X.squeeze(F.regexp_replace(F.regexp_replace(X._c(x), f"[{X.DAGGER_ALEF}{X.TATWEEL}]", ""), f"[^{X.LETTER}{X.MARKS}]", " "))
     units = F.regexp_extract_all(clean, F.lit(f"([^{X.MARKS}][{X.MARKS}]*)"), 1)
     marks = lambda u: F.array_join(F.sort_array(F.filter(F.split(F.substring(u, 2, 2**30), ""), lambda m: m != "")), "")
-    hidden = lambda us, i: F.lit(not case_endings) & (F.coalesce(F.get(us, i + 1), F.lit("")) == " ")
-    label = X.let(units, lambda us: F.transform(us, lambda u, i: F.when(hidden(us, i), F.lit("")).otherwise(marks(u))))
-    return F.concat(F.array(F.lit("<BOS>")), label, F.array(F.lit("<EOS>")))
+    return F.transform(units, lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), marks(u).alias("label")))
+
+
+def _without_endings(units: Column) -> Column:
+    """The label of a letter before a blank is emptied; the length stays."""
+    masked = lambda us: F.transform(us, lambda u, i: F.struct(u["letter"].alias("letter"), F.when(F.coalesce(F.get(us, i + 1)["letter"], F.lit("")) == " ", "").otherwise(u["label"]).alias("label")))
+    return X.let(units, masked)
+
+
+def _labels_of(units: Column) -> Column:
+    return F.concat(F.array(F.lit("<BOS>")), F.transform(units, lambda u: u["label"]), F.array(F.lit("<EOS>")))
+
 
+def _words_of(units: Column) -> Column:
+    return F.split(F.array_join(F.transform(units, lambda u: F.concat(u["letter"], u["label"])), ""), " ")
 
-def published_words(x: str | Column) -> Column:
-    """Words as units of the word error rate."""
-    c = X._c(x)
-    return X.words(F.regexp_replace(F.regexp_replace(c, f"[{X.DAGGER_ALEF}{X.TATWEEL}]", ""), f"[^{X.LETTER}{X.MARKS}]", " "))
+
+def published_labels(x: str | Column, case_endings: bool = True) -> Column:
+    """<BOS>, a label for each letter and each blank, <EOS>; without case endings the letter before a blank has an empty one."""
+    units = _published_units(x)
+    return _labels_of(units if case_endings else _without_endings(units))
+
+
+def published_words(x: str | Column, case_endings: bool = True) -> Column:
+    """Words as units of the word error rate: their letters with the labels that count; a text without letters is one empty word."""
+    units = _published_units(x)
+    return _words_of(units if case_endings else _without_endings(units))
 
 
 def published_scores(rows: DataFrame, reference: str, hypothesis: str, by: list[str]) -> DataFrame:
-    """by..., case_endings, edit distances over labels and words with their rates."""
-    x = rows.where(F.col(reference).isNotNull() & F.col(hypothesis).isNotNull())
-    parts = []
-    for ce in (True, False):
-        r, h = published_labels(reference, ce), published_labels(hypothesis, ce)
-        parts.append(x.select(*by, F.lit(ce).alias("case_endings"), r.alias("r"), h.alias("h"), published_words(reference).alias("rw"), published_words(hypothesis).alias("hw")))
-    both = parts[0].unionByName(parts[1])
-    g = both.groupBy(*by, "case_endings").agg(F.sum(P.token_distance("r", "h")).alias("label_distance"), F.sum(F.size("r")).alias("labels"), F.sum(P.token_distance("rw", "hw")).alias("word_distance"), F.sum(F.size("rw")).alias("words"))
+    """by..., case_endings, edit distances over labels and words with their rates.
+
+    Each different pair of texts is read and scored once, under both conventions.
+    """
+    x = rows.where(F.col(reference).isNotNull() & F.col(hypothesis).isNotNull()).groupBy(*by, F.col(reference).alias("_r"), F.col(hypothesis).alias("_h")).agg(F.count("*").alias("_n"))
+    x = x.select(*by, "_n", _published_units("_r").alias("_r"), _published_units("_h").alias("_h"))
+    arms = F.array(F.struct(F.lit(True).alias("case_endings"), F.col("_r").alias("r"), F.col("_h").alias("h")), F.struct(F.lit(False).alias("case_endings"), _without_endings(F.col("_r")).alias("r"), _without_endings(F.col("_h")).alias("h")))
+    x = x.select(*by, "_n", F.explode(arms).alias("a")).select(*by, "_n", "a.case_endings", _labels_of(F.col("a.r")).alias("r"), _labels_of(F.col("a.h")).alias("h"), _words_of(F.col("a.r")).alias("rw"), _words_of(F.col("a.h")).alias("hw"))
+    total = lambda c: F.sum(c.cast("long") * F.col("_n"))
+    g = x.groupBy(*by, "case_endings").agg(total(P.token_distance("r", "h")).alias("label_distance"), total(F.size("r")).alias("labels"), total(P.token_distance("rw", "hw")).alias("word_distance"), total(F.size("rw")).alias("words"))
     return g.select("*", R.ratio("label_distance", "labels", "zero").alias("der"), R.ratio("word_distance", "words", "zero").alias("wer"))
 
 
