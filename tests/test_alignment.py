@@ -91,6 +91,23 @@ def test_long_and_short_in_one_batch():
     assert len(to_b[0]) == 1800 and (to_b[0] >= 0).sum() == 1799 and to_b[1].tolist() == [-1] and to_b[2].tolist() == []
 
 
+def test_pairs_beyond_the_matrix_bound(monkeypatch):
+    """A pair too long for one matrix is traced back interval by interval: the same alignment."""
+    r = random.Random(9)
+    pairs = [([r.choice("abc") for _ in range(r.randrange(0, 40))], [r.choice("abc") for _ in range(r.randrange(0, 40))]) for _ in range(120)]
+    want = A.align(*A.number_tokens(*zip(*pairs)))
+    monkeypatch.setattr(A, "CELLS", 60)
+    got = A.align(*A.number_tokens(*zip(*pairs)))
+    assert all((p == q).all() for a, b in zip(want, got) for p, q in zip(a, b))
+
+
+def test_aligned_elements(spark):
+    row = [([("a", 1), ("b", 2), ("c", 3)], [("a", 7), ("c", 8), ("d", 9)]), (None, [("a", 1)]), ([], [])]
+    df = spark.createDataFrame(row, "x array<struct<t: string, n: int>>, y array<struct<t: string, n: int>>")
+    got = [[(p.a and p.a.n, p.b and p.b.n) for p in r[0]] for r in df.select(A.aligned_elements(F.col("x"), F.col("y"), "t")).collect()]
+    assert got[0] == [(1, 7), (2, None), (3, 8), (None, 9)] and got[2] == []
+
+
 def test_counts_null_empty_repeated_and_clashing(spark):
     rows = [("a b", "a b", "a c", "x", 1)] * 3 + [(None, "a", "", "x", 2), ("", "", "", "y", 3)]
     df = spark.createDataFrame(rows, "c string, s string, h string, speaker string, n int")
