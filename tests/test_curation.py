@@ -97,7 +97,39 @@ def test_batches_and_order(spark):
     assert {(x.bucket, x.n) for x in H.bucket_histogram(df, "n", [2, 5]).collect()} == {(-1, 2), (0, 3), (1, 4)}
 
 
-def test_bootstrap(spark):
+def test_places_over_ranges(spark):
+    """A group with a third of all rows, nulls in the order, ties told apart by the id: the places of one sort."""
+    from warraq.operators.ranking import with_place
+
+    r = random.Random(4)
+    rows = [(i, "hot" if i % 3 == 0 else r.choice("abc"), r.choice([None, 1, 2, 3, 50])) for i in range(900)] + [(900, None, 1)]
+    x = with_place(spark.createDataFrame(rows, "id int, g string, n int").repartition(7), ["g"], [F.col("n"), F.col("id")], "place")
+    want = {}
+    for g in {g for _, g, _ in rows}:
+        own = sorted((n is not None, n or 0, i) for i, h, n in rows if h == g)
+        want |= {i: k for k, (_, _, i) in enumerate(own)}
+    assert x.columns == ["id", "g", "n", "place"] and {y.id: y.place for y in x.collect()} == want
+    assert with_place(spark.createDataFrame([], "id int, g string, n int"), ["g"], [F.col("n")], "place").count() == 0
+
+
+def test_order_summary_over_ranges(spark):
+    r = random.Random(5)
+    rows = [("a", float(r.choice([1, 2, 2, 3, 1000, r.random()]))) for _ in range(777)] + [("b", 5.0)] * 40 + [("c", None)] + [(None, float(i)) for i in range(41)]
+    got = {x.g: tuple(x)[1:] for x in H.order_summary(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        n = len(v)
+        assert got[g] == (n, v[0], v[n // 20], v[n // 2], v[9 * n // 10], v[n + (-n // 20)], v[-1])
+
+
+def test_halved_batches_and_prefix(spark):
+    df = spark.createDataFrame([(0, 9, 0), (1, 4, 0), (2, 3, 0), (3, 2, 1), (4, 99, 2)], "id int, n int, b int")
+    assert sorted(x.id for x in S.halve_oversized(df, "n", ["b"], 5).collect()) == [0, 3, 4]
+    assert [x.id for x in S.key_prefix(df, "n", 2).collect()] == [3, 2] and S.key_prefix(df, "n", None).count() == 5
+
+
+def test_bootstrap(spark, monkeypatch):
     a = spark.createDataFrame([("p1", 3, 5, 1), ("p2", 1, 2, 4), ("p3", 0, 2, 2)], "c string, fr int, fa int, tr int")
     b = spark.createDataFrame([("p1", 3, 1, 5), ("p2", 1, 1, 5), ("p3", 0, 1, 3)], "c string, fr int, fa int, tr int")
     x, y = (B.paired_bootstrap(a, b, "c", 200, s).first() for s in (1, 1))
@@ -107,6 +139,23 @@ def test_bootstrap(spark):
     with pytest.raises(ValueError):
         B.paired_bootstrap(a.limit(0), b, "c", 10, 1)
     assert B.cluster_se(a, "c", 100, 1).first().se > 0
+    # one generator draws for all replicates in turn
+    g, n, f1 = random.Random(7), {"p1": (3, 5, 1, 1, 5), "p2": (1, 2, 4, 1, 5), "p3": (0, 2, 2, 1, 3)}, lambda fr, fa, tr: 2 * tr / (2 * tr + fr + fa)
+    deltas = []
+    for _ in range(200):
+        draw = [sorted(n)[g.randrange(3)] for _ in range(3)]
+        s = [sum(n[p][i] for p in draw) for i in range(5)]
+        deltas.append(f1(s[0], s[3], s[4]) - f1(s[0], s[1], s[2]))
+    deltas.sort()
+    r = B.paired_bootstrap(a, b, "c", 200, 7).first()
+    assert (r.low, r.high) == (pytest.approx(deltas[5]), pytest.approx(deltas[195]))
+    monkeypatch.setattr(B, "BLOCK_CELLS", 10)
+    assert B.paired_bootstrap(a, b, "c", 200, 7).first() == r
+    d = {x.c: x.delta for x in B.delta_by_cluster(a, b, "c").collect()}
+    assert d["p1"] == pytest.approx(f1(3, 1, 5) - f1(3, 5, 1))
+    monkeypatch.setattr(B, "MOST_DRAWS", 10)
+    with pytest.raises(ValueError, match="at most"):
+        B.paired_bootstrap(a, b, "c", 200, 7)
 
 
 def test_queue_and_validation(spark):
@@ -128,8 +177,9 @@ def test_records(spark):
     assert r.suggested is None and r.flagged_words == [1, 3] and tuple(r.asDict()) == A.FIELDS
     with pytest.raises(Exception, match="needs a reason"):
         A.build_records(df.withColumn("status", F.lit("unusable"))).collect()
-    rep = A.file_report(df).first()
-    assert (rep.rows, rep.done, rep.median_seconds, rep.extend) == (1, 1, 10.0, False)
+    assigned = spark.createDataFrame([("a", 1, "a1", "blank", True, "f")], "id string, rank int, annotator string, condition string, crossover boolean, sentence string")
+    rep = A.file_report(A.checked_records(df, assigned)).first()
+    assert (rep.rows, rep.done, rep.crossover_done, rep.breaches, rep.blocking, rep.flagged, rep.median_seconds, rep.extend) == (1, 1, 1, 1, 0, 3, 10.0, False)
     two = df.unionByName(df.withColumn("final", F.lit("g")))
     wanted = spark.createDataFrame([("a",), ("b",)], "id string")
     g = {x.id: x for x in A.gold_texts(two, wanted).collect()}
@@ -137,6 +187,39 @@ def test_records(spark):
     assert not {x.id: x for x in A.gold_texts(two.withColumn("adjudicated", F.lit("h")), wanted).collect()}["a"].conflict
 
 
+@pytest.mark.parametrize("cross_done,cross_bad,other_bad,want", [(44, 6, 0, True), (45, 5, 0, False), (44, 5, 40, False), (30, 0, 30, False), (0, 50, 0, True)])
+def test_only_crossover_rows_count_for_the_extension(spark, cross_done, cross_bad, other_bad, want):
+    rows = [("c", i, "done") for i in range(cross_done)] + [("c", 100 + i, "unusable") for i in range(cross_bad)] + [("o", 200 + i, "unusable") for i in range(other_bad)] + [("o", 300 + i, "done") for i in range(20)]
+    block = spark.createDataFrame([(f"{k}{i}", "a1", "anchored", k == "c", "x") for k, i, _ in rows], "id string, annotator string, condition string, crossover boolean, sentence string")
+    rec = spark.createDataFrame([(f"{k}{i}", "a1", "anchored", "x", "x", s, None, None, "2025-01-01T00:00:00", "2025-01-01T00:00:05") for k, i, s in rows], "id string, annotator string, condition string, suggested string, final string, status string, flagged_words array<int>, ambiguous array<string>, started_at string, finished_at string")
+    r = A.file_report(A.checked_records(rec, block)).first()
+    assert (r.crossover_done, r.crossover_unusable, r.extend) == (cross_done, cross_bad, want)
+
+
+def test_ingest_checks(spark):
+    block = spark.createDataFrame([("r1", "a1", "anchored", False, "مِنْ الْبَيْتِ"), ("r2", "a1", "blank", True, "كتب")], "id string, annotator string, condition string, crossover boolean, sentence string")
+    rows = [("r1", "anchored", "مِنْ الْبَيْتِ", "مِنَ الْبَيْتِ", "done"), ("r1", "anchored", None, "من", "done"), ("r2", "blank", "x", "كَتَبَ", "done"), ("r2", "anchored", None, "q", "done"), ("zz", "blank", None, None, "done"), ("r2", "blank", None, None, "unusable")]
+    rec = spark.createDataFrame([(i, "a1", c, s, f, st, [1, 2], None, "x", str(k)) for k, (i, c, s, f, st) in enumerate(rows)], "id string, annotator string, condition string, suggested string, final string, status string, flagged_words array<int>, ambiguous array<string>, started_at string, finished_at string")
+    refs = spark.createDataFrame([("r2", "كتب")], "id string, reference string")
+    x = A.checked_records(rec, block, refs)
+    got = {int(r.finished_at): (r.duplicate, r.unknown, r.wrong_condition, r.breach, r.blocking, r.liaison) for r in x.collect()}
+    assert got == {0: (False, False, False, False, False, 1), 1: (True, False, False, False, True, 0), 2: (False, False, False, True, False, 0), 3: (False, False, True, False, False, 0), 4: (False, True, False, False, False, 0), 5: (True, False, False, False, False, 0)}
+    r = A.file_report(x).first()
+    assert (r.rows, r.done, r.unusable, r.duplicates, r.unknown, r.wrong_condition, r.breaches, r.blocking, r.liaison_rows, r.liaison_breaks, r.flagged, r.ambiguous, r.median_seconds) == (6, 3, 1, 2, 1, 1, 1, 1, 1, 1, 6, 0, None)
+    assert A.checked_records(rec.limit(0), block).count() == 0
+
+
+def test_confusions_and_base_rates(spark):
+    df = spark.createDataFrame([("كَتَبَ", "كِتَبَ")] * 3 + [("كَتَبَ", "كَتَب"), ("كَتَبَ", "كَتَبَ كَ"), (None, "x")], "g string, h string")
+    got = [(r.gold, r.written, r.n, r.place) for r in A.mark_confusions(df, "g", "h").orderBy("place").collect()]
+    assert got == [("\u064e", "\u0650", 3, 1), ("\u064e", "", 1, 2)]
+    assert len(A.mark_confusions(df, "g", "h", 1).collect()) == 1
+    rows = [("s", "error", [([0, 1], ["dialect"]), ([1, 2], [])], 5), ("s", "error", [([3], ["case"])], 5), ("s", "clean", None, 5), ("s", "unusable", [([1], [])], 5)]
+    x = spark.createDataFrame(rows, "g string, verdict string, errors array<struct<words: array<int>, tags: array<string>>>, n_words int")
+    r = A.base_rates(x, ["g"]).first()
+    assert (r.utterances, r.strict_utterances, r.lenient_utterances, r.words, r.strict_words, r.lenient_words) == (3, 2, 1, 15, 4, 2) and r.low < 2 / 15 < r.high
+
+
 def test_liaison(spark):
     df = spark.createDataFrame([("مِنْ الْبَيْتِ", "مِنَ الْبَيْتِ"), ("مِنْ بَيْتٍ", "مِنَ بَيْتٍ"), ("مِنْ الْبَيْتِ", "مِنَ")], "r string, f string")
     got = [(r.sites, r.breaks, r.blocking) for r in A.submission_checks(df, "r", "f", "r").collect()]
@@ -154,6 +237,14 @@ def test_punctuation_is_restored(spark):
     df = spark.createDataFrame([("كتب، رجُل.", "كَتَبَ رَجَل"), ("كتب،", "لا"), (None, "x")], "s string, d string")
     got = [r.o for r in A.with_punctuation(df, "s", "d", "o").collect()]
     assert got == ["كَتَبَ، رَجَل.", "لا", "x"]
+    r = random.Random(3)
+    for _ in range(15):  # a draft that adds marks and drops all else: nothing of the source is lost, and its marks are the draft's
+        words = ["".join(r.choice("بتكلم") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 6))]
+        marked = ["".join(c + r.choice(["", "َ", "ُّ"]) for c in w) for w in words]
+        gaps = [r.choice([" ", "، ", "... ", " «"]) for _ in words]
+        source, want = ("«" + "".join(w + g for w, g in zip(ws, gaps)) for ws in (words, marked))
+        got = A.with_punctuation(spark.createDataFrame([(source, " ".join(marked))], "s string, d string"), "s", "d", "o").first().o
+        assert got == want
 
 
 def test_pilot_groups(spark):

@@ -98,10 +98,22 @@ def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([exact_interval(int(a), int(b)) if a == a and b == b else (None, None) for a, b in zip(k, n)], columns=["low", "high"], dtype=float)
 
 
-def detectable(se, k, rho) -> Column:
-    """Smallest difference found with 80 % power: k times the rows under correlation rho."""
+def did_error(se, k, rho) -> Column:
+    """Standard error of a difference of differences: a second arm of k times the variance, correlated by rho."""
     k, rho = _c(k), _c(rho)
-    return POWER_Z * _c(se) * F.sqrt(1 + k - 2 * rho * F.sqrt(k))
+    return _c(se) * F.sqrt(1 + k - 2 * rho * F.sqrt(k))
+
+
+def detectable(se, k, rho) -> Column:
+    """Smallest difference of differences found with 80 % power."""
+    return POWER_Z * did_error(se, k, rho)
+
+
+def recommendation(mde, threshold) -> Column:
+    """struct(decision, margin): keep where the detectable difference lies below the threshold, else cut; null and NaN are cut."""
+    m = _c(mde)
+    keep = F.coalesce(~F.isnan(m) & (m < _c(threshold)), F.lit(False))
+    return F.struct(F.when(keep, "keep").otherwise("cut").alias("decision"), F.when(m != 0, _c(threshold) / m).alias("margin"))
 
 
 def order_statistic(values: Column, index: Column) -> Column:

@@ -90,6 +90,18 @@ def correct_rates(rows: DataFrame, reference: str, hypothesis: str, by: list[str
     return g.select("*", F.round(R.ratio(F.col("tokens") - bad, "tokens"), 4).alias("correct_rate"), F.round(R.ratio(F.col("tokens") - bad - F.col("insertions"), "tokens"), 4).alias("accuracy"))
 
 
+# The scorer's columns, of all symbols and of vowels only.
+SCORED_COLUMNS = {False: ("Reference_phn", "Annotation_phn"), True: ("Reference_vow_phn", "Annotation_vow_phn")}
+
+
+def scored_columns(truth: DataFrame, vowels_only: bool = False, key: str = "ID") -> DataFrame:
+    """key, reference, annotation of the table that a scorer is given; an error if it lacks one."""
+    ref, ann = SCORED_COLUMNS[vowels_only]
+    if not {key, ref, ann} <= set(truth.columns):
+        raise KeyError(f"{key}, {ref} and {ann} are needed, not {truth.columns}")
+    return truth.select(key, F.col(ref).alias("reference"), F.col(ann).alias("annotation"))
+
+
 def softmax(logits: str | Column) -> Column:
     """Probabilities of an array of logits, shifted by the largest."""
     from ..functions.text import let

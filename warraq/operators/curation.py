@@ -96,6 +96,18 @@ def holdout_filter(rows: DataFrame, ids: DataFrame, refs: DataFrame, id_: str =
     return x.withColumn("verdict", F.when(F.col("_by_id"), "id").when(F.col("_by_ref"), "phoneme").otherwise("keep")).drop("_ref", "_by_id", "_by_ref")
 
 
+def held_fractions(filtered: DataFrame, by: str) -> DataFrame:
+    """holdout_filter's rows -> by, rows, by_id, by_phoneme, held_share."""
+    g = filtered.groupBy(by).agg(F.count("*").alias("rows"), F.count_if(F.col("verdict") == "id").alias("by_id"), F.count_if(F.col("verdict") == "phoneme").alias("by_phoneme"))
+    return g.withColumn("held_share", (F.col("by_id") + F.col("by_phoneme")) / F.col("rows"))
+
+
+def scorable(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds skipped: the first of the columns whose text is null or blank; null where the row can be scored."""
+    blank = [F.when(F.coalesce(X.squeeze(c), F.lit("")) == "", F.lit(c)) for c in columns]
+    return rows.withColumn("skipped", F.coalesce(*blank))
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Guard: an error, before anything is written, if there is no row."""
     if df.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,26 +31,44 @@ def distinct_units(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(F.explode(X.words(text)).alias("unit")).distinct()
 
 
+#: Ranges of values into which a summary divides each group.
+RANGES = 256
+
+
 def order_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, least, p05, median, p90, p95, most: elements of the sorted values, without interpolation.
 
-    Values are first reduced to (value, count), so a hot group is a histogram and
-    not a list of its rows; places are n // 20, n // 2, 9 n // 10 and -(n // -20).
+    Values are first reduced to (value, count). Each group's values fall into
+    RANGES equal ranges between its least and its most; running counts of the
+    ranges and of the values within a range give the places, so no task holds all values of a group
+    unless they lie in one range. Places are n // 20, n // 2, 9 n // 10 and n + (-n // 20).
     """
-    by = by or []
-    h = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy("v")
-    all_ = Window.partitionBy(*by)
-    x = h.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(all_)).withColumn("lo", F.col("hi") - F.col("c"))
+    by = by or []
+    h = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    keys = [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)] or [F.lit(0).alias("_g0")]
+    names = [f"_g{i}" for i in range(max(1, len(by)))]
+    h = h.select(*keys, "v", "c")
+    ends = h.groupBy(*names).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in names]
+    both = lambda cs: reduce(lambda x, y: x & y, cs)
+    x = h.alias("h").join(ends.alias("e"), both(same("h", "e"))).select("h.*", "_lo", "_hi")
+    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / RANGES
+    place = F.when(width > 0, F.least(F.floor((F.col("v").cast("double") - F.col("_lo").cast("double")) / width), F.lit(RANGES - 1))).otherwise(0)
+    x = x.withColumn("_r", F.coalesce(place, F.lit(0)).cast("int")).select(*names, "v", "c", "_r")
+    w = Window.partitionBy(*names).orderBy("_r")  # at most RANGES rows a group
+    sums = x.groupBy(*names, "_r").agg(F.sum("c").alias("_s")).withColumn("_before", F.sum("_s").over(w) - F.col("_s")).withColumn("n", F.sum("_s").over(Window.partitionBy(*names)))
+    y = x.alias("x").join(sums.alias("s"), both([*same("x", "s"), F.col("x._r") == F.col("s._r")])).select("x.*", "_before", "n")
+    y = y.withColumn("hi", F.col("_before") + F.sum("c").over(Window.partitionBy(*names, "_r").orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c"))
 
     def at(place: Column, name: str) -> Column:
         return F.max(F.when((place >= F.col("lo")) & (place < F.col("hi")), F.col("v"))).alias(name)
 
     n = F.col("n")
     down = lambda c: F.floor(c).cast("long")
-    return x.groupBy(*by).agg(F.max("n").alias("n"), F.min("v").alias("least"), at(down(n / 20), "p05"), at(down(n / 2), "median"), at(down(9 * n / 10), "p90"), at(n + down(-n / 20), "p95"), F.max("v").alias("most"))
+    g = y.groupBy(*names).agg(F.max("n").alias("n"), F.min("v").alias("least"), at(down(n / 20), "p05"), at(down(n / 2), "median"), at(down(9 * n / 10), "p90"), at(n + down(-n / 20), "p95"), F.max("v").alias("most"))
+    return g.select(*(F.col(f"_g{i}").alias(b) for i, b in enumerate(by)), "n", "least", "p05", "median", "p90", "p95", "most")
 
 
 def bucket_histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -67,8 +87,8 @@ def cross_table(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def final_marks(rows: DataFrame, text: str, phonemes: str) -> DataFrame:
-    """Last word's mark against the class of the last phoneme."""
-    ws = X.arabic_words(text)
+    """Last word's mark against the class of the last phoneme; punctuation divides words, a word has a mark or a letter."""
+    ws = X.marked_words(text)
     x = rows.where(F.col(text).isNotNull() & F.col(phonemes).isNotNull()).select(ws.alias("w"), P.tokens(phonemes).alias("t")).where("size(w) > 0 and size(t) > 0")
     return x.groupBy(P.final_mark(F.try_element_at("w", F.lit(-1))).alias("mark"), P.phoneme_class(F.try_element_at("t", F.lit(-1))).alias("class")).agg(F.count("*").alias("n"))
 

@@ -1,8 +1,8 @@
 """Cluster bootstrap: paired draws of clusters, pooled counts, percentile intervals.
 
 The count table of the clusters is small by nature (one row a prompt or
-utterance of an evaluation set); its size is checked. Replicates are spread over
-the executors; only (delta) values of the replicates are sorted.
+utterance of an evaluation set); its size is checked. Replicates are worked
+through in blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rates as R
+
 MOST_CLUSTERS = 200_000
+#: Draws of one generator, and numbers of a block of replicates.
+MOST_DRAWS, BLOCK_CELLS = 50_000_000, 4_000_000
 
 
 def _f1(c: np.ndarray) -> np.ndarray:
@@ -32,39 +36,39 @@ def _frr(c: np.ndarray) -> np.ndarray:
 RATES = {"f1": (("fr", "fa", "tr"), _f1), "frr": (("ta", "fr"), _frr)}
 
 
-def draws(k: int, replicate: int, seed: int) -> np.ndarray:
-    """How often each of k clusters is drawn in one replicate."""
-    r = random.Random(seed * 1_000_003 + replicate)
-    return np.bincount([r.randrange(k) for _ in range(k)], minlength=k)
+def draws(k: int, replicates: int, seed: int):
+    """Blocks of rows, one a replicate: how often each of k clusters is drawn.
+
+    One generator serves all replicates in turn, as published intervals have it. A
+    block holds at most BLOCK_CELLS numbers, whatever k and the replicates.
+    """
+    r = random.Random(seed)
+    rows = max(1, BLOCK_CELLS // k)
+    for lo in range(0, replicates, rows):
+        yield np.stack([np.bincount([r.randrange(k) for _ in range(k)], minlength=k) for _ in range(min(rows, replicates - lo))]).astype(float)
 
 
 def paired_bootstrap(base: DataFrame, other: DataFrame, cluster: str, replicates: int, seed: int, rate: str = "f1") -> DataFrame:
     """One row: delta of the rate (other - base), interval, sd, excludes_zero.
 
     One draw serves both arms. Bounds are order statistics at int(.025 B) and
-    min(int(.975 B), B - 1); sd has B - 1 degrees; NaN replicates come last.
+    min(int(.975 B), B - 1); sd has B - 1 degrees; NaN replicates come last. The
+    draws of one generator follow one another, so they are made in one place: at
+    most MOST_DRAWS of them (portable_bootstrap has no such bound).
     """
     names, f = RATES[rate]
     x = base.select(cluster, *(F.col(c).alias(f"a_{c}") for c in names)).join(other.select(cluster, *(F.col(c).alias(f"b_{c}") for c in names)), cluster)
     rows = x.orderBy(cluster).limit(MOST_CLUSTERS + 1).collect()
-    if not rows or len(rows) > MOST_CLUSTERS:
-        raise ValueError(f"a bootstrap needs 1 to {MOST_CLUSTERS} shared clusters, not {len(rows)}")
+    if not rows or len(rows) > MOST_CLUSTERS or len(rows) * replicates > MOST_DRAWS:
+        raise ValueError(f"a bootstrap needs 1 to {MOST_CLUSTERS} shared clusters and at most {MOST_DRAWS} draws, not {len(rows)} clusters {replicates} times")
     a = np.array([[r[f"a_{c}"] for c in names] for r in rows], float)
     b = np.array([[r[f"b_{c}"] for c in names] for r in rows], float)
-    spark = base.sparkSession
-    sent = spark.sparkContext.broadcast((a, b))  # at most MOST_CLUSTERS small rows
-
-    def run(batches):
-        one, two = sent.value
-        for pdf in batches:
-            m = np.array([draws(len(one), int(i), seed) for i in pdf["id"]], float).reshape(len(pdf), len(one))
-            yield pdf.assign(delta=f(m @ two) - f(m @ one))
-
-    deltas = spark.range(replicates).mapInPandas(run, "id long, delta double")
-    g = deltas.agg(F.sort_array(F.collect_list("delta")).alias("d"), F.stddev_samp("delta").alias("sd"))
-    lo, hi = F.get("d", F.lit(int(0.025 * replicates))), F.get("d", F.lit(min(int(0.975 * replicates), replicates - 1)))
+    deltas = np.concatenate([f(m @ b) - f(m @ a) for m in draws(len(rows), replicates, seed)])
+    order = np.sort(deltas)
+    lo, hi = float(order[int(0.025 * replicates)]), float(order[min(int(0.975 * replicates), replicates - 1)])
+    sd = float(deltas.std(ddof=1)) if replicates > 1 else None
     point = float(f(b.sum(0)[None])[0] - f(a.sum(0)[None])[0])
-    return g.select(F.lit(len(rows)).alias("clusters"), F.lit(point).alias("delta"), lo.alias("low"), hi.alias("high"), "sd", ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+    return base.sparkSession.createDataFrame([(len(rows), point, lo, hi, sd, lo > 0 or hi < 0)], "clusters int, delta double, low double, high double, sd double, excludes_zero boolean")
 
 
 def portable_bootstrap(counts: DataFrame, cluster: str, value: str, weight: str, replicates: int, multiplier: int = 48_271, modulus: int = 2_147_483_647) -> DataFrame:
@@ -83,6 +87,19 @@ def portable_bootstrap(counts: DataFrame, cluster: str, value: str, weight: str,
     return picks.join(numbered, "_i").groupBy("replicate").agg((F.sum(value) / F.sum(weight)).alias("rate"))
 
 
+def _replicates(f, a: np.ndarray, n: int, p: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """The rate of each replicate that has one, in blocks of bounded size."""
+    rng, rows = np.random.default_rng(seed), max(1, BLOCK_CELLS // len(a))
+    v = np.concatenate([f(rng.multinomial(n, p, size=min(rows, replicates - lo)) @ a) for lo in range(0, replicates, rows)])
+    return v[~np.isnan(v)]
+
+
+def delta_by_cluster(base: DataFrame, other: DataFrame, cluster: str, empty: str = "nan") -> DataFrame:
+    """cluster, delta of F1 of each shared cluster's own counts (other - base)."""
+    f1 = lambda t, n: t.select(cluster, R.detection_rates(empty=empty)["f1"].alias(n))
+    return f1(base, "_a").join(f1(other, "_b"), cluster).select(cluster, (F.col("_b") - F.col("_a")).alias("delta"))
+
+
 def cluster_se(counts: DataFrame, cluster: str, replicates: int, seed: int, rate: str = "f1") -> DataFrame:
     """Standard error of a pooled rate under cluster resampling (sd of replicates)."""
     names, f = RATES[rate]
@@ -90,10 +107,7 @@ def cluster_se(counts: DataFrame, cluster: str, replicates: int, seed: int, rate
     if not rows or len(rows) > MOST_CLUSTERS:
         raise ValueError(f"resampling needs 1 to {MOST_CLUSTERS} clusters")
     a = np.array([[r[c] for c in names] for r in rows], float)
-    rng = np.random.default_rng(seed)
-    m = rng.multinomial(len(a), np.full(len(a), 1 / len(a)), size=replicates)
-    v = f(m @ a)
-    v = v[~np.isnan(v)]
+    v = _replicates(f, a, len(a), np.full(len(a), 1 / len(a)), replicates, seed)
     se = float(v.std(ddof=1)) if len(v) > 1 else float("nan")
     return counts.sparkSession.createDataFrame([(len(a), se)], "clusters int, se double")
 
@@ -106,6 +120,5 @@ def clip_equivalent_se(counts: DataFrame, cluster: str, clips: str, draws_: int,
         raise ValueError(f"resampling needs 1 to {MOST_CLUSTERS} clusters")
     n = np.array([r[clips] for r in rows], float)
     a = np.array([[r[c] for c in names] for r in rows], float) / n[:, None]
-    v = f(np.random.default_rng(seed).multinomial(draws_, n / n.sum(), size=replicates) @ a)
-    v = v[~np.isnan(v)]
+    v = _replicates(f, a, draws_, n / n.sum(), replicates, seed)
     return counts.sparkSession.createDataFrame([(len(rows), float(v.std(ddof=1)) if len(v) > 1 else float("nan"))], "clusters int, se double")

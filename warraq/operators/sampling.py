@@ -11,6 +11,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import with_place
+
 #: A driver-side draw refuses pools of more ids than this.
 MOST_IDS = 1_000_000
 
@@ -49,8 +51,22 @@ def stratified_pick(rows: DataFrame, score: str, half: int, seed: int, id_: str
 
 def length_batches(rows: DataFrame, length: str, budget: int, by: str, id_: str = "id") -> DataFrame:
     """Batches of similar length inside each bucket `by`: column batch, longest first, at most `budget` rows each."""
-    w = Window.partitionBy(by).orderBy(F.desc(length), id_)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / budget).cast("int"))
+    x = with_place(rows, [by], [-F.col(length), F.col(id_)], "_place")
+    return x.withColumn("batch", F.floor(F.col("_place") / budget).cast("int")).drop("_place")
+
+
+def halve_oversized(batches: DataFrame, length: str, by: list[str], most: int, id_: str = "id") -> DataFrame:
+    """Batches whose longest row exceeds `most` keep their longer half (rounded down, at least one row); longest first."""
+    g = batches.groupBy(*by).agg(F.max(length).alias("_most"), F.count("*").alias("_n"))
+    keep = F.when((F.col("_most") > most) & (F.col("_n") > 1), F.floor(F.col("_n") / 2)).otherwise(F.col("_n"))
+    w = Window.partitionBy(*by).orderBy(F.desc(length), id_)  # a batch is bounded
+    x = batches.join(g.select(*by, keep.alias("_keep")), by).withColumn("_i", F.row_number().over(w))
+    return x.where(F.col("_i") <= F.col("_keep")).drop("_i", "_keep")
+
+
+def key_prefix(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The first `limit` rows in key order (all, if none is given)."""
+    return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
 def top_k(rows: DataFrame, by: str, k: int) -> DataFrame:
