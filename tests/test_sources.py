@@ -84,8 +84,9 @@ def test_segments_and_submission(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("dediac\tg\tm\ta\nكتب\tكَتَبَ\tx\nلا\tلَا\tx\ty\n\n# s\nabc\tq\nنعم\tنَعَم\n")
     got = [[w.dediac for w in r.words] for r in R.word_segments(spark, str(tmp_path / "w.tsv")).orderBy("segment").collect()]
     assert got == [["كتب", "لا"], ["نعم"]]
+    assert R.word_segments(spark, str(tmp_path / "w.tsv")).columns == ["file", "segment", "words"]
     (tmp_path / "s.md").write_text("# t\n> early\n## Item 1 of 2\ntext\n> one\n> two\n## Item 2 of 2\n>  \n")
-    assert [tuple(r) for r in R.submission(R.numbered_lines(spark, str(tmp_path / "s.md"))).collect()] == [(1, "one")]
+    assert [tuple(r)[1:] for r in R.submission(R.numbered_lines(spark, str(tmp_path / "s.md"))).collect()] == [(1, "one")]
 
 
 def test_files(spark, tmp_path):
@@ -123,17 +124,29 @@ def test_variant_and_speaker_sinks(spark, tmp_path):
 
 
 def test_packing_and_tools(spark):
-    assert tools.pack_words("aa bb  cc", 5) == ["aa bb", "cc"]
-    with pytest.raises(ValueError):
-        tools.pack_words("aaaaaa", 5)
-    assert tools.run_long(tools.MarkStripper(5), ["a  b", "aa bb cc", ""]) == (["a  b", "aa bb cc", ""], [0, 1, 0])
+    texts = spark.createDataFrame([(1, "aa bb  cc"), (2, "a  b"), (3, ""), (4, None), (5, "aaaa b cc dd")], "id int, text string")
+    chunks = {r.id: r.c for r in texts.select("id", tools.word_chunks("text", 5).alias("c")).collect()}
+    assert chunks == {1: ["aa bb", "cc"], 2: ["a  b"], 3: [""], 4: None, 5: ["aaaa", "b cc", "dd"]}
+    with pytest.raises(Exception, match="longer than the limit"):
+        texts.select(tools.word_chunks(F.lit("aaaaaa b"), 5)).collect()
+    long = {r.id: (r.output, r.seams) for r in tools.apply_tool(texts, lambda: tools.MarkStripper(5), "text", limit=5).collect()}
+    assert long == {1: ("aa bb cc", 1), 2: ("a  b", 0), 3: ("", 0), 4: (None, 0), 5: ("aaaa b cc dd", 2)}
+    assert tools.apply_tool(texts.limit(0), lambda: tools.MarkStripper(5), "text", limit=5).count() == 0
     with pytest.raises(ValueError, match="unknown tool"):
         tools.build("x")
     df = spark.createDataFrame([(1, "كَتَبَ", "old"), (2, None, "old"), (3, "", "old")], "id int, text string, output string")
     got = {r.id: (r.output, r.seams) for r in tools.apply_tool(df, lambda: tools.build("strip"), "text").collect()}
     assert got == {1: ("كتب", 0), 2: (None, 0), 3: ("", 0)}
     echo = tools.CommandTool("cat", [sys.executable, "-c", "import sys; sys.stdout.write(sys.stdin.read())"], 4)
-    assert tools.run_long(echo, ["ab cd", "x"]) == (["ab cd", "x"], [1, 0])
+    two = spark.createDataFrame([(1, "ab cd"), (2, "x")], "id int, text string")
+    assert sorted((r.id, r.output, r.seams) for r in tools.apply_tool(two, lambda: echo, "text", limit=4).collect()) == [(1, "ab cd", 1), (2, "x", 0)]
+
+    class Loses(tools.MarkStripper):
+        def run(self, texts):
+            return texts[1:]
+
+    with pytest.raises(Exception, match="answers to"):
+        tools.apply_tool(two, Loses, "text").collect()
     short = tools.CommandTool("none", [sys.executable, "-c", ""])
     with pytest.raises(ValueError, match="returned"):
         short.run(["a"])

@@ -64,17 +64,28 @@ def shipped(query):
     return run
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for tables of a query, beside the checkpoints in the shared folder."""
+    import uuid
+
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
     The folder is the one named in spark.checkpoint.dir. Only where none is set
     and the master is local (tests), a temporary one is used.
     """
-    spark = df.sparkSession
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="warraq-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

@@ -45,9 +45,9 @@ def ground_truth(spark: SparkSession, path: str, order: str | None = None) -> Da
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line: lines of one text file with their 0-based numbers (small files such as vocabularies)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return lines.select("line", "value")
+    """line, value, file: lines of text files with their 0-based numbers (a file is read by one task)."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return texts.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"), "file")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +93,12 @@ def holdout_json(spark: SparkSession, path: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """index, token: one token a line; an empty file, a line of several tokens or a repeated token is an error."""
-    x = numbered_lines(spark, path).where("trim(value) != ''").select("line", X.squeeze("value").alias("token"))
+    named = F.filter(F.transform(F.split("value", "\r?\n"), X.squeeze), lambda t: t != "")
+    x = spark.read.text(path, wholetext=True).select(F.posexplode(named).alias("index", "token"))
     g = x.agg(F.count("*").alias("n"), F.count_distinct("token").alias("d"), F.count_if(F.contains("token", F.lit(" "))).alias("wide")).first()
     if not g.n or g.d != g.n or g.wide:
         raise ValueError("a vocabulary file holds one different token a line")
-    return x.select((F.row_number().over(Window.orderBy("line")) - 1).alias("index"), "token")
+    return x
 
 
 def verses_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -110,19 +111,19 @@ def verses_xml(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def segments(rows: DataFrame, order: str, cells: list[str]) -> DataFrame:
-    """Word rows into segments: a row whose first cell is blank or starts with # ends one. segment, words in order.
+def segments(rows: DataFrame, order: str, cells: list[str], file: str = "file") -> DataFrame:
+    """Word rows into segments: a row whose first cell is blank or starts with # ends one. file, segment, words in order.
 
     Rows without an Arabic word are dropped, and segments without any. The running
-    count is one pass over a file's lines.
+    count is one pass over each file's lines.
     """
     first = F.coalesce(F.trim(cells[0]), F.lit(""))
     x = rows.withColumn("_b", (first == "") | F.startswith(first, F.lit("#")))
-    x = x.withColumn("segment", F.sum(F.col("_b").cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("_b"))
+    x = x.withColumn("segment", F.sum(F.col("_b").cast("int")).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("_b"))
     for c in cells:
         x = x.withColumn(c, X.nfc(F.coalesce(F.col(c), F.lit(""))))
     x = x.where(F.rlike(cells[0], F.lit(f"[{X.WIDE_LETTER}]")))
-    return x.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, *cells))), lambda w: F.struct(*(w[c].alias(c) for c in cells))).alias("words"))
+    return x.groupBy(file, "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, *cells))), lambda w: F.struct(*(w[c].alias(c) for c in cells))).alias("words"))
 
 
 def word_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -130,17 +131,17 @@ def word_segments(spark: SparkSession, path: str) -> DataFrame:
     names = ["dediac", "original_gold", "max_gold", "max_gold_alt"]
     lines = numbered_lines(spark, path).where("line > 0")
     parts = F.split("value", "\t")
-    rows = lines.select("line", *(F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)))
+    rows = lines.select("file", "line", *(F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)))
     return segments(rows, "line", names)
 
 
-def submission(lines: DataFrame, order: str = "line", value: str = "value") -> DataFrame:
-    """item, answer: after each '## Item k of n' header the first line that starts with '>'."""
+def submission(lines: DataFrame, order: str = "line", value: str = "value", file: str = "file") -> DataFrame:
+    """file, item, answer: after each '## Item k of n' header the first line that starts with '>'."""
     k = F.regexp_extract(value, r"^## Item (\d+) of \d+", 1)
     x = lines.withColumn("_h", F.when(k != "", k.cast("int")))
-    x = x.withColumn("item", F.last("_h", ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    a = x.where(F.col("item").isNotNull() & F.startswith(value, F.lit(">"))).groupBy("item").agg(F.min_by(value, order).alias("v"))
-    return a.select("item", X.nfc(F.trim(F.substring("v", 2, 2**30))).alias("answer")).where("answer != ''")
+    x = x.withColumn("item", F.last("_h", ignorenulls=True).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    a = x.where(F.col("item").isNotNull() & F.startswith(value, F.lit(">"))).groupBy(file, "item").agg(F.min_by(value, order).alias("v"))
+    return a.select(file, "item", X.nfc(F.trim(F.substring("v", 2, 2**30))).alias("answer")).where("answer != ''")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = "id string, sentence string, tashkeel_sentence string, phoneme_ref string, phoneme_aug string") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,19 +83,35 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def copy_listed(files: DataFrame, ids: DataFrame, folder: str, most: int = 100_000) -> int:
-    """Copies the files (path, content) whose clip id is listed into a folder; returns how many (refuses more than `most`)."""
+def copy_listed(files: DataFrame, ids: DataFrame, folder: str) -> int:
+    """Copies the files (path, content) whose clip id is listed into a folder that all executors share; returns how many.
+
+    Every task writes its own files, each under another name first, so a repeated
+    task leaves whole files only.
+    """
     from ..functions.text import utterance_id
 
-    x = files.withColumn("id", utterance_id("path")).join(ids.select("id").distinct(), "id", "left_semi")
-    n = x.count()
-    if n > most:
-        raise ValueError("too many files for a copy through the driver")
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    for r in x.toLocalIterator():
-        (target / r.path.rsplit("/", 1)[-1]).write_bytes(bytes(r.content))
-    return n
+    def copy(batches):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                target = os.path.join(folder, path.rsplit("/", 1)[-1])
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content or b"")
+                os.replace(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    x = files.withColumn("id", utterance_id("path")).join(ids.select("id").distinct(), "id", "left_semi").select("path", "content")
+    return x.mapInArrow(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
+def write_canonicals(rows: DataFrame, transcripts: DataFrame, key: str, value: str, path: str) -> None:
+    """key, value as tab-separated text once every value agrees with its transcript; any disagreement stops it."""
+    paired_or_fail(rows, transcripts, key, value).select(F.concat_ws("\t", F.col(key).cast("string"), F.coalesce(F.col(value), F.lit(""))).alias("value")).write.mode("errorifexists").text(path)
 
 
 def write_packet(items: DataFrame, folder: str, instructions: str, most: int = 10_000) -> None:
