@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import alignment_sql as L
+
 MARKS = r"[\x{064B}-\x{0655}\x{0670}\x{06D6}-\x{06ED}]"
 LET = r"[\x{0621}-\x{063A}\x{0641}-\x{064A}\x{0671}\x{0675}]"
 SCORED = r"[\x{064B}-\x{0652}\x{0670}]"
@@ -95,6 +97,8 @@ SELECT b.{by}, b.variant, rows, coalesce(positions, 0) AS positions, coalesce(er
 FROM b LEFT JOIN g ON g.{by} = b.{by} AND g.variant = b.variant"""
 
 
+PHRASES = """SELECT concat_ws('-', edition, surah, ayah) AS query_id, text AS phrase FROM verses WHERE text IS NOT NULL AND surah IS NOT NULL AND ayah IS NOT NULL
+UNION ALL SELECT 'candidate-' || id, sentence FROM candidates WHERE id IS NOT NULL AND sentence IS NOT NULL"""
 LATE = "l_quantity > 25"
 WILSON_P = "(k / n::DOUBLE)"
 Z = "1.959963984540054"
@@ -121,7 +125,7 @@ WITH x AS (SELECT DISTINCT row_no, coalesce(label, '?') AS label, phoneme_ref AS
 SELECT label, count(*) AS rows, count(*) FILTER ({words('a')} <> {words('b')}) AS different, sum(levenshtein({codes('a')}, {codes('b')}))::BIGINT AS distance FROM x GROUP BY label""",
     "review_order": """
 WITH x AS (SELECT id, max(coalesce(len(flags), -1)) AS n, max(round(rate, 6)) AS rate FROM candidates WHERE id IS NOT NULL GROUP BY id)
-SELECT id, CASE WHEN n > 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END AS tier, rate FROM x ORDER BY tier, coalesce(rate, 0) DESC, id LIMIT 200""",
+SELECT id, CASE WHEN n > 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END AS tier, rate FROM x ORDER BY tier, coalesce(rate, 0) DESC, id""",
     "diacritic_errors": der("tashkeel_sentence", "sentence", "source", "train_rows"),
     "marked_positions": f"""
 WITH t AS (SELECT source, {arabic_words("coalesce(tashkeel_sentence, '')")} AS w FROM train_rows), w AS (SELECT source, unnest(w) AS w FROM t), l AS (SELECT source, len({letter_groups('w')}) AS n, unnest(range(len({letter_groups('w')}))) AS i, unnest({letter_groups('w')}) AS g FROM w),
@@ -130,7 +134,7 @@ SELECT s.source, count(*) FILTER (len({mark_set('g')}) > 0 AND i = n - 1) AS fin
     "liaison_sites": f"""
 WITH t AS (SELECT split, sentence, tashkeel_sentence, {arabic_words('tashkeel_sentence')} AS r, {arabic_words('sentence')} AS f FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL),
 u AS (SELECT *, list_filter(range(len(r)), lambda i: i < len(r) - 1 AND starts_with({strip('r[i + 2]')}, 'ال') AND list_contains({mark_set(letter_groups('r[i + 1]') + '[-1]')}, chr(1618))) AS sites FROM t)
-SELECT split, coalesce(sum(len(sites)), 0)::BIGINT AS sites, coalesce(sum(CASE WHEN len(r) = len(f) THEN len(list_filter(sites, lambda i: list_has_any({mark_set(letter_groups('f[i + 1]') + '[-1]')}, [chr(1614), chr(1615), chr(1616)]))) END), 0)::BIGINT AS breaks, 0::BIGINT AS blocking FROM u GROUP BY split""",
+SELECT split, coalesce(sum(len(sites)), 0)::BIGINT AS sites, coalesce(sum(CASE WHEN len(r) = len(f) THEN len(list_filter(sites, lambda i: list_has_any({mark_set(letter_groups('f[i + 1]') + '[-1]')}, [chr(1614), chr(1615), chr(1616)]))) END), 0)::BIGINT AS breaks, count(*) FILTER ({skeleton('sentence')} <> {skeleton('tashkeel_sentence')} OR len(f) <> len(r)) AS blocking FROM u GROUP BY split""",
     "draft_quality": f"""
 WITH x AS (SELECT coalesce(sentence, '') AS s, coalesce(tashkeel_sentence, '') AS d FROM candidates)
 SELECT count(*) AS rows, count(*) FILTER ({skeleton('s')} <> {skeleton('d')}) AS skeleton_differs, count(*) FILTER (len({arabic_words('s')}) <> len({arabic_words('d')})) AS words_differ,
@@ -182,11 +186,10 @@ SELECT (SELECT count(*) FROM a JOIN b USING (id)) AS shared, (SELECT count(*) FR
 SELECT DISTINCT block FROM holdout WHERE block NOT IN (SELECT block FROM (SELECT block, unnest(holdout_phoneme_refs) AS x FROM holdout) WHERE {squeeze('x')} IN (SELECT {squeeze('phoneme_ref')} FROM train_rows WHERE phoneme_ref IS NOT NULL))""",
     "span_search": f"""
 WITH v AS (SELECT DISTINCT edition, surah, ayah, verse_id, {words(skeleton('text'))} AS w FROM verses WHERE text IS NOT NULL AND surah IS NOT NULL AND ayah IS NOT NULL),
-q AS (SELECT DISTINCT edition || '-' || surah || '-' || ayah AS query_id, {words(skeleton(f"array_to_string({words('text')}[1:4], ' ')"))} AS g FROM verses WHERE text IS NOT NULL AND surah IS NOT NULL AND ayah <= 3),
+q AS (SELECT DISTINCT query_id, {words(skeleton('phrase'))} AS g FROM ({PHRASES})),
 c AS (SELECT edition, surah, flatten(list(w ORDER BY ayah, verse_id, w)) AS w FROM v GROUP BY edition, surah),
-p AS (SELECT edition, surah, w, unnest(range(len(w))) AS position FROM c),
-n AS (SELECT DISTINCT len(g) AS n_words FROM q WHERE len(g) > 0)
-SELECT q.query_id, p.edition, p.surah, p.position, n.n_words FROM p JOIN n ON p.position + n.n_words <= len(p.w) JOIN q ON len(q.g) = n.n_words AND q.g = p.w[p.position + 1 : p.position + n.n_words]""",
+p AS (SELECT edition, surah, w, w[position + 1] AS first, position FROM (SELECT edition, surah, w, unnest(range(len(w))) AS position FROM c))
+SELECT q.query_id, p.edition, p.surah, p.position, len(q.g) AS n_words FROM q JOIN p ON p.first = q.g[1] WHERE p.position + len(q.g) <= len(p.w) AND q.g = p.w[p.position + 1 : p.position + len(q.g)]""",
     "span_recovery": "",
     "character_audit": rf"""
 WITH x AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي\x{{064B}}-\x{{0652}}\x{{0670}}]|{SP}', '', 'g'), '(?s).')) AS ch FROM documents WHERE text IS NOT NULL)
@@ -201,8 +204,9 @@ SELECT token, count(*) AS n, token IN (SELECT token FROM v) AS known FROM t GROU
     "length_buckets": "SELECT (CASE WHEN n >= 3200 THEN 7 WHEN n >= 1600 THEN 6 WHEN n >= 800 THEN 5 WHEN n >= 400 THEN 4 WHEN n >= 200 THEN 3 WHEN n >= 100 THEN 2 WHEN n >= 50 THEN 1 ELSE 0 END)::INT AS bucket, count(*) AS n FROM (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "cross_table": "SELECT a, b, count(*) AS n, grouping(a)::INT AS total_a, grouping(b)::INT AS total_b FROM (SELECT coalesce(split, '?') AS a, coalesce(source, '?') AS b FROM train_rows) GROUP BY CUBE (a, b)",
     "final_marks": rf"""
-WITH x AS (SELECT {arabic_words('tashkeel_sentence')} AS w, {words('phoneme_ref')} AS t FROM train_rows WHERE tashkeel_sentence IS NOT NULL AND phoneme_ref IS NOT NULL), y AS (SELECT right(replace(w[-1], chr(1617), ''), 1) AS m, t[-1] AS p FROM x WHERE len(w) > 0 AND len(t) > 0)
-SELECT CASE unicode(m) WHEN 1611 THEN 'fathatan' WHEN 1612 THEN 'dammatan' WHEN 1613 THEN 'kasratan' WHEN 1614 THEN 'fatha' WHEN 1615 THEN 'damma' WHEN 1616 THEN 'kasra' WHEN 1618 THEN 'sukun' WHEN 1648 THEN 'dagger_alef' ELSE '(bare)' END AS mark,
+WITH x AS (SELECT list_filter({words(r"regexp_replace(tashkeel_sentence, '[\p{P}]', ' ', 'g')")}, lambda w: regexp_matches(w, '[\x{{064B}}-\x{{0655}}\x{{0670}}\x{{06D6}}-\x{{06ED}}\p{{L}}]')) AS w, {words('phoneme_ref')} AS t FROM train_rows WHERE tashkeel_sentence IS NOT NULL AND phoneme_ref IS NOT NULL),
+y AS (SELECT list_max(list_filter(range(1, length(w[-1]) + 1), lambda i: unicode(w[-1][i]) IN (1611, 1612, 1613, 1614, 1615, 1616, 1618, 1648))) AS place, w[-1] AS w, t[-1] AS p FROM x WHERE len(w) > 0 AND len(t) > 0)
+SELECT CASE unicode(w[place]) WHEN 1611 THEN 'tanwin fath' WHEN 1612 THEN 'tanwin damm' WHEN 1613 THEN 'tanwin kasr' WHEN 1614 THEN 'fatha' WHEN 1615 THEN 'damma' WHEN 1616 THEN 'kasra' WHEN 1618 THEN 'sukun' WHEN 1648 THEN 'superscript alef' ELSE '(bare)' END AS mark,
   CASE WHEN p IN ('a','i','u','A','I','U') THEN 'short' WHEN p IN ('aa','ii','uu','AA','II','UU') THEN 'long' ELSE 'consonant' END AS class, count(*) AS n FROM y GROUP BY 1, 2""",
     "identity_rates": f"""
 WITH x AS (SELECT sentence AS a, tashkeel_sentence AS b FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL)
@@ -252,6 +256,154 @@ SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM y GROUP B
 }
 
 SQL["span_recovery"] = f"""
-WITH m AS ({SQL['span_search']}), k AS (SELECT query_id, count(*) AS n FROM m GROUP BY query_id),
-q AS (SELECT DISTINCT edition || '-' || surah || '-' || ayah AS query_id FROM verses WHERE text IS NOT NULL AND surah IS NOT NULL AND ayah <= 3)
+WITH m AS ({SQL['span_search']}), k AS (SELECT query_id, count(*) AS n FROM m GROUP BY query_id), q AS (SELECT DISTINCT query_id FROM ({PHRASES}))
 SELECT count(*) AS queries, count(n) AS located, count(*) FILTER (n = 1) AS unique_place, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n IS NULL) AS missing FROM q LEFT JOIN k USING (query_id)"""
+
+# ---- the alignment chain ------------------------------------------------------
+READINGS = f"""
+SELECT row_no, speaker, c, a, CASE WHEN row_no % 2 = 0 THEN a ELSE c END AS p, phoneme_ref, said
+FROM (SELECT row_no, speaker, phoneme_ref, said, {words('phoneme_ref')} AS c, {words('said')} AS a FROM (SELECT DISTINCT row_no, speaker, phoneme_ref, coalesce(phoneme_mis, phoneme_ref) AS said FROM tts_rows WHERE phoneme_ref IS NOT NULL))"""
+BY_SPEAKER = f"WITH RECURSIVE {L.counted(f'SELECT speaker, c, a, p, count(*) AS n FROM ({READINGS}) GROUP BY ALL')}"
+SQL["detection_rates"] = f"{BY_SPEAKER} {L.rates(L.summed('speaker'))}"
+SQL["official_rates"] = f"{BY_SPEAKER} {L.shares(L.rates(L.summed('speaker'), '0'))}"
+PROBED = f"SELECT lower(trim(stratum, ' ')) AS stratum, {words('phoneme_ref')} AS c, {words('phoneme_ref')} AS a, {words('prediction')} AS p, count(*) AS n FROM msa_pilot_sample WHERE id IS NOT NULL AND phoneme_ref IS NOT NULL AND prediction IS NOT NULL GROUP BY ALL"
+SQL["base_rate_probe"] = f"WITH RECURSIVE {L.counted(PROBED)} SELECT *, CASE WHEN fr + ta <> 0 THEN fr::DOUBLE / (fr + ta) ELSE 'nan'::DOUBLE END AS frr FROM ({L.summed('stratum')})"
+CUT = lambda x: f"CASE WHEN list_contains(['a','i','u','A','I','U'], c[-1]) AND len({x}) > 1 THEN {x}[:len({x}) - 1] ELSE {x} END"
+SQL["final_token_ablation"] = f"""WITH RECURSIVE x AS ({READINGS}), {L.counted(f"SELECT arm, c, a, p, count(*) AS n FROM (SELECT 'whole' AS arm, c, a, p FROM x UNION ALL SELECT 'without_final', {CUT('c')}, {CUT('a')}, {CUT('p')} FROM x) GROUP BY ALL")} {L.rates(L.summed('arm'))}"""
+SQL["metric_deltas"] = f"""WITH RECURSIVE x AS ({READINGS}), {L.counted("SELECT speaker, d, c, a, p, count(*) AS n FROM (SELECT speaker, 'ours' AS d, c, a, p FROM x UNION ALL SELECT speaker, 'theirs', c, a, CASE WHEN row_no % 3 = 0 THEN a ELSE c END FROM x) GROUP BY ALL")},
+r AS ({L.rates(L.summed('speaker, d'))}), u AS (UNPIVOT (SELECT speaker, d, precision, recall, f1, frr, accuracy FROM r) ON precision, recall, f1, frr, accuracy INTO NAME metric VALUE v)
+SELECT a.speaker, a.metric, a.v AS ours, b.v AS theirs, a.v - b.v AS delta, (isnan(a.v) AND isnan(b.v)) OR (NOT isnan(a.v - b.v) AND abs(a.v - b.v) <= 0.01) AS agrees FROM u a JOIN u b ON a.speaker = b.speaker AND a.metric = b.metric AND a.d = 'ours' AND b.d = 'theirs'"""
+SQL["alignment_operations"] = f"""SELECT unnest(['C', 'S', 'D', 'I']) AS op, unnest([c, s, d, i]) AS n FROM ({L.operations(f'SELECT c AS x, a AS y, count(*) AS n FROM ({READINGS}) GROUP BY ALL')})"""
+SQL["correct_rates"] = f"""SELECT speaker, tokens, s AS substitutions, d AS deletions, i AS insertions, round((tokens - s - d) / tokens::DOUBLE, 4) AS correct_rate, round((tokens - s - d - i) / tokens::DOUBLE, 4) AS accuracy
+FROM ({L.operations(f'SELECT speaker, c AS x, a AS y, count(*) AS n FROM ({READINGS}) WHERE len(c) > 0 GROUP BY ALL', 'speaker')})"""
+SQL["corruption_attribution"] = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM ({READINGS}) WHERE phoneme_ref <> said), {L.counted("SELECT phoneme_ref, said, arm, c, a, p, count(*) AS n FROM (SELECT phoneme_ref, said, 'gold' AS arm, c, c AS a, p FROM x UNION ALL SELECT phoneme_ref, said, 'auto', a, c, p FROM x UNION ALL SELECT phoneme_ref, said, 'sites', c, a, p FROM x) GROUP BY ALL")},
+w AS (SELECT phoneme_ref, said, sum((fr + fa) * n) FILTER (arm = 'gold') AS g, sum((fr + fa) * n) FILTER (arm = 'auto') AS o FROM counted GROUP BY ALL),
+y AS (SELECT phoneme_ref, said, c, a, count(*) AS clips, min(row_no) AS prompt FROM x GROUP BY ALL),
+m AS (SELECT pid, x, y, len(x) + len(y) - count(am.xi) - count(*) FILTER (x[am.xi] = y[am.yi]) AS sites FROM ap LEFT JOIN am USING (pid) GROUP BY pid, x, y)
+SELECT prompt, sites * clips AS sites, abs(o - g)::BIGINT AS damage, abs(o - g) > sites * clips AS over_bound, sites = 0 AND o <> g AS artifact FROM y JOIN w USING (phoneme_ref, said) JOIN m ON m.x = y.c AND m.y = y.a"""
+SQL["collapse_verdict"] = f"""WITH r AS ({SQL['collapse_report']}), x AS (SELECT least(a.informative_utterances, b.informative_utterances) AS informative, a.canonical_preference - b.canonical_preference AS delta FROM r a, r b WHERE a.arm = 0 AND b.arm = 1)
+SELECT 'dev' AS split, informative, delta, informative >= 20 AS powered, informative >= 20 AND NOT isnan(delta) AND delta > 0.15 AS fires FROM x"""
+
+# ---- intervals ------------------------------------------------------------------
+TAIL = lambda k, p: f"coalesce(list_sum(list_transform(range(0, ({k}) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - ({p}))))), 0)"
+SQL["exact_intervals"] = f"""
+WITH RECURSIVE c AS (SELECT speaker, count(*) FILTER (phoneme_mis IS NOT NULL) AS k, count(*) AS n FROM tts_rows WHERE speaker IS NOT NULL GROUP BY speaker),
+b AS (SELECT speaker, k, n, 0 AS step, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS h0, 1.0::DOUBLE AS h1 FROM c UNION ALL
+  SELECT speaker, k, n, step + 1, CASE WHEN low THEN lm ELSE l0 END, CASE WHEN low THEN l1 ELSE lm END, CASE WHEN high THEN hm ELSE h0 END, CASE WHEN high THEN h1 ELSE hm END
+  FROM (SELECT *, 1 - {TAIL('k - 1', 'lm')} < 0.025 AS low, {TAIL('k', 'hm')} > 0.025 AS high FROM (SELECT *, (l0 + l1) / 2 AS lm, (h0 + h1) / 2 AS hm FROM b WHERE step < 45)))
+SELECT speaker, k, n, k / n::DOUBLE AS rate, round(CASE WHEN k = 0 THEN 0 ELSE l0 END, 7) AS low, round(CASE WHEN k = n THEN 1 ELSE h0 END, 7) AS high FROM b WHERE step = 45"""
+SQL["power_recommendation"] = f"""SELECT n_regionkey, worst_mde, CASE WHEN worst_mde < 10000 THEN 'keep' ELSE 'cut' END AS decision, round(CASE WHEN worst_mde <> 0 THEN 10000 / worst_mde END, 6) AS margin
+FROM (SELECT n_regionkey, max(mde) AS worst_mde FROM ({SQL['power_grid']}) g JOIN nation ON n_nationkey = s_nationkey GROUP BY n_regionkey)"""
+
+# ---- text contracts ----------------------------------------------------------------
+def published(x: str) -> str:
+    """Letters and blanks of a text with their marks, as strings."""
+    clean = squeeze(rf"regexp_replace(regexp_replace({x}, '[\x{{0670}}\x{{0640}}]', '', 'g'), '[^{LET[1:-1]}{MARKS[1:-1]}]', ' ', 'g')")
+    return f"regexp_extract_all({clean}, '[^{MARKS[1:-1]}]{MARKS}*')"
+
+
+def _sorted_unit(g: str) -> str:
+    return f"{g}[1] || array_to_string(list_sort(string_split({g}[2:], '')), '')"
+
+
+def _coded_by(x: str, dictionary: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda t: chr((33 + list_position({dictionary}, t))::INT)), '')"
+
+
+_ARM = lambda u: f"CASE WHEN ce THEN list_transform({u}, lambda g: {_sorted_unit('g')}) ELSE list_transform({u}, lambda g, i: CASE WHEN {u}[i + 1] = ' ' THEN g[1] ELSE {_sorted_unit('g')} END) END"
+_LABELS = lambda u: f"list_concat(['<BOS>'], list_transform({u}, lambda g: g[2:]), ['<EOS>'])"
+SQL["diacritic_errors_published"] = f"""
+WITH t AS (SELECT source, n, {published('tashkeel_sentence')} AS r, {published('sentence')} AS h FROM (SELECT source, tashkeel_sentence, sentence, count(*) AS n FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL GROUP BY ALL)),
+v AS (SELECT source, n, ce, {_ARM('r')} AS r, {_ARM('h')} AS h FROM t, (VALUES (true), (false)) v(ce)),
+w AS (SELECT source, ce, n, {_LABELS('r')} AS rl, {_LABELS('h')} AS hl, string_split(array_to_string(r, ''), ' ') AS rw, string_split(array_to_string(h, ''), ' ') AS hw FROM v),
+x AS (SELECT *, list_distinct(list_concat(rl, hl)) AS dl, list_distinct(list_concat(rw, hw)) AS dw FROM w),
+s AS (SELECT source, ce AS case_endings, sum(n * levenshtein({_coded_by('rl', 'dl')}, {_coded_by('hl', 'dl')}))::BIGINT AS label_distance, sum(n * len(rl))::BIGINT AS labels, sum(n * levenshtein({_coded_by('rw', 'dw')}, {_coded_by('hw', 'dw')}))::BIGINT AS word_distance, sum(n * len(rw))::BIGINT AS words FROM x GROUP BY ALL)
+SELECT *, label_distance::DOUBLE / labels AS der, word_distance::DOUBLE / words AS wer FROM s"""
+
+
+def _compatibility_forms() -> str:
+    """VALUES of characters and their compatibility composition, by rule from the Unicode database."""
+    import unicodedata
+
+    rows = []
+    for lo, hi in ((0xA0, 0x250), (0x2000, 0x2100), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0xFB00, 0xFE00), (0xFE20, 0xFF00), (0xFF00, 0xFFF0)):
+        for cp in range(lo, hi):
+            to = unicodedata.normalize("NFKC", chr(cp))
+            if to != chr(cp):
+                rows.append(f"({cp}, '{to.replace(chr(39), chr(39) * 2)}')")
+    return "VALUES " + ", ".join(rows)
+
+
+SQL["cleaning_contract"] = rf"""
+WITH x AS (SELECT row_number() OVER () AS id, sentence AS s FROM candidates WHERE sentence IS NOT NULL), m(cp, f) AS ({_compatibility_forms()}),
+c AS (SELECT id, unnest(l) AS ch, generate_subscripts(l, 1) AS i FROM (SELECT id, regexp_extract_all(s, '(?s).') AS l FROM x)),
+k AS (SELECT id, nfc_normalize(string_agg(coalesce(m.f, ch), '' ORDER BY i)) AS t FROM c LEFT JOIN m ON m.cp = unicode(ch) GROUP BY id),
+d AS (SELECT id, unnest(regexp_extract_all(t, '(?s).')) AS ch FROM k),
+e AS (SELECT id, CASE WHEN regexp_matches(ch, '[ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي\x{{064B}}-\x{{0652}}\x{{0670}}]|{SP}') THEN NULL WHEN ch IN ('ی', 'ک', 'ھ') THEN 'script_variant' WHEN ch = chr(1600) OR regexp_matches(ch, '\p{{Mn}}') THEN 'non_phonemic_mark'
+  WHEN ch IN ('چ', 'ڨ') THEN 'no_msa_equivalent' WHEN regexp_matches(ch, '\p{{P}}') THEN 'punctuation' ELSE 'unsupported_character' END AS flag FROM d),
+g AS (SELECT id, flag FROM e WHERE flag IS NOT NULL UNION SELECT id, 'latin' FROM x WHERE regexp_matches(s, '[A-Za-z\x{{00C0}}-\x{{024F}}]') UNION SELECT id, 'digits' FROM x WHERE regexp_matches(s, '{DIGIT}')
+  UNION SELECT id, 'presentation_form' FROM x WHERE regexp_matches(s, '[\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}]')),
+u AS (SELECT id FROM g WHERE flag IN ('latin', 'digits', 'no_msa_equivalent'))
+SELECT flag, x.id NOT IN (SELECT id FROM u) AS fair, count(*) AS rows FROM x LEFT JOIN g USING (id) GROUP BY 1, 2"""
+BETWEEN = rf"{MARKS[1:-1]}\x{{0640}}\p{{P}}{SP[1:-1]}"
+SQL["restored_punctuation"] = rf"""
+WITH x AS (SELECT DISTINCT id, nfc_normalize(sentence) AS s, nfc_normalize(tashkeel_sentence) AS d, tashkeel_sentence AS draft FROM msa_pilot_sample WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL),
+u AS (SELECT *, regexp_extract_all(s, '[^{BETWEEN}][{BETWEEN}]*') AS su, regexp_extract_all(d, '[^{BETWEEN}][{BETWEEN}]*') AS du FROM x),
+o AS (SELECT *, list_transform(list_zip(du, su), lambda z: regexp_replace(z[1], '[\x{{0640}}\p{{P}}{SP[1:-1]}]', '', 'g') || regexp_replace(z[2][2:], '{MARKS}', '', 'g')) AS l FROM u)
+SELECT DISTINCT id, CASE WHEN {skeleton('s')} = {skeleton('d')} AND len(su) = len(du) THEN regexp_replace(regexp_extract(d, '^[{BETWEEN}]*'), '[\x{{0640}}\p{{P}}{SP[1:-1]}]', '', 'g') || regexp_replace(regexp_extract(s, '^[{BETWEEN}]*'), '{MARKS}', '', 'g') || array_to_string(l, '') ELSE draft END AS restored FROM o"""
+PAIRED = f"""
+t AS (SELECT split, row_number() OVER () AS id, {arabic_words('tashkeel_sentence')} AS r, {arabic_words('sentence')} AS h FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL),
+w AS (SELECT split, unnest(r) AS rw, unnest(h) AS hw, unnest(range(len(r))) = len(r) - 1 AS last FROM t WHERE len(r) = len(h)),
+q AS (SELECT split, last, {letter_groups('rw')} AS gl, {letter_groups('hw')} AS hl FROM w),
+l AS (SELECT split, last, unnest(range(len(gl))) = len(gl) - 1 AS final, unnest(list_transform(gl, lambda g: {mark_set('g')})) AS gm, unnest(list_transform(range(len(gl)), lambda i: coalesce({mark_set('hl[i + 1]')}, []))) AS hm FROM q)"""
+SQL["mark_errors"] = f"""
+WITH {PAIRED}, m AS (SELECT *, unnest(list_distinct(list_concat(gm, hm))) AS mark FROM l),
+b AS (SELECT split, CASE WHEN unicode(mark) IN (1611, 1612, 1613) OR (last AND final) THEN 'free' WHEN unicode(mark) = 1617 THEN 'A' WHEN final THEN 'B' ELSE 'A' END AS bucket, list_contains(gm, mark) AS g, list_contains(hm, mark) AS h,
+  CASE WHEN unicode(mark) = 1617 THEN list_contains(hm, chr(1617)) ELSE len(list_filter(hm, lambda v: v <> chr(1617))) > 0 END AS other FROM m),
+s AS (SELECT split, bucket, count(*) AS scored, count(*) FILTER (g AND NOT h AND other) AS substitutions, count(*) FILTER (g AND NOT h AND NOT other) AS omissions, count(*) FILTER (h AND NOT g) AS spurious FROM b GROUP BY ALL),
+e AS (SELECT *, substitutions + omissions + spurious AS errors FROM s), p AS (SELECT *, errors / scored::DOUBLE AS p, scored::DOUBLE AS n FROM e),
+z AS (SELECT *, 1 + {Z} * {Z} / n AS d, p + {Z} * {Z} / (2 * n) AS c0, {Z} * sqrt(p * (1 - p) / n + {Z} * {Z} / (4 * n * n)) AS h FROM p)
+SELECT split, bucket, scored, substitutions, omissions, spurious, errors, round(greatest((c0 - h) / d, 0) * 100, 6) AS low, round(least((c0 + h) / d, 1) * 100, 6) AS high FROM z"""
+SQL["mark_confusions"] = f"""
+WITH {PAIRED}, n AS (SELECT split, array_to_string(gm, '') AS gold, array_to_string(hm, '') AS written, count(*) AS n FROM l WHERE gm <> hm GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, gold, written) AS place FROM n)
+SELECT split, gold, written, n, place FROM o WHERE place <= 8"""
+SQL["file_report"] = f"""
+WITH b AS (SELECT id, (regexp_replace(id, '[^0-9]', '', 'g')::BIGINT % 100000) AS n, min(sentence) AS s FROM candidates WHERE id IS NOT NULL GROUP BY id),
+a AS (SELECT id, n, s, n % 5 = 0 AS x, annotator, CASE WHEN n % 5 <> 0 OR (annotator = 'a1') = (n < 25) THEN 'anchored' ELSE 'blank' END AS cond FROM b, (VALUES ('a1'), ('a2')) v(annotator) WHERE n % 5 = 0 OR (n % 2 = 0) = (annotator = 'a1')),
+r AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'other' ELSE cond END AS c, CASE WHEN cond = 'anchored' OR n % 11 = 0 THEN s END AS suggested, CASE WHEN n % 6 = 0 THEN concat_ws(' ', s, 'زائد') ELSE s END AS final FROM a),
+u AS (SELECT *, 0 AS k FROM r UNION ALL SELECT * REPLACE ('ثان' AS final), 1 FROM r WHERE n % 13 = 0 UNION ALL SELECT *, 2 FROM r WHERE n % 17 = 0),
+v AS (SELECT *, k < 2 AND c <> 'other' AS valid, n % 7 <> 0 AS usable, k < 2 AND c <> 'other' AND n % 7 <> 0 AS live FROM u)
+SELECT annotator, count(*) AS rows, count(*) FILTER (live) AS done, count(*) FILTER (valid AND NOT usable) AS unusable, count(*) FILTER (k = 1) AS duplicates, count(*) FILTER (k = 2) AS unknown, count(*) FILTER (k < 2 AND c = 'other') AS wrong_condition, count(*) FILTER (live AND c = 'blank' AND suggested <> '') AS breaches,
+  count(*) FILTER (live AND x) AS crossover_done, count(*) FILTER (valid AND NOT usable AND x) AS crossover_unusable, count(*) FILTER (live AND ({skeleton("coalesce(s, '')")} <> {skeleton("coalesce(final, '')")} OR len({arabic_words("coalesce(s, '')")}) <> len({arabic_words("coalesce(final, '')")}))) AS blocking,
+  (2 * count(*) FILTER (live))::BIGINT AS flagged, count(*) FILTER (live AND n % 2 = 0) AS ambiguous, quantile_cont(CASE WHEN live THEN (n % 50 + 10)::DOUBLE END, 0.5) AS median_seconds,
+  count(*) FILTER (valid AND x) >= 50 AND count(*) FILTER (live AND x) < 45 AS extend FROM v GROUP BY annotator"""
+
+# ---- sources, sinks, records ------------------------------------------------------------
+CLIPS = f"""SELECT DISTINCT 'train/wav/audio_' || coalesce(speaker, '') || '_' || row_no || '.wav' AS path, {squeeze("coalesce(sentence_ref, '')")} AS sentence, {squeeze("coalesce(phoneme_ref, '')")} AS canonical, coalesce(speaker, '') AS speaker, {squeeze("coalesce(phoneme_mis, '')")} AS other FROM tts_rows"""
+BLOCK = """b AS (SELECT id, (regexp_replace(id, '[^0-9]', '', 'g')::BIGINT % 100000) AS n, min(sentence) AS s FROM candidates WHERE id IS NOT NULL GROUP BY id),
+q AS (SELECT id, n, s, annotator, CASE WHEN n % 5 <> 0 OR (annotator = 'a1') = (n < 25) THEN 'anchored' ELSE 'blank' END AS condition FROM b, (VALUES ('a1'), ('a2')) v(annotator) WHERE n % 5 = 0 OR (n % 2 = 0) = (annotator = 'a1'))"""
+SQL["manifest_round_trip"] = f"SELECT DISTINCT path, sentence, canonical FROM ({CLIPS})"
+SQL["ark_round_trip"] = f"SELECT row_no::VARCHAR AS id, array_to_string(p, ' ') AS hyp, array_to_string(a, ' ') AS ref, array_to_string(c, ' ') AS canon FROM ({READINGS})"
+SQL["cache_round_trip"] = "SELECT DISTINCT id, sentence, tashkeel_sentence, phoneme_ref, phoneme_aug FROM train_rows"
+SQL["speaker_splits"] = f"WITH x AS ({CLIPS}) SELECT CASE WHEN speaker = (SELECT min(speaker) FROM x WHERE speaker <> '') THEN 'dev' ELSE 'train' END AS split, count(*) AS rows, count(DISTINCT speaker) AS speakers FROM x GROUP BY 1"
+SQL["variant_manifests"] = f"""WITH x AS ({CLIPS}), c AS (SELECT sentence, min(canonical) AS gold, min(CASE WHEN other <> '' THEN other ELSE canonical END) AS auto FROM x GROUP BY sentence), y AS (SELECT gold, auto FROM x JOIN c USING (sentence))
+SELECT 'gold' AS variant, count(*) AS rows, sum(length(gold))::BIGINT AS characters FROM y UNION ALL SELECT 'auto', count(*), sum(length(auto))::BIGINT FROM y"""
+SQL["word_segments"] = f"""WITH x AS (SELECT id AS file, min(sentence) AS s FROM train_rows WHERE id IS NOT NULL AND sentence IS NOT NULL GROUP BY id),
+w AS (SELECT file, unnest({words('s')}) AS w, unnest(range(len({words('s')}))) AS i FROM x), b AS (SELECT file, i, nfc_normalize(w) AS w, starts_with(w, '#') AS b, sum(starts_with(w, '#')::INT) OVER (PARTITION BY file ORDER BY i)::BIGINT AS segment FROM w)
+SELECT file, string_agg(w, ' ' ORDER BY i) AS text, segment FROM b WHERE NOT b AND regexp_matches(w, '[\\x{{0621}}-\\x{{064A}}]') GROUP BY file, segment"""
+SQL["submitted_answers"] = "WITH x AS (SELECT id, min(tashkeel_sentence) AS b FROM msa_pilot_sample WHERE id IS NOT NULL GROUP BY id), y AS (SELECT id, CASE WHEN b IS NULL THEN 'again' ELSE nfc_normalize(trim(b, ' ')) END AS a FROM x) SELECT id AS file, 1::BIGINT AS item, a AS answer FROM y WHERE a <> ''"
+SQL["gold_texts"] = """WITH t AS (SELECT id, max(CASE WHEN split = 'dev' THEN tashkeel_sentence END) AS adj, min(sentence) AS lo, max(sentence) AS hi FROM train_rows WHERE id IS NOT NULL GROUP BY id), w AS (SELECT id FROM t UNION SELECT id FROM msa_pilot_sample WHERE id IS NOT NULL)
+SELECT coalesce(adj IS NULL AND lo <> hi, false) AS conflict, adj IS NULL AND lo IS NULL AS missing, count(*) AS ids, sum(length(coalesce(adj, lo, '')))::BIGINT AS characters FROM w LEFT JOIN t USING (id) GROUP BY 1, 2"""
+SQL["built_records"] = f"WITH {BLOCK} SELECT id, annotator, condition, condition <> 'blank' AND s IS NOT NULL AS has_suggestion, array_to_string(list_sort(list_distinct([n % 4, n % 3])), ',') AS flagged, CASE WHEN n % 7 = 0 THEN 'unusable' ELSE 'done' END AS status FROM q"
+SQL["tag_groups"] = """WITH x AS (SELECT id, min(flags) AS f FROM candidates WHERE id IS NOT NULL AND len(flags) > 0 GROUP BY id),
+y AS (SELECT id, array_to_string(list_sort(f), ',') AS tags, unnest([0, 1]) AS w FROM x UNION ALL SELECT id, f[1], 2 FROM x)
+SELECT id, tags, string_agg(w::VARCHAR, ',' ORDER BY w) AS words FROM y GROUP BY id, tags"""
+SQL["paired_lines"] = f"SELECT row_no, phoneme_ref = CASE WHEN row_no % 2 = 0 THEN said ELSE phoneme_ref END AS equal FROM ({READINGS})"
+SQL["held_fractions"] = f"""WITH v AS ({SQL['holdout_filter']}) SELECT split, sum(rows)::BIGINT AS rows, coalesce(sum(rows) FILTER (verdict = 'id'), 0)::BIGINT AS by_id, coalesce(sum(rows) FILTER (verdict = 'phoneme'), 0)::BIGINT AS by_phoneme,
+  round(coalesce(sum(rows) FILTER (verdict <> 'keep'), 0) / sum(rows)::DOUBLE, 9) AS held_share FROM v GROUP BY split"""
+SQL["skipped_rows"] = f"""SELECT label, CASE WHEN {squeeze("coalesce(sentence_ref, '')")} = '' THEN 'sentence' WHEN {squeeze("coalesce(phoneme_ref, '')")} = '' THEN 'phoneme_ref' END AS skipped, count(DISTINCT row_no) AS ids FROM tts_rows GROUP BY 1, 2"""
+SQL["base_rates"] = """WITH x AS (SELECT id, min(lower(trim(stratum, ' '))) AS stratum, max(CASE WHEN NOT isnan(disagreement) THEN disagreement END) AS u FROM msa_pilot_sample WHERE id IS NOT NULL GROUP BY id),
+y AS (SELECT stratum, CASE WHEN u > 0.5 THEN 4 WHEN u > 0.25 THEN 1 ELSE 0 END AS strict, CASE WHEN u > 0.5 THEN 3 ELSE 0 END AS lenient FROM x WHERE u IS NOT NULL)
+SELECT stratum, count(*) AS utterances, count(*) FILTER (strict > 0) AS strict_utterances, count(*) FILTER (lenient > 0) AS lenient_utterances, 8 * count(*) AS words, sum(strict)::BIGINT AS strict_words, sum(lenient)::BIGINT AS lenient_words, round(sum(strict) / (8.0 * count(*)), 9) AS strict_rate, round(sum(lenient) / (8.0 * count(*)), 9) AS lenient_rate FROM y GROUP BY stratum"""
+SQL["halved_batches"] = f"""WITH b AS ({SQL['length_batches']}), g AS (SELECT *, max(n) OVER w AS most, count(*) OVER w AS c, row_number() OVER (PARTITION BY speaker, batch ORDER BY n DESC, row_no) AS i FROM b WINDOW w AS (PARTITION BY speaker, batch))
+SELECT row_no, speaker, n, batch FROM g WHERE i <= CASE WHEN most > 60 AND c > 1 THEN c // 2 ELSE c END"""

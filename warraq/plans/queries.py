@@ -17,8 +17,8 @@ from ..operators import diacritics as M
 from ..operators import profile as H
 from ..operators import resampling as B
 from ..operators import sampling as S
-from ..session import read
-from ..sources import readers
+from ..session import read, scratch
+from ..sources import readers, writers
 from ..streaming import windows as W
 
 
@@ -73,9 +73,11 @@ def collapse_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corruption_attribution(spark: SparkSession, d: str) -> DataFrame:
-    x = _triples(spark, d).where("phoneme_ref != said")
-    per = x.groupBy("phoneme_ref", "said").agg(F.count("*").alias("clips"), F.min("row_no").alias("prompt")).select("prompt", F.col("phoneme_ref").alias("canon_gold"), F.col("said").alias("canon_auto"), "clips", F.lit(0).alias("gold_fr_fa"), F.col("clips").alias("auto_fr_fa"))
-    return D.corruption_attribution(per)
+    """The altered reading as an automatic canonical: false decisions under it against those under the true one."""
+    x = _triples(spark, d).where("phoneme_ref != said").withColumns({"gold": F.col("phoneme_ref"), "auto": F.col("said")})
+    wrong = lambda canon, n: D.pooled(D.utterance_counts(x, canon, "phoneme_ref", "heard", ["gold", "auto"]), ["gold", "auto"]).select("gold", "auto", (F.col("fr") + F.col("fa")).alias(n))
+    per = x.groupBy("gold", "auto").agg(F.count("*").alias("clips"), F.min("row_no").alias("prompt")).join(wrong("gold", "gold_fr_fa"), ["gold", "auto"]).join(wrong("auto", "auto_fr_fa"), ["gold", "auto"])
+    return D.corruption_attribution(per.withColumnsRenamed({"gold": "canon_gold", "auto": "canon_auto"}))
 
 
 def alignment_operations(spark: SparkSession, d: str) -> DataFrame:
@@ -129,11 +131,11 @@ def correct_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """The same rates from single rows and from per-speaker sums: they agree."""
-    c = D.utterance_counts(_triples(spark, d), "phoneme_ref", "said", "heard", ["speaker"])
-    a = D.with_rates(D.pooled(c, ["speaker"]))
-    b = D.with_official_rates(D.pooled(c, ["speaker"]))
-    return K.metric_deltas(a, b, "speaker", ["precision", "recall", "f1", "frr", "accuracy"], 1e-9)
+    """Rates of the detector that hears every other altered reading against one that hears every third."""
+    x = _triples(spark, d)
+    third = x.withColumn("heard", F.when(F.col("row_no") % 3 == 0, F.col("said")).otherwise(F.col("phoneme_ref")))
+    of = lambda t: D.with_rates(D.pooled(D.utterance_counts(t, "phoneme_ref", "said", "heard", ["speaker"]), ["speaker"]))
+    return K.metric_deltas(of(x), of(third), "speaker", ["precision", "recall", "f1", "frr", "accuracy"], 0.01)
 
 
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -207,8 +209,14 @@ def restored_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "restored").distinct()
 
 
+def mark_confusions(spark: SparkSession, d: str) -> DataFrame:
+    x = A.mark_confusions(read(spark, d, "train_rows").where("sentence is not null and tashkeel_sentence is not null"), "tashkeel_sentence", "sentence", 8, by=("split",))
+    return x.select("split", "gold", "written", "n", F.col("place").cast("long").alias("place"))
+
+
 def mark_errors(spark: SparkSession, d: str) -> DataFrame:
-    return A.mark_errors(read(spark, d, "train_rows").where("sentence is not null and tashkeel_sentence is not null"), "tashkeel_sentence", "sentence", by=("split",))
+    x = A.mark_errors(read(spark, d, "train_rows").where("sentence is not null and tashkeel_sentence is not null"), "tashkeel_sentence", "sentence", by=("split",))
+    return x.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
 # ---- decontamination ---------------------------------------------------------------
@@ -370,7 +378,15 @@ def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return A.exact_rates(read(spark, d, "tts_rows").where("speaker is not null"), ["speaker"], F.col("phoneme_mis").isNotNull())
+    x = A.exact_rates(read(spark, d, "tts_rows").where("speaker is not null"), ["speaker"], F.col("phoneme_mis").isNotNull())
+    return x.select("speaker", "k", "n", "rate", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
+
+
+def power_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    """Keep or cut at the worst corner of the grid: the largest detectable difference of each region's nations."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    worst = power_grid(spark, d).join(nations, "s_nationkey").groupBy("n_regionkey").agg(F.max("mde").alias("worst_mde"))
+    return worst.select("n_regionkey", "worst_mde", R.recommendation("worst_mde", 10_000.0).alias("r")).select("n_regionkey", "worst_mde", "r.decision", F.round("r.margin", 6).alias("margin"))
 
 
 def power_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -402,8 +418,22 @@ def annotation_problems(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("annotator", "problem").agg(F.count("*").alias("rows"))
 
 
+def file_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records made from the block, every seventh unusable, some under the wrong condition, unknown, twice or unblinded: the report of each annotator."""
+    a = A.assignments(_block(spark, d))
+    n = F.col("rank")
+    rec = a.withColumn("suggested", F.when((F.col("condition") == "anchored") | (n % 11 == 0), F.col("sentence"))).withColumn("condition", F.when(n % 9 == 0, "other").otherwise(F.col("condition")))
+    rec = rec.select("id", "annotator", "condition", "suggested", F.when(n % 6 == 0, F.concat_ws(" ", "sentence", F.lit("زائد"))).otherwise(F.col("sentence")).alias("final"), F.when(n % 7 == 0, "unusable").otherwise("done").alias("status"), F.array(n % 3, n % 5).alias("flagged_words"), F.when(n % 2 == 0, F.array(F.lit("x"))).alias("ambiguous"), F.lit("2025-01-01T00:00:00").alias("started_at"), F.concat(F.lit("2025-01-01T00:00:"), F.lpad((n % 50 + 10).cast("string"), 2, "0")).alias("finished_at"), n.alias("r"))
+    alien = rec.where("r % 17 = 0").withColumn("id", F.concat(F.lit("z"), "id"))
+    x = A.file_report(A.checked_records(rec.unionByName(rec.where("r % 13 = 0").withColumn("final", F.lit("ثان"))).unionByName(alien), a))
+    return x.select("annotator", "rows", "done", "unusable", "duplicates", "unknown", "wrong_condition", "breaches", "crossover_done", "crossover_unusable", "blocking", "flagged", "ambiguous", "median_seconds", "extend")
+
+
 def liaison_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The marked sentence as a submission for the plain one: liaison sites and breaks, and rows whose letters or words differ."""
     x = A.submission_checks(read(spark, d, "train_rows").where("sentence is not null and tashkeel_sentence is not null").select("split", "sentence", "tashkeel_sentence"), "sentence", "sentence", "tashkeel_sentence")
+    other = A.submission_checks(x.select("split", "sites", "breaks", "sentence", "tashkeel_sentence").withColumnsRenamed({"sites": "s1", "breaks": "b1"}), "sentence", "tashkeel_sentence", "tashkeel_sentence")
+    x = other.select("split", F.col("s1").alias("sites"), F.col("b1").alias("breaks"), "blocking")
     return x.groupBy("split").agg(F.sum(F.size("sites")).alias("sites"), F.sum(F.size("breaks")).alias("breaks"), F.count_if("blocking").alias("blocking"))
 
 
@@ -426,7 +456,7 @@ def marker_sessions(spark: SparkSession, d: str) -> DataFrame:
 def chunked_tool(spark: SparkSession, d: str) -> DataFrame:
     """A tool with an input limit over verses: packed, run in one call, joined again."""
     x = read(spark, d, "verses").where("text is not null").select("verse_id", "text").distinct()
-    return tools.apply_tool(x, lambda: tools.MarkStripper(320), "text").select("verse_id", "output")
+    return tools.apply_tool(x, lambda: tools.MarkStripper(320), "text", limit=320).select("verse_id", "output")
 
 
 # ---- event windows (the batch form of the streaming operators) --------------------------------
@@ -460,7 +490,128 @@ def scan_synthetic(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "speaker", F.coalesce(F.size("canonical"), F.lit(-1)).cast("long").alias("tokens")).distinct()
 
 
+# ---- sources and sinks: written, read again ------------------------------------------------
+def _clips(spark: SparkSession, d: str) -> DataFrame:
+    """path, sentence, canonical, prompt, speaker of the synthetic clips."""
+    x = read(spark, d, "tts_rows")
+    text = lambda c: X.squeeze(F.coalesce(c, F.lit("")))
+    path = F.concat(F.lit("train/wav/audio_"), F.coalesce("speaker", F.lit("")), F.lit("_"), F.col("row_no").cast("string"), F.lit(".wav"))
+    return x.select(path.alias("path"), text("sentence_ref").alias("sentence"), text("phoneme_ref").alias("canonical"), text("sentence_ref").alias("prompt"), F.coalesce("speaker", F.lit("")).alias("speaker"), text("phoneme_mis").alias("other")).distinct()
+
+
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark, "manifest")
+    writers.write_manifest(_clips(spark, d), folder, ["path", "sentence", "canonical"])
+    return readers.manifest(spark, folder)
+
+
+def ark_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Three row-aligned text sinks, read and joined again."""
+    folder = scratch(spark, "ark")
+    x = _triples(spark, d).select(F.col("row_no").cast("string").alias("id"), *(P.tokens(c).alias(c) for c in ("heard", "said", "phoneme_ref")))
+    writers.write_ark_triple(x, folder, {"hyp": "heard", "ref": "said", "canon": "phoneme_ref"})
+    y = K.three_way(*(readers.ark(spark, f"{folder}/{n}.ark") for n in ("hyp", "ref", "canon")))
+    return y.select("id", *(F.array_join(c, " ").alias(c) for c in ("hyp", "ref", "canon")))
+
+
+def cache_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark, "cache")
+    writers.write_jsonl(read(spark, d, "train_rows").select("id", "sentence", "tashkeel_sentence", "phoneme_ref", "phoneme_aug").distinct(), folder)
+    return readers.jsonl(spark, folder)
+
+
+def speaker_splits(spark: SparkSession, d: str) -> DataFrame:
+    """One speaker's clips go to dev, all others to train."""
+    folder = scratch(spark, "speakers")
+    x = _clips(spark, d)
+    writers.write_speaker_splits(x, folder, "speaker", x.where("speaker != ''").agg(F.min("speaker")).first()[0])
+    return spark.read.parquet(folder).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("speaker").alias("speakers"))
+
+
+def variant_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """The clips under two canonicals of their prompts; read back, by variant."""
+    folder = scratch(spark, "variants")
+    x = _clips(spark, d)
+    c = x.groupBy("prompt").agg(F.min("canonical").alias("gold"), F.min(F.when(F.col("other") != "", F.col("other")).otherwise(F.col("canonical"))).alias("auto"))
+    c = c.select("prompt", F.explode(F.create_map(F.lit("gold"), F.col("gold"), F.lit("auto"), F.col("auto"))).alias("variant", "canonical"))
+    writers.write_variants(x.select("path", "sentence", "prompt"), c, folder)
+    y = spark.read.option("sep", "\t").option("header", True).csv(folder)
+    return y.groupBy("variant").agg(F.count("*").alias("rows"), F.sum(F.coalesce(F.length("canonical"), F.lit(0))).alias("characters"))
+
+
+def word_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences as word rows with a blank row after each, put together again."""
+    x = read(spark, d, "train_rows").where("id is not null and sentence is not null").groupBy(F.col("id").alias("file")).agg(F.min("sentence").alias("s"))
+    rows = x.select("file", F.posexplode(F.concat(X.words("s"), F.array(F.lit("")))).alias("line", "word"))
+    return readers.segments(rows, "line", ["word"]).select("file", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("text"), F.col("segment").cast("long").alias("segment"))
+
+
+def submitted_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a written form: the first line after each header that starts with '>'."""
+    x = read(spark, d, "msa_pilot_sample").where("id is not null").groupBy(F.col("id").alias("file")).agg(F.min("sentence").alias("a"), F.min("tashkeel_sentence").alias("b"))
+    lines = F.array(F.lit("> too early"), F.lit("## Item 1 of 2"), F.col("a"), F.concat(F.lit("> "), F.col("b")), F.lit("> again"), F.lit("## Item 2 of 2"), F.lit(">"))
+    return readers.submission(x.select("file", F.posexplode(lines).alias("line", "value"))).select("file", F.col("item").cast("long").alias("item"), "answer")
+
+
+def gold_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Adjudicated text before raw ones over all training ids and the pilot's, by outcome."""
+    t = read(spark, d, "train_rows").where("id is not null")
+    wanted = t.select("id").union(read(spark, d, "msa_pilot_sample").where("id is not null").select("id"))
+    x = A.gold_texts(t.select("id", F.col("sentence").alias("final"), F.when(F.col("split") == "dev", F.col("tashkeel_sentence")).alias("adjudicated")), wanted)
+    return x.groupBy("conflict", "missing").agg(F.count("*").alias("ids"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("characters"))
+
+
+def built_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the whole queue: no suggestion on the blank arm, flagged words sorted and different."""
+    n = F.col("rank")
+    x = A.assignments(_block(spark, d)).select("*", F.col("sentence").alias("suggested"), F.col("sentence").alias("final"), F.array(n % 4, n % 3, n % 4).alias("flagged_words"), F.when(n % 7 == 0, "unusable").otherwise("done").alias("status"), F.when(n % 7 == 0, "noise").alias("unusable_reason"), *(F.lit(None).cast("string").alias(c) for c in ("ambiguous", "note", "started_at", "finished_at", "adjudicated", "tool_version", "protocol_version")))
+    return A.build_records(x).select("id", "annotator", "condition", F.col("suggested").isNotNull().alias("has_suggestion"), F.array_join(F.transform("flagged_words", lambda w: w.cast("string")), ",").alias("flagged"), "status")
+
+
+def tag_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a record by their sets of tags; the candidates' flags stand for tags."""
+    x = read(spark, d, "candidates").where("id is not null and size(flags) > 0").groupBy("id").agg(F.min("flags").alias("f"))
+    m = F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.col("f"), F.reverse("f"), F.slice("f", 1, 1)))
+    return A.group_by_tags(x.select("id", m.alias("tags")), "id", "tags").select("id", F.array_join("t", ",").alias("tags"), F.array_join(F.transform("words", lambda w: w.cast("string")), ",").alias("words"))
+
+
+def paired_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Reference and reading by row position, side by side, whether they agree."""
+    x = _triples(spark, d).select("row_no", "phoneme_ref", "heard")
+    y = K.zip_by_ordinal(x.select("row_no", "phoneme_ref"), x.select("row_no", "heard"), "row_no")
+    return y.select("row_no", (F.col("phoneme_ref") == F.col("heard")).alias("equal"))
+
+
+def held_fractions(spark: SparkSession, d: str) -> DataFrame:
+    ids, refs = C.holdout_keys(read(spark, d, "holdout"), ["holdout_train_ids", "holdout_dev_ids"])
+    x = C.held_fractions(C.holdout_filter(read(spark, d, "train_rows").select("id", "split", "phoneme_ref"), ids, refs), "split")
+    return x.withColumn("held_share", F.round("held_share", 9))
+
+
+def skipped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that cannot be scored, by label and the field they lack; keys are given before any filter."""
+    x = C.scorable(readers.synthetic_rows(spark, f"{d}/tts_rows.parquet"), ["sentence", "phoneme_ref"])
+    return x.groupBy("label", "skipped").agg(F.count_distinct("id").alias("ids"))
+
+
+def base_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Strict and lenient rates of the pilot by stratum; error groups made from the disagreement."""
+    x = read(spark, d, "msa_pilot_sample").where("id is not null").groupBy("id").agg(F.min(F.lower(F.trim("stratum"))).alias("stratum"), F.max(F.when(~F.isnan("disagreement"), F.col("disagreement"))).alias("u"), F.max("n_canonical_phonemes").alias("n"))
+    group = lambda ws, *tags: F.struct(F.array(*map(F.lit, ws)).alias("words"), F.array(*map(F.lit, tags)).cast("array<string>").alias("tags"))
+    errors = F.when(F.col("u") > 0.5, F.array(group((0, 1), "dialect"), group((1, 2)), group((4,), "case", "other"))).when(F.col("u") > 0.25, F.array(group((3,), "case")))
+    verdict = F.when(F.col("u").isNull(), "unusable").when(F.col("u") > 0.25, "error").otherwise("clean")
+    y = A.base_rates(x.select("stratum", errors.alias("errors"), verdict.alias("verdict"), F.lit(8).alias("n_words")), ["stratum"])
+    return y.select("stratum", "utterances", "strict_utterances", "lenient_utterances", "words", "strict_words", "lenient_words", F.round("strict_rate", 9).alias("strict_rate"), F.round("lenient_rate", 9).alias("lenient_rate"))
+
+
+def halved_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Length batches of which those with a very long row keep their longer half."""
+    x = length_batches(spark, d)
+    return S.halve_oversized(x, "n", ["speaker", "batch"], 60, "row_no")
+
+
 ALL = (
+    manifest_round_trip, ark_round_trip, cache_round_trip, speaker_splits, variant_manifests, word_segments, submitted_answers, gold_texts, built_records, tag_groups, paired_lines, held_fractions, skipped_rows, base_rates, halved_batches,
     detection_rates, official_rates, base_rate_probe, final_token_ablation, rates_by_cluster, collapse_report, collapse_verdict, corruption_attribution, alignment_operations,
     three_way_join, label_differences, correct_rates, metric_deltas, span_recovery, review_order,
     token_edit_distance, vocabulary_codec, phoneme_classes, g2p_round_trip, first_differences,
@@ -468,6 +619,6 @@ ALL = (
     skeleton_overlap, contamination, holdout_filter, holdout_union, canonical_policy, key_overlap, clean_blocks, span_search,
     character_audit, token_histogram, unused_tokens, distinct_units, order_summary, price_order_summary, length_buckets, cross_table, final_marks, identity_rates, content_loss, conflicting_duplicates, prompts_first, marked_positions, top_sources,
     stratified_pick, hash_sample, seeded_draw, length_batches, bootstrap_portable, bootstrap_paired, wilson_intervals, exact_intervals, power_grid,
-    annotation_queue, annotation_problems, liaison_sites, latest_decisions, marker_sessions, chunked_tool,
+    power_recommendation, mark_confusions, annotation_queue, annotation_problems, file_report, liaison_sites, latest_decisions, marker_sessions, chunked_tool,
     tumbling_windows, sliding_windows, user_sessions, scan_training, scan_synthetic,
 )
