@@ -106,28 +106,45 @@ def _align_long(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return to_b, to_a
 
 
+def _same_end(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens the two have in common at their ends: there the diagonal is always preferred, so they stand opposite one another."""
+    m = min(len(a), len(b))
+    differs = a[len(a) - m :] != b[len(b) - m :]
+    return m if not differs.any() else int(differs[::-1].argmax())
+
+
 def align(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each pair: the partner in second of each token of first (-1: a gap), and the reverse."""
-    n, m = (np.fromiter(map(len, s), np.int64, len(s)) for s in (first, second))
-    one: list = [None] * len(first)
-    two: list = [None] * len(first)
+    """For each pair: the partner in second of each token of first (-1: a gap), and the reverse.
+
+    Equal ends need no matrix, so equal sequences need none at all.
+    """
+    ends = [_same_end(a, b) for a, b in zip(first, second)]
+    heads = [[s[: len(s) - e] for s, e in zip(side, ends)] for side in (first, second)]
+    n, m = (np.fromiter(map(len, s), np.int64, len(s)) for s in heads)
+    one: list = [np.full(k, -1, np.int32) for k in n]
+    two: list = [np.full(k, -1, np.int32) for k in m]
     order = np.lexsort((m, n))
+    order = order[(n[order] > 0) & (m[order] > 0)]
     at = 0
     while at < len(order):
         count, k = 1, order[at]
         if (n[k] + 1) * (m[k] + 1) > CELLS:
-            one[k], two[k] = _align_long(first[k], second[k])
+            one[k], two[k] = _align_long(heads[0][k], heads[1][k])
             at += 1
             continue
         while at + count < len(order) and (count + 1) * (n[order[at + count]] + 1) * (m[order[at : at + count + 1]].max() + 1) <= CELLS and count < 2048:
             count += 1
         pick = order[at : at + count]
         at += count
-        a, b = _padded([first[k] for k in pick], int(n[pick].max())), _padded([second[k] for k in pick], int(m[pick].max()))
+        a, b = _padded([heads[0][k] for k in pick], int(n[pick].max())), _padded([heads[1][k] for k in pick], int(m[pick].max()))
         b[b == -1] = -2
         to_b, to_a = _align_block(a, b, n[pick], m[pick])
         for r, k in enumerate(pick):
             one[k], two[k] = to_b[r, : n[k]], to_a[r, : m[k]]
+    for k, e in enumerate(ends):
+        if e:
+            tail = np.arange(e, dtype=np.int32)
+            one[k], two[k] = np.concatenate([one[k], m[k].astype(np.int32) + tail]), np.concatenate([two[k], n[k].astype(np.int32) + tail])
     return one, two
 
 

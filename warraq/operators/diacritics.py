@@ -14,36 +14,51 @@ VARIANTS = {"ce_all": (True, False), "noce_all": (False, False), "ce_markedonly"
 SCORE = ("positions", "errors", "words", "word_errors", "skeleton_mismatch")
 
 
-def compared(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Adds _pairs: for each word, for each letter, struct(marked in the reference, differs); null on a letter mismatch."""
-    x = rows.withColumn("_rw", X.arabic_words(F.coalesce(F.col(reference), F.lit("")))).withColumn("_hw", X.arabic_words(F.coalesce(F.col(hypothesis), F.lit(""))))
-    same = F.transform("_rw", X.strip_marks) == F.transform("_hw", X.strip_marks)
-    flags = lambda a, b: F.struct((F.size(a["marks"]) > 0).alias("m"), (a["marks"] != b["marks"]).alias("d"))
-    pairs = F.zip_with("_rw", "_hw", lambda r, h: F.zip_with(X.marked_letters(r), X.marked_letters(h), flags))
-    return x.withColumn("_pairs", F.when(same, pairs)).drop("_rw", "_hw")
-
-
-def variant_score(pairs: Column, case_endings: bool, marked_only: bool) -> Column:
-    """struct of counts for one variant; a mismatch scores no position."""
-    def letters(word: Column) -> Column:
-        kept = word if case_endings else F.slice(word, 1, F.greatest(F.size(word) - 1, F.lit(0)))
-        return F.filter(kept, lambda p: p["m"]) if marked_only else kept
-
-    per_word = F.transform(pairs, lambda w: X.let(letters(w), lambda ls: F.struct(F.size(ls).alias("p"), F.size(F.filter(ls, lambda x: x["d"])).alias("e"))))
-    zero = F.lit(0).cast("long")
-    total = lambda ws, f: F.coalesce(F.aggregate(ws, zero, lambda acc, w: acc + f(w).cast("long")), zero)
-    counts = lambda ws: F.struct(
-        total(ws, lambda w: w["p"]).alias("positions"), total(ws, lambda w: w["e"]).alias("errors"), total(ws, lambda w: w["p"] > 0).alias("words"), total(ws, lambda w: w["e"] > 0).alias("word_errors"), ws.isNull().cast("long").alias("skeleton_mismatch")
-    )
-    return X.let(per_word, counts)
+#: Codes of a scored letter, by whether the reference marks it and whether the marks differ.
+BARE, MARKED, BARE_WRONG, MARKED_WRONG = "0123"
+
+
+def _units(words: Column) -> Column:
+    """Letters with their scored marks, and the blanks between words, of all words as one list."""
+    text = F.regexp_replace(F.array_join(words, " "), f"[\\x{{0653}}-\\x{{0655}}\\x{{06D6}}-\\x{{06ED}}{X.TATWEEL}]", "")
+    return F.regexp_extract_all(F.regexp_replace(text, f"(^| )[{X.SCORED}]+", "$1"), F.lit(f"([^{X.SCORED}][{X.SCORED}]*)"), 1)
+
+
+def letter_codes(reference: Column, hypothesis: Column) -> Column:
+    """A character for each letter of the reference, words divided by blanks; null where the two differ in letters.
+
+    reference, hypothesis: lists of words. Marks are compared as sets, which only
+    letters with different strings need.
+    """
+    marks = lambda u: F.sort_array(F.array_distinct(F.split(F.substring(u, 2, 2**30), "")))
+
+    def code(r: Column, h: Column) -> Column:
+        marked, wrong = F.length(r) > 1, (r != h) & (marks(r) != marks(h))
+        return F.when(r == " ", " ").when(r == h, F.when(marked, MARKED).otherwise(BARE)).when(wrong, F.when(marked, MARKED_WRONG).otherwise(BARE_WRONG)).otherwise(F.when(marked, MARKED).otherwise(BARE))
+
+    same = F.transform(reference, X.strip_marks) == F.transform(hypothesis, X.strip_marks)
+    return F.when(same, F.array_join(F.zip_with(_units(reference), _units(hypothesis), code), ""))
+
+
+def variant_score(codes: Column, case_endings: bool, marked_only: bool) -> Column:
+    """struct of counts for one variant, from letter_codes; a mismatch scores no position."""
+    c = codes if case_endings else F.regexp_replace(codes, "[^ ](?= |$)", "")
+    if marked_only:
+        c = F.translate(c, BARE + BARE_WRONG, "")
+    n = lambda pattern: F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)).cast("long")
+    bad = BARE_WRONG + MARKED_WRONG
+    return F.struct(n("[^ ]").alias("positions"), n(f"[{bad}]").alias("errors"), n("[^ ]+").alias("words"), n(f"[^ ]*[{bad}][^ ]*").alias("word_errors"), codes.isNull().cast("long").alias("skeleton_mismatch"))
 
 
 def scores(rows: DataFrame, reference: str, hypothesis: str, by: list[str], variants: dict[str, tuple[bool, bool]] = VARIANTS) -> DataFrame:
-    """by..., variant, pooled counts and rates. Variants are rows, so pooling never mixes them."""
-    x = compared(rows, reference, hypothesis).select(*by, "_pairs")
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), variant_score(F.col("_pairs"), *v).alias("s")) for n, v in variants.items()))).alias("x")
-    g = x.select(*by, each).select(*by, "x.variant", "x.s.*").groupBy(*by, "variant").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in SCORE))
-    return g.select("*", R.ratio("errors", "positions", "zero").alias("der"), R.ratio("word_errors", "words", "zero").alias("wer"))
+    """by..., variant, pooled counts and rates. Variants are rows, so pooling never mixes them. Null texts count as empty."""
+    words = lambda c: X.arabic_words(F.coalesce(F.col(c), F.lit("")))
+    x = rows.select(*by, words(reference).alias("_r"), words(hypothesis).alias("_h")).select(*by, letter_codes(F.col("_r"), F.col("_h")).alias("_codes"))
+    sums = [F.sum(v[c]).alias(f"{n}_{c}") for n, spec in variants.items() for v in [variant_score(F.col("_codes"), *spec)] for c in SCORE]
+    g = x.groupBy(*by).agg(F.count("*").alias("rows"), *sums)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), *(F.col(f"{n}_{c}").alias(c) for c in SCORE)) for n in variants))).alias("v")
+    out = g.select(*by, "rows", each).select(*by, "v.variant", "rows", *(f"v.{c}" for c in SCORE))
+    return out.select("*", R.ratio("errors", "positions", "zero").alias("der"), R.ratio("word_errors", "words", "zero").alias("wer"))
 
 
 def _published_units(x: str | Column) -> Column:
