@@ -149,8 +149,8 @@ def assign(recs: DataFrame, proportions=PROPORTIONS, names=NAMES, chains: int =
     by_bin = [F.count_if(bin_ == i).alias(f"l{i}") for i in range(LABEL_BINS)]
     cols = ["size", *(f"l{i}" for i in range(LABEL_BINS))]
     comps = members_.groupBy("group_key").agg(F.count("*").alias("size"), *by_bin)
-    comps = cut(comps.withColumn("h", F.xxhash64("group_key")).withColumn("cls", F.floor(F.log2(F.col("size").cast("double")) / 2).cast("int")))
-    # one row a size class, of which there are at most some thirty
+    comps = cut(comps.withColumn("h", F.xxhash64("group_key")).withColumn("cls", F.floor(F.log2(F.col("size").cast("double")) / 4).cast("int")))
+    # one row a size class (each sixteen times the one before), of which there are at most some fifteen
     classes = comps.groupBy("cls").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols)).orderBy(F.desc("cls")).collect()
     if not classes:
         return members_.select("rec", "group_key", F.lit(None).cast("string").alias("split"), F.lit(0).cast("long").alias("group_size"))
