@@ -20,4 +20,6 @@ def test_query(spark, sf, name):
         con = duckdb.connect()
         for t in os.listdir(sf):
             con.execute(f"create view {t.split('.')[0]} as select * from '{sf}/{t}'")
-        assert sorted(rows) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+        con.execute(catalog.oracle_sql()[name])
+        order = [[c[0] for c in con.description].index(c) for c in df.columns]
+        assert sorted(rows, key=repr) == sorted((tuple(r[i] for i in order) for r in con.fetchall()), key=repr)

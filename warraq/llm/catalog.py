@@ -24,7 +24,8 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_classes(*_p1(spark, d))
+    """Near pairs of different sequences, each once, with the records on either side."""
+    return overlap.overlap_classes(*_p1(spark, d)).select("ref", "text", F.col("distance").cast("long").alias("distance"), "eval_records", "train_records")
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.phonemes import INVENTORY as SYMBOLS
 from . import letters
 from .overlap import WHITE
 
 _TRIMMED = "lower(regexp_replace({}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
-INVENTORY = "< << b bb t tt ^ ^^ j jj H HH x xx d dd * ** r rr z zz s ss $ $$ S SS D DD T TT Z ZZ E EE g gg f ff q qq k kk l ll m mm n nn h hh w ww y yy a aa A AA i ii I II u uu U UU"
+INVENTORY = " ".join(SYMBOLS)
 
 
 def _quoted(s: str) -> str:
@@ -48,6 +49,17 @@ i AS (SELECT block || ':t:' || p AS k, x FROM (SELECT block, unnest(holdout_trai
 SELECT e.k AS eval_key, t.k AS train_key FROM e JOIN near ON near.es = e.s JOIN t ON t.s = near.ts
 UNION SELECT i.k, t.k FROM i JOIN t ON t.k = {_NAMED}"""
 
+P1_REPORT = f"""
+WITH p AS ({P1_FOUND}), s AS (SELECT id AS k, min(source) AS source FROM train_rows WHERE split = 'train' AND id IS NOT NULL GROUP BY id UNION ALL SELECT DISTINCT 'iqra_tts_' || row_no, 'iqra_tts' FROM tts_rows WHERE row_no IS NOT NULL),
+h AS (SELECT k, min(eval_set) AS eval_set FROM (SELECT block || ':' || tag || ':' || unnest(range(n)) AS k, eval_set FROM (SELECT block, eval_set, 't' AS tag, len(holdout_train_ids) AS n FROM holdout UNION ALL SELECT block, eval_set, 'd', len(holdout_dev_ids) FROM holdout UNION ALL SELECT block, eval_set, 'r', len(holdout_phoneme_refs) FROM holdout) WHERE n > 0) GROUP BY k)
+SELECT coalesce(h.eval_set, 'pilot') AS eval_set, s.source, count(DISTINCT p.eval_key) AS eval_records, count(DISTINCT p.train_key) AS train_records, count(*) AS pairs FROM p JOIN s ON s.k = p.train_key LEFT JOIN h ON h.k = p.eval_key GROUP BY 1, 2"""
+
+P1_CLASSES = f"""
+WITH e AS (SELECT k, s FROM ({_REFS}) UNION SELECT id, {_seq('phoneme_ref')} FROM msa_pilot_sample WHERE phoneme_ref IS NOT NULL AND id IS NOT NULL),
+t AS (SELECT id AS k, {_seq('phoneme_ref')} AS s FROM train_rows WHERE split = 'train' AND id IS NOT NULL AND phoneme_ref IS NOT NULL UNION SELECT 'iqra_tts_' || row_no, {_seq('x')} FROM (SELECT row_no, unnest([phoneme_ref, phoneme_mis]) AS x FROM tts_rows) WHERE row_no IS NOT NULL AND x IS NOT NULL),
+ec AS (SELECT s, {_coded('s')} AS c, length({_coded('s')}) AS n, count(DISTINCT k) AS eval_records FROM e GROUP BY s), tc AS (SELECT s, {_coded('s')} AS c, length({_coded('s')}) AS n, count(DISTINCT k) AS train_records FROM t GROUP BY s)
+SELECT sha256(ec.s) AS ref, sha256(tc.s) AS text, levenshtein(ec.c, tc.c) AS distance, eval_records, train_records FROM ec JOIN tc ON 10 * abs(ec.n - tc.n) <= greatest(ec.n, tc.n) AND 10 * levenshtein(ec.c, tc.c) <= greatest(ec.n, tc.n)"""
+
 P2_FOUND = f"""
 WITH RECURSIVE r AS (SELECT k, NULL::VARCHAR AS c, NULL::VARCHAR AS w, s FROM ({_REFS}) UNION SELECT id, CASE WHEN regexp_replace(client_id, '[\\s\\x{{a0}}]', '', 'g') <> '' THEN client_id END, nullif(array_to_string({_folded('sentence')}, ' '), ''), {_seq('phoneme_ref')} FROM msa_pilot_sample WHERE id IS NOT NULL),
 a AS (SELECT k, 'c' || c AS v FROM r WHERE c IS NOT NULL UNION SELECT k, 'w' || w FROM r WHERE w IS NOT NULL UNION SELECT k, 's' || s FROM r WHERE s IS NOT NULL),
@@ -73,5 +85,39 @@ dg AS (SELECT doc_id, array_to_string(w[i + 1 : i + 10], ' ') AS g FROM (SELECT
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)"""
 
 
+def _apart() -> str:
+    """VALUES of characters and what they are compared as: fully taken apart, folded to one shape and alphabet, invisible ones empty."""
+    import unicodedata
+
+    t, rows = letters.tables(), {}
+    fold = lambda c: t["look_alike"].get(c, c)
+    for ch in letters.searched():
+        if ch == "\u06cc":
+            continue  # its look depends on its place
+        to = " " if ch in BLANKS else "" if letters.is_invisible(ch) and not letters.is_blank(ch) else t["shapes"].get(ch) or t["ligatures"].get(ch) or ch
+        to = unicodedata.normalize("NFD", "".join(map(fold, to)))
+        if to != ch:
+            rows[ord(ch)] = to
+    return "VALUES " + ", ".join(f"({cp}, {_quoted(to)})" for cp, to in rows.items())
+
+
+BLANKS = frozenset(letters.tables()["blanks"])
+
+
+def p3_found() -> str:
+    """Texts letter by letter: characters replaced from one table, marks of a letter sorted, blanks counted once."""
+    return f"""
+WITH m(cp, f) AS ({_apart()}), x AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT DISTINCT 'sentence' AS field_name, id AS k, sentence AS t FROM candidates WHERE id IS NOT NULL AND sentence IS NOT NULL UNION SELECT 'tashkeel_sentence', id, tashkeel_sentence FROM candidates WHERE id IS NOT NULL AND tashkeel_sentence IS NOT NULL
+  UNION SELECT 'verse_text', verse_id::VARCHAR, text FROM verses WHERE verse_id IS NOT NULL AND text IS NOT NULL)),
+c AS (SELECT rid, unnest(l) AS ch, generate_subscripts(l, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '(?s).') AS l FROM x)),
+a AS (SELECT rid, string_agg(coalesce(m.f, ch), '' ORDER BY i) AS s FROM c LEFT JOIN m ON m.cp = unicode(ch) GROUP BY rid),
+b AS (SELECT rid, replace(regexp_replace(s, '\u06cc(\\p{{M}}*)($|[^\\p{{L}}\\p{{M}}])', '\u0649\\1\\2', 'g'), '\u06cc', '\u064a') AS s FROM a),
+g AS (SELECT rid, list_transform(regexp_extract_all(' ' || s, '(?s)\\P{{M}}\\p{{M}}*'), lambda u: u[1] || array_to_string(list_sort(regexp_extract_all(u, '\\p{{M}}')), '')) AS l FROM b),
+f AS (SELECT field_name, k, t, trim(regexp_replace(array_to_string(l, ''), ' +', ' ', 'g'), ' ') AS look FROM x LEFT JOIN g USING (rid)),
+d AS (SELECT field_name, k, t, coalesce(look, '') AS look FROM f)
+SELECT DISTINCT p.field_name, least(p.k, q.k) AS key_a, greatest(p.k, q.k) AS key_b FROM d p JOIN d q ON p.field_name = q.field_name AND p.look = q.look WHERE p.t <> q.t AND p.k <> q.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p1_classes": P1_CLASSES, "p3_found": p3_found(), "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
