@@ -1,4 +1,4 @@
-"""Streaming forms: windowed sums, sessions, duplicates within the watermark, stateful queues.
+"""Streaming forms: windowed sums, sessions, duplicates within the watermark.
 
 Counts are sums, so the streaming and the batch form share their expressions.
 """
