@@ -98,6 +98,16 @@ def p5_seams(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(_p5(spark, d)).where("piece_no = 0").select("tool", "item_key", (F.col("n_pieces") - 1).alias("seams"), "recorded").distinct()
 
 
+def p5_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each item put together again from its pieces without their overlaps, and whether every piece keeps the limit."""
+    items = _p5(spark, d).distinct()
+    made = pieces.pieces(items.withColumn("tool", F.to_json(F.struct("tool", "lim", F.md5("text").alias("d")))))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(piece, overlap_chars + 1)").alias("own"))))  # the pieces of one item
+    one = made.groupBy("tool", "item_key").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["own"]), "")).alias("digest"), F.max(F.length("piece")).alias("longest"))
+    t = F.from_json("tool", "tool string, lim int, d string")
+    return one.select(t.alias("t"), "item_key", "digest", "longest").select("t.tool", "item_key", "digest", F.coalesce(F.col("longest") <= F.col("t.lim"), F.lit(True)).alias("within")).distinct()
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "benchmark_items"))
 
@@ -112,6 +122,12 @@ def p6_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d)
 
 
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the aligned pairs."""
+    x = _p6(spark, d)
+    return x.select("doc_id", "item_id", F.col("score").cast("long").alias("score"), F.col("run_words").cast("long").alias("run_words"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(_p6(spark, d), read(spark, d, "benchmark_items"))
 
@@ -168,7 +184,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_splits, p2_report, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p6_found, p6_alignments, p6_report, p7_found, p7_mix, p7_report, p7_balanced, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_splits, p2_report, p3_found, p3_forms, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_pieces, p5_seams, p5_round_trip, p6_found, p6_alignments, p6_scores, p6_report, p7_found, p7_mix, p7_report, p7_balanced, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,6 +85,31 @@ dg AS (SELECT doc_id, array_to_string(w[i + 1 : i + 10], ' ') AS g FROM (SELECT
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)"""
 
 
+_CLOSE = "length(a) >= 4 AND length(b) >= 4 AND a <> b AND a[1] = b[1] AND abs(length(a) - length(b)) <= 1 AND len(list_filter(range(length(a) + 1), lambda i: a[:i] = b[:i] AND (a[i + 2:] = b[i + 2:] OR a[i + 1:] = b[i + 2:] OR a[i + 2:] = b[i + 1:]))) > 0"
+#: Smith-Waterman cell by cell over whole documents, for all pairs that share five words in a row.
+P6_SCORES = f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT DISTINCT item_id, {_folded('text')} AS w FROM benchmark_items WHERE text IS NOT NULL), d AS MATERIALIZED (SELECT doc_id, {_folded('text')} AS w FROM documents WHERE text IS NOT NULL),
+bg AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS i FROM b WHERE len(w) > 4)),
+dg AS (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) > 4)),
+p AS MATERIALIZED (SELECT row_number() OVER () AS pid, doc_id, item_id, b.w AS x, d.w AS y FROM (SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)) JOIN b USING (item_id) JOIN d USING (doc_id)),
+u AS (SELECT DISTINCT a.w AS a, c.w AS b FROM (SELECT pid, unnest(x) AS w FROM p) a JOIN (SELECT DISTINCT pid, unnest(y) AS w FROM p) c ON a.pid = c.pid AND a.w[1] = c.w[1]),
+n AS MATERIALIZED (SELECT a, b FROM u WHERE {_CLOSE}),
+cells AS (
+  SELECT pid, 0 AS i, j, 0 AS v, 0 AS r FROM (SELECT pid, unnest(range(len(y) + 1)) AS j FROM p)
+  UNION ALL
+  SELECT pid, i, j, max(s + j) OVER (PARTITION BY pid ORDER BY j ROWS UNBOUNDED PRECEDING) - j, r
+  FROM (SELECT c.pid, c.i + 1 AS i, c.j, coalesce(greatest(0, c.v - 1, lag(c.v) OVER w + CASE WHEN p.x[c.i + 1] = p.y[c.j] THEN 2 WHEN n.a IS NOT NULL THEN 1 ELSE -1 END), 0) AS s, CASE WHEN p.x[c.i + 1] = p.y[c.j] THEN lag(c.r) OVER w + 1 ELSE 0 END AS r
+    FROM cells c JOIN p USING (pid) LEFT JOIN n ON n.a = p.x[c.i + 1] AND n.b = p.y[c.j] WHERE c.i < len(p.x) WINDOW w AS (PARTITION BY c.pid ORDER BY c.j))
+)
+SELECT doc_id, item_id, max(v)::BIGINT AS score, max(r)::BIGINT AS run_words FROM cells JOIN p USING (pid) GROUP BY doc_id, item_id HAVING max(v) >= 12 OR max(r) >= 10"""
+
+P5_ROUND_TRIP = f"""
+WITH items AS (SELECT batch_id, tool, unnest(texts) AS text, unnest(range(len(texts))) AS p FROM chunked_batches WHERE texts IS NOT NULL)
+SELECT DISTINCT l.tool, items.batch_id || ':' || p AS item_key, md5(text) AS digest, true AS within FROM items LEFT JOIN tool_limits l ON l.tool = {_TRIMMED.format("items.tool")} WHERE text IS NOT NULL AND batch_id IS NOT NULL
+UNION
+SELECT DISTINCT l.tool, 'v' || verse_id, md5(text), true FROM verses JOIN tool_limits l ON l.max_input_chars IS NOT NULL WHERE text IS NOT NULL AND verse_id IS NOT NULL"""
+
+
 def _apart() -> str:
     """VALUES of characters and what they are compared as: fully taken apart, folded to one shape and alphabet, invisible ones empty."""
     import unicodedata
@@ -120,4 +145,4 @@ SELECT DISTINCT p.field_name, least(p.k, q.k) AS key_a, greatest(p.k, q.k) AS ke
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p1_classes": P1_CLASSES, "p3_found": p3_found(), "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p1_classes": P1_CLASSES, "p3_found": p3_found(), "p5_round_trip": P5_ROUND_TRIP, "p6_scores": P6_SCORES, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
