@@ -310,7 +310,7 @@ def _coded_by(x: str, dictionary: str) -> str:
     return f"array_to_string(list_transform({x}, lambda t: chr((33 + list_position({dictionary}, t))::INT)), '')"
 
 
-_ARM = lambda u: f"CASE WHEN ce THEN list_transform({u}, lambda g: {_sorted_unit('g')}) ELSE list_transform({u}, lambda g, i: CASE WHEN {u}[i + 1] = ' ' THEN g[1] ELSE {_sorted_unit('g')} END) END"
+_ARM = lambda u: f"CASE WHEN ce THEN list_transform({u}, lambda g: {_sorted_unit('g')}) ELSE list_transform({u}, lambda g, i: CASE WHEN {u}[i + 1][1] = ' ' THEN g[1] ELSE {_sorted_unit('g')} END) END"
 _LABELS = lambda u: f"list_concat(['<BOS>'], list_transform({u}, lambda g: g[2:]), ['<EOS>'])"
 SQL["diacritic_errors_published"] = f"""
 WITH t AS (SELECT source, n, {published('tashkeel_sentence')} AS r, {published('sentence')} AS h FROM (SELECT source, tashkeel_sentence, sentence, count(*) AS n FROM train_rows WHERE sentence IS NOT NULL AND tashkeel_sentence IS NOT NULL GROUP BY ALL)),
