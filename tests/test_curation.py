@@ -84,7 +84,14 @@ def test_draws(spark):
     assert S.hash_draw(pool, 5, 1).count() == 5
     scored = pool.withColumn("s", F.when(F.col("id") == "3", F.lit(float("nan"))).otherwise(F.col("id").cast("double")))
     x = S.stratified_pick(scored, "s", 3, 5).collect()
-    assert len(x) == 6 and all(float(r.id) >= 28 for r in x if r.stratum_pick == "high") and all(r.id == "3" or float(r.id) < 28 for r in x if r.stratum_pick == "uniform")
+    assert len({r.id for r in x}) == 6 and all(float(r.id) >= 28 for r in x if r.stratum_pick == "high")
+    every = S.stratified_pick(scored, "s", 20, 5)  # the second half comes from all that the first has left
+    assert every.count() == every.select("id").distinct().count() == 40
+    g, ids = random.Random(5), sorted(map(str, range(40)), key=lambda i: (i == "3", -float(i)))
+    high = g.sample(ids[:12], 3)
+    want = high + g.sample([i for i in ids if i not in high], 3)
+    assert [r.id for r in S.stratified_draw(scored, "s", 6, 5).orderBy("rank").collect()] == want
+    assert S.stratified_draw(scored.limit(0), "s", 6, 5).count() == 0 and S.stratified_draw(scored, "s", 500, 5).count() == 40
 
 
 def test_batches_and_order(spark):
@@ -247,6 +254,28 @@ def test_punctuation_is_restored(spark):
         assert got == want
 
 
+def test_small_profiles(spark):
+    df = spark.createDataFrame([("a ☺☺، 1", "x")], "t string, arm string")
+    names = {r.ch: (r["class"], r.name) for r in H.character_audit(df, "t", names=True).collect()}
+    assert names == {"a": ("latin", None), "☺": ("other", "WHITE SMILING FACE"), "،": ("punctuation", None), "1": ("digit", None)}
+    arms = spark.createDataFrame([("a", "كَتَبَ", "k a t a b a"), ("b", "كَتَبَ", "k a t a b"), ("b", None, "k")], "arm string, t string, p string")
+    assert sorted(tuple(r) for r in H.final_marks(arms, "t", "p", ["arm"]).collect()) == [("a", "fatha", "short", 1), ("b", "fatha", "consonant", 1)]
+    m = spark.createDataFrame([("x", 5.42), ("y", 9.0), ("z", float("nan"))], "name string, value double")
+    t = spark.createDataFrame([("x", 5.425, 0.5, True), ("y", 5.0, 0.5, False), ("z", 5.0, 0.5, False), ("w", 1.0, 0.5, True)], "name string, centre double, band double, decisive boolean")
+    got = {r.name: (r.in_band, r.decisive) for r in H.target_verdicts(m, t).collect()}
+    assert got == {"x": (True, True), "y": (False, False), "z": (False, False), "w": (False, True)}
+    assert H.overall_verdict(H.target_verdicts(m, t)).first().passed is False
+    assert H.overall_verdict(H.target_verdicts(m, t.where("name != 'w'"))).first().passed is True
+
+
+def test_prompts_and_fairness(spark):
+    clips = spark.createDataFrame([("s_12345[2]",), ("s_99999",), ("plain",)], "id string")
+    canon = spark.createDataFrame([("12345", "a b")], "prompt string, canonical string")
+    assert [(r.id, r.prompt, r.canonical) for r in C.join_on_prompt(clips, canon).collect()] == [("s_12345[2]", "12345", "a b")]
+    rows = spark.createDataFrame([(1, "كتب"), (2, "كتب ok"), (3, "چ"), (4, None)], "id int, t string")
+    assert sorted(r.id for r in C.fair_rows(rows, "t").collect()) == [1]
+
+
 def test_pilot_groups(spark):
     schema = "id string, errors array<struct<words: array<int>, tags: array<string>>>"
     df = spark.createDataFrame([("a", [([1, 2], ["case"]), ([2, 3], ["case", "vowel"]), ([5], [])]), ("b", [])], schema)

@@ -102,6 +102,16 @@ def held_fractions(filtered: DataFrame, by: str) -> DataFrame:
     return g.withColumn("held_share", (F.col("by_id") + F.col("by_phoneme")) / F.col("rows"))
 
 
+def fair_rows(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose text the references have phonemes for; null texts are left out."""
+    return rows.withColumn("_flags", X.clean(text)["flags"]).where(X.fair("_flags")).drop("_flags")
+
+
+def join_on_prompt(clips: DataFrame, canonicals: DataFrame, id_: str = "id", prompt: str = "prompt") -> DataFrame:
+    """Clips with the canonical of their prompt, which is read from the clip's id; others are dropped."""
+    return clips.withColumn(prompt, X.prompt_index(id_)).join(canonicals, prompt)
+
+
 def scorable(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds skipped: the first of the columns whose text is null or blank; null where the row can be scored."""
     blank = [F.when(F.coalesce(X.squeeze(c), F.lit("")) == "", F.lit(c)) for c in columns]

@@ -12,9 +12,10 @@ from ..functions import rates as R
 from ..functions import text as X
 
 
-def character_audit(rows: DataFrame, text: str) -> DataFrame:
-    """Characters that later steps would drop: ch, class, n."""
-    return rows.select(F.explode(X.unsupported(text)).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).select("ch", X.character_class("ch").alias("class"), "n")
+def character_audit(rows: DataFrame, text: str, names: bool = False) -> DataFrame:
+    """Characters that later steps would drop: ch, class, n; and, if wanted, the Unicode names of those of class 'other'."""
+    x = rows.select(F.explode(X.unsupported(text)).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).select("ch", X.character_class("ch").alias("class"), "n")
+    return x.withColumn("name", X.first_character_name(F.when(F.col("class") == "other", F.col("ch")))) if names else x
 
 
 def token_histogram(rows: DataFrame, text: str, vocabulary: DataFrame, token: str = "token") -> DataFrame:
@@ -86,11 +87,11 @@ def cross_table(rows: DataFrame, a: str, b: str) -> DataFrame:
     return x
 
 
-def final_marks(rows: DataFrame, text: str, phonemes: str) -> DataFrame:
+def final_marks(rows: DataFrame, text: str, phonemes: str, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Last word's mark against the class of the last phoneme; punctuation divides words, a word has a mark or a letter."""
     ws = X.marked_words(text)
-    x = rows.where(F.col(text).isNotNull() & F.col(phonemes).isNotNull()).select(ws.alias("w"), P.tokens(phonemes).alias("t")).where("size(w) > 0 and size(t) > 0")
-    return x.groupBy(P.final_mark(F.try_element_at("w", F.lit(-1))).alias("mark"), P.phoneme_class(F.try_element_at("t", F.lit(-1))).alias("class")).agg(F.count("*").alias("n"))
+    x = rows.where(F.col(text).isNotNull() & F.col(phonemes).isNotNull()).select(*by, ws.alias("w"), P.tokens(phonemes).alias("t")).where("size(w) > 0 and size(t) > 0")
+    return x.groupBy(*by, P.final_mark(F.try_element_at("w", F.lit(-1))).alias("mark"), P.phoneme_class(F.try_element_at("t", F.lit(-1))).alias("class")).agg(F.count("*").alias("n"))
 
 
 def identity_rates(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -137,6 +138,18 @@ def monotone(rows: DataFrame, order: str, value: str) -> DataFrame:
     return x.agg(F.coalesce(F.every(F.coalesce(F.col(value) >= F.col("_b"), F.lit(True))), F.lit(True)).alias("monotone"))
 
 
+def target_verdicts(measured: DataFrame, targets: DataFrame) -> DataFrame:
+    """measured(name, value), targets(name, centre, band, decisive) -> name, value, in_band, decisive; a target without a value is missed."""
+    x = targets.join(measured, "name", "left")
+    c = F.col("value")
+    return x.select("name", "value", F.coalesce(~F.isnan(c) & (F.abs(c - F.col("centre")) <= F.col("band")), F.lit(False)).alias("in_band"), "decisive")
+
+
+def overall_verdict(verdicts: DataFrame) -> DataFrame:
+    """passed: every decisive target is met; the others are for diagnosis only."""
+    return verdicts.agg(F.coalesce(F.every(F.col("in_band") | ~F.col("decisive")), F.lit(True)).alias("passed"), F.count_if(~F.col("in_band")).alias("missed"))
+
+
 def band_verdict(rows: DataFrame, value: str, centre: float, band: float) -> DataFrame:
     """Adds in_band: whether the value lies within the band; NaN and null never do."""
     return rows.withColumn("in_band", R.within(value, centre, band))

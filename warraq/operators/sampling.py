@@ -42,13 +42,31 @@ def hash_draw(pool: DataFrame, size: int, seed: int, id_: str = "id") -> DataFra
 
 
 def stratified_pick(rows: DataFrame, score: str, half: int, seed: int, id_: str = "id") -> DataFrame:
-    """Half from the 4 x half rows of highest score, half from all others, by hash order; column stratum says which."""
+    """Half from the 4 x half rows of highest score, half from all rows not yet picked, by hash order; column stratum_pick says which."""
     top = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).orderBy(F.desc(score), id_).limit(4 * half)
     high = hash_draw(top, half, seed, id_).withColumn("stratum_pick", F.lit("high"))
-    rest = rows.join(top.select(id_).distinct(), id_, "left_anti")
+    rest = rows.join(high.select(id_).distinct(), id_, "left_anti")
     return high.unionByName(hash_draw(rest, half, seed + 1, id_).withColumn("stratum_pick", F.lit("uniform")))
 
 
+def stratified_draw(rows: DataFrame, score: str, size: int, seed: int, id_: str = "id") -> DataFrame:
+    """stratified_pick with one seeded generator over a small pool, in draw order: id, stratum, rank.
+
+    Ranked by score (ties by id; null and NaN last), half of the size comes from the
+    4 x half first, the rest from all others; fewer where there are fewer rows.
+    """
+    s = F.when(~F.isnan(score), F.col(score))
+    ids = [r[0] for r in rows.groupBy(id_).agg(F.max(s).alias("_s")).orderBy(F.desc_nulls_last("_s"), id_).limit(MOST_IDS + 1).collect()]
+    if len(ids) > MOST_IDS:
+        raise ValueError("the pool is too large for a driver-side draw; use stratified_pick")
+    g, half = random.Random(seed), size // 2
+    tail = ids[: max(4 * half, 1)]
+    high = g.sample(tail, min(half, len(tail)))
+    rest = [x for x in ids if x not in set(high)]
+    picked = [(x, "high_disagreement") for x in high] + [(x, "uniform_random") for x in g.sample(rest, min(size - len(high), len(rest)))]
+    return rows.sparkSession.createDataFrame([(*p, i) for i, p in enumerate(picked)], f"{id_} {rows.schema[id_].dataType.simpleString()}, stratum string, rank int")
+
+
 def length_batches(rows: DataFrame, length: str, budget: int, by: str, id_: str = "id") -> DataFrame:
     """Batches of similar length inside each bucket `by`: column batch, longest first, at most `budget` rows each."""
     x = with_place(rows, [by], [-F.col(length), F.col(id_)], "_place")

@@ -220,8 +220,9 @@ SELECT count(DISTINCT t) AS texts, count(*) AS rows, count(*) FILTER (v IS DISTI
     "prompts_first": "SELECT sentence_ref, count(*) AS clips, min(row_no) AS row_no, arg_min(speaker, row_no) AS speaker FROM tts_rows WHERE sentence_ref IS NOT NULL GROUP BY 1",
     "top_sources": "SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 5",
     "stratified_pick": f"""
-WITH x AS (SELECT id, max(CASE WHEN NOT isnan(disagreement) THEN disagreement END) AS s FROM msa_pilot_sample WHERE id IS NOT NULL GROUP BY id), t AS (SELECT id FROM x WHERE s IS NOT NULL ORDER BY s DESC, id LIMIT 80)
-SELECT * FROM (SELECT id, 'high' AS stratum_pick FROM t ORDER BY {hash_key('id', 11)}, id LIMIT 20) UNION ALL SELECT * FROM (SELECT id, 'uniform' FROM x WHERE id NOT IN (SELECT id FROM t) ORDER BY {hash_key('id', 12)}, id LIMIT 20)""",
+WITH x AS (SELECT id, max(CASE WHEN NOT isnan(disagreement) THEN disagreement END) AS s FROM msa_pilot_sample WHERE id IS NOT NULL GROUP BY id), t AS (SELECT id FROM x WHERE s IS NOT NULL ORDER BY s DESC, id LIMIT 80),
+h AS (SELECT id FROM t ORDER BY {hash_key('id', 11)}, id LIMIT 20)
+SELECT id, 'high' AS stratum_pick FROM h UNION ALL SELECT * FROM (SELECT id, 'uniform' FROM x WHERE id NOT IN (SELECT id FROM h) ORDER BY {hash_key('id', 12)}, id LIMIT 20)""",
     "hash_sample": f"SELECT id FROM (SELECT DISTINCT id FROM train_rows) ORDER BY {hash_key('id', 20261014)}, id LIMIT 100",
     "length_batches": f"""
 WITH x AS (SELECT DISTINCT row_no, speaker, len({words('phoneme_ref')}) AS n FROM tts_rows WHERE phoneme_ref IS NOT NULL)
