@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.phonemes import INVENTORY
 from . import alignment_sql as L
 
 MARKS = r"[\x{064B}-\x{0655}\x{0670}\x{06D6}-\x{06ED}]"
@@ -53,8 +54,7 @@ h AS (SELECT *, list_has_any(flags, ['no_arabic', 'no_tashkeel', 'pre_vowelized'
 k AS (SELECT skel, min({{'e': ex, 'i': id}}) AS k FROM h GROUP BY skel),
 pool AS (SELECT h.id, h.skel, list_sort(CASE WHEN h.id = k.k.i THEN flags ELSE list_append(flags, 'duplicate') END) AS flags FROM h JOIN k USING (skel))"""
 FLAGS = "'digits'), ('duplicate'), ('latin'), ('no_arabic'), ('no_tashkeel'), ('partially_vowelized'), ('pre_vowelized'), ('short'), ('word_count_mismatch'"
-INVENTORY = "< << b bb t tt ^ ^^ j jj H HH x xx d dd * ** r rr z zz s ss $ $$ S SS D DD T TT Z ZZ E EE g gg f ff q qq k kk l ll m mm n nn h hh w ww y yy a aa A AA i ii I II u uu U UU"
-VOC = f"string_split('{INVENTORY}', ' ')"
+VOC = f"string_split('{' '.join(INVENTORY)}', ' ')"
 
 
 def hash_key(x: str, seed: int) -> str:
