@@ -36,8 +36,7 @@ SHAPE_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolat
 HAMZA_ABOVE, HAMZA_BELOW, TATWEEL = "ٔ", "ٕ", "ـ"
 
 
-def _within(cp: int, ranges: list[range]) -> bool:
-    return any(cp in r for r in ranges)
+_VISIBLE_FORMAT, _IGNORABLE = (frozenset(cp for r in ranges for cp in r) for ranges in (VISIBLE_FORMAT, IGNORABLE))
 
 
 def is_blank(ch: str) -> bool:
@@ -46,7 +45,7 @@ def is_blank(ch: str) -> bool:
 
 def is_invisible(ch: str) -> bool:
     cat, cp = unicodedata.category(ch), ord(ch)
-    return (cat == "Cf" and not _within(cp, VISIBLE_FORMAT)) or _within(cp, IGNORABLE) or (cat == "Cc" and not is_blank(ch))
+    return (cat == "Cf" and cp not in _VISIBLE_FORMAT) or cp in _IGNORABLE or (cat == "Cc" and not is_blank(ch))
 
 
 def searched():
@@ -81,8 +80,9 @@ def tables() -> dict:
         if len(parts) > 1 and unicodedata.category(ch)[0] == "L" and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
             composed[ch] = parts
     marks: dict[int, list[str]] = {}  # combining marks by their class
+    unseen = set(invisible)
     for ch in searched():
-        if unicodedata.category(ch) == "Mn" and ch not in invisible:
+        if unicodedata.category(ch) == "Mn" and ch not in unseen:
             marks.setdefault(unicodedata.combining(ch), []).append(ch)
     return {"marks": marks, "composed": composed, "blanks": blanks, "invisible": invisible, "shapes": shapes, "ligatures": ligatures, "look_alike": look}
 
