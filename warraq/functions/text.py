@@ -35,6 +35,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def digest(c: str | Column, name: str) -> list[Column]:
+    """128 bits of a text as two numbers, for joins that need not carry the text."""
+    return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(7), c).alias(f"{name}2")]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, also where the body uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

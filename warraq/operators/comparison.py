@@ -59,8 +59,8 @@ def tiered_order(rows: DataFrame, tiers: list[Column], distance: str, key: str)
 
 
 def recovery_summary(choices: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """located, unique, ambiguous and missing keys."""
-    x = wanted.select(key).distinct().join(choices.select(key, "candidates"), key, "left")
+    """located, unique, ambiguous and missing keys; neither table is sent to the driver for the join."""
+    x = wanted.select(key).distinct().join(choices.select(key, "candidates").hint("merge"), key, "left")
     n = F.col("candidates")
     return x.agg(F.count("*").alias("queries"), F.count_if(n.isNotNull()).alias("located"), F.count_if(n == 1).alias("unique_place"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n.isNull()).alias("missing"))
 

@@ -159,6 +159,17 @@ def clean_keys(all_: DataFrame, bad: DataFrame, key: str) -> DataFrame:
 PIECE_WORDS = 8
 
 
+def _offsets() -> Column:
+    """Where the pieces of the words _q begin: they cover them whole."""
+    return F.when(F.size("_q") <= PIECE_WORDS, F.array(F.lit(0))).otherwise(F.expr(f"array_distinct(concat(sequence(0, greatest(size(_q) - {PIECE_WORDS}, 0), {PIECE_WORDS}), array(size(_q) - {PIECE_WORDS})))"))
+
+
+def _chapters(corpus: DataFrame, part: list[str], order: list[str], text: str) -> DataFrame:
+    """part..., _w: the words of each part in order."""
+    lines = corpus.where(F.col(text).isNotNull()).select(*part, F.struct(*order).alias("_o"), X.words(X.skeleton(text)).alias("_w")).distinct()
+    return lines.groupBy(*part).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_w"))), lambda r: r["_w"])).alias("_w"))
+
+
 def span_matches(corpus: DataFrame, queries: DataFrame, part: list[str], order: list[str], text: str, query_id: str, query: str) -> DataFrame:
     """Places where the query's n skeleton words follow one another in a part of the corpus.
 
@@ -169,12 +180,10 @@ def span_matches(corpus: DataFrame, queries: DataFrame, part: list[str], order:
     query_id, part..., position (0-based word of the part), n_words.
     """
     q = queries.select(query_id, X.words(X.skeleton(query)).alias("_q")).where("size(_q) > 0").select(query_id, F.sha2(F.array_join("_q", " "), 256).alias("_k"), "_q").distinct()
-    at = F.when(F.size("_q") <= PIECE_WORDS, F.array(F.lit(0))).otherwise(F.expr(f"array_distinct(concat(sequence(0, greatest(size(_q) - {PIECE_WORDS}, 0), {PIECE_WORDS}), array(size(_q) - {PIECE_WORDS})))"))
-    phrases = q.select("_k", "_q", F.size("_q").alias("n_words"), at.alias("_at")).dropDuplicates(["_k"])
+    phrases = q.select("_k", "_q", F.size("_q").alias("n_words"), _offsets().alias("_at")).dropDuplicates(["_k"])
     pieces = phrases.select("_k", "_q", "n_words", F.size("_at").alias("_pieces"), F.explode("_at").alias("_off")).select("_k", "n_words", "_pieces", "_off", F.least("n_words", F.lit(PIECE_WORDS)).alias("_n"), F.expr(f"array_join(slice(_q, _off + 1, {PIECE_WORDS}), ' ')").alias("gram"))
     lengths = sorted(r[0] for r in pieces.select("_n").distinct().collect())  # at most PIECE_WORDS
-    lines = corpus.where(F.col(text).isNotNull()).select(*part, F.struct(*order).alias("_o"), X.words(X.skeleton(text)).alias("_w")).distinct()
-    whole = lines.groupBy(*part).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_w"))), lambda r: r["_w"])).alias("_w"))
+    whole = _chapters(corpus, part, order, text)
     grams = whole.select(*part, "_w", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).where("size(_w) >= _n")
     grams = grams.select(*part, "_n", F.posexplode(F.expr("transform(sequence(0, size(_w) - _n), i -> array_join(slice(_w, i + 1, _n), ' '))")).alias("_p", "gram"))
     met = grams.join(pieces, ["_n", "gram"]).select("_k", *part, (F.col("_p") - F.col("_off")).alias("position"), "n_words", "_pieces")
@@ -183,6 +192,32 @@ def span_matches(corpus: DataFrame, queries: DataFrame, part: list[str], order:
     return found.join(q.select(query_id, "_k"), "_k").select(query_id, *part, "position", "n_words")
 
 
+def span_counts(corpus: DataFrame, queries: DataFrame, part: list[str], order: list[str], text: str, query_id: str, query: str) -> DataFrame:
+    """query_id, candidates: how many rows span_matches has for each query; queries without any are left out.
+
+    Places are counted by phrase before the queries join: of short phrases by the
+    corpus' own run counts, of longer ones by the places where their pieces meet. No
+    row is made of a query and a place. Runs and phrases are joined by digests, and
+    both sides are sorted: neither is sent to the driver, whatever its size.
+    """
+    key = ["_k1", "_k2"]
+    q = queries.select(query_id, X.words(X.skeleton(query)).alias("_q")).where("size(_q) > 0").select(query_id, "_q", *X.digest(F.array_join("_q", " "), "_k"))
+    phrases = q.select(*key, "_q", F.size("_q").alias("_n")).dropDuplicates(key)
+    short, long = phrases.where(f"_n <= {PIECE_WORDS}"), phrases.where(f"_n > {PIECE_WORDS}")
+    lengths = sorted(r[0] for r in short.select("_n").distinct().collect())  # at most PIECE_WORDS
+    whole = _chapters(corpus, part, order, text)
+    runs = lambda t: t.where("size(_w) >= _n").select(*part, F.posexplode(F.expr("transform(sequence(0, size(_w) - _n), i -> array_join(slice(_w, i + 1, _n), ' '))")).alias("_p", "_g"))
+    grams = runs(whole.select(*part, "_w", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")))
+    counts = grams.select(*X.digest("_g", "_k")).groupBy(*key).agg(F.count("*").alias("_places"))
+    counts = counts.join(short.select(*key).hint("merge"), key)
+    pieces = long.select(*key, F.size(_offsets()).alias("_pieces"), "_q", F.explode(_offsets()).alias("_off")).select(*key, "_pieces", "_off", *X.digest(F.expr(f"array_join(slice(_q, _off + 1, {PIECE_WORDS}), ' ')"), "_g"))
+    eights = runs(whole.withColumn("_n", F.lit(PIECE_WORDS))).select(*part, "_p", *X.digest("_g", "_g"))
+    met = eights.join(pieces.hint("merge"), ["_g1", "_g2"]).groupBy(*key, *part, (F.col("_p") - F.col("_off")).alias("position"), "_pieces").agg(F.count("*").alias("_met"))
+    counts = counts.unionByName(met.where("_met = _pieces").groupBy(*key).agg(F.count("*").alias("_places")))
+    ids = q.select(query_id, *key).distinct()
+    return ids.join(counts.hint("merge"), key).groupBy(query_id).agg(F.sum("_places").alias("candidates"))
+
+
 def recovery_choice(matches: DataFrame, query_id: str, part: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """The primary place of each query: the first in order, unless overridden; with the number of candidates.
 
