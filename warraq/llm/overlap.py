@@ -1,13 +1,15 @@
-"""Same or nearly same records across splits: sharded Aho-Corasick scan.
-
-Evaluation references are cut into pieces so that, by the pigeonhole principle,
-a training text within the allowed edit distance contains at least `need` of
-them unchanged and near their place. The distinct references are sharded by
-length and hash; each shard becomes one Aho-Corasick automaton that scans every
-training text of a compatible length. The matched intervals of one reference are
-merged into its coverage; references with too little coverage, or with symbol
-counts too far apart, are out, and an exact bounded edit distance (JVM side)
-decides the rest.
+"""Same or nearly same records across splits: sharded index of seeds.
+
+Evaluation references are cut into so few parts that, by the pigeonhole principle,
+a training text within the allowed edit distance has at least one part with at most
+one edit. Of that part's four quarters three are unchanged: the first three or the last
+three in a row, or the others around a gap that is one symbol off at most. These are
+the seeds, a dozen symbols long, so chance finds few of them however many references
+there are; half of the fourth quarter must be met as well. The distinct references are sharded by length and hash; each shard is one
+index of seed hashes, in which the windows of every training text of a compatible
+length are looked up. Pairs whose symbol counts are too far apart are out, as are
+those with too few unchanged pieces (`covered`), and an exact bounded edit distance
+(JVM side) decides the rest. A hash that collides adds a pair to check, and loses none.
 
 Defined results: null texts match nothing; an empty sequence matches empty ones
 only (distance 0); repeated rows give one pair; texts are processed whole.
@@ -15,6 +17,7 @@ only (distance 0); repeated rows give one pair; texts are processed whole.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -31,10 +34,11 @@ from . import members
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Finds whether a text has other than single blanks between ASCII symbols; most have not, and stay as they are.
 UNEVEN = "[^!-~ ]|  |^ | $"
-#: References in one automaton (memory of a worker: about 12 pieces of 8 symbols each).
-SHARD_REFS = 24_000
-#: Training texts that one automaton scans before its shard is given to a further task.
-CHUNK_TEXTS = 60_000
+#: References in one index (memory of a worker: about 24 seeds each, of 20 bytes).
+SHARD_REFS = 150_000
+#: Training texts that one task looks up in a shard before the shard is given to a further task, at least; and
+#: at least so many texts a reference, so that copies of shards stay small beside the texts.
+CHUNK_TEXTS, TEXTS_A_REF = 60_000, 3
 #: Length classes grow by this factor, so there are at most a few hundred of them.
 LENGTH_STEP = 1.12
 #: Pieces beyond the pigeonhole minimum; each adds one to the matches that are required.
@@ -62,112 +66,246 @@ def max_edits(n: int) -> int:
     return (10 * n // 9) // 10
 
 
-class Automaton:
-    """One shard: its references, their pieces, and the scan of a batch of texts."""
+# Odd factors and random words of the hashes.
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+_BYTE = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
+_PLACE = np.random.default_rng(2).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each symbol of the texts, none of them empty, and the number of symbols of each text."""
+    d = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    gap = (d == 32) | (d == 10)
+    starts = np.concatenate([[0], np.flatnonzero(gap) + 1])
+    place = np.arange(len(d)) - np.repeat(starts, np.diff(np.append(starts, len(d))))
+    v = _mixed(np.add.reduceat(np.where(gap, np.uint64(0), _BYTE[d] * _PLACE[place & 63]), starts))
+    first = np.concatenate([[0], np.flatnonzero(d[starts[1:] - 1] == 10) + 1])
+    return v, np.diff(np.append(first, len(starts)))
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.cumprod(np.full(n, x % 2**64, np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    return up, down
+
+
+class _Windows:
+    """Hashes of the windows of a row of symbols."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.n = len(symbols)
+        up, self.down = _powers(1 << max(10, self.n.bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * up[: self.n])])
+        self.kept: dict[int, np.ndarray] = {}
+
+    def plain(self, w: int) -> np.ndarray:
+        """Of the w symbols from each place on."""
+        if w not in self.kept:
+            self.kept[w] = (self.sums[w:] - self.sums[: max(0, self.n + 1 - w)]) * self.down[: max(0, self.n + 1 - w)]
+        return self.kept[w]
+
+    def keys(self, x: int, gap: int, z: int) -> np.ndarray:
+        """Keys of seeds from each place on: x symbols, a gap, z symbols."""
+        m = max(0, self.n + 1 - x - gap - z)
+        shape = np.uint64(x << 20 | z)  # not the gap, which may be one off
+        return _mixed(self.plain(x)[:m] * _MIX + self.plain(z)[x + gap : x + gap + m] + shape)
+
+
+def part_size(lengths: list[int]) -> int:
+    """Symbols of a part that every reference of these lengths has; 0 if none allows an edit."""
+    return min((n // (max_edits(n) // 2 + 1) for n in lengths if max_edits(n)), default=0)
+
+
+def seeds(size: int) -> list[tuple[int, int, int, int, int]]:
+    """Seeds of a part: place, symbols, gap, symbols after it, and the gap's place (of the quarter left out)."""
+    e = size // 4
+    h = (size - 2 * e) // 2
+    ends = [0, e, e + h, size - e, size]
+    return [(e, size - e, 0, 0, 0), (0, size - e, 0, 0, size - e), *((0, ends[i], ends[i + 1] - ends[i], size - ends[i + 1], ends[i]) for i in (1, 2))]
+
+
+def _blocks(texts: list[str], rows: int, symbols: int):
+    """(place, texts) in blocks of at most so many rows and about so many characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo == rows or size + len(t) > symbols):
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, texts[lo:]
+
+
+_WHOLE = -(2**15)
+
+
+def _counts(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Symbol counts in hashed bins; merging symbols only lowers a distance bound."""
+    at = np.repeat(np.arange(len(n)), n) * BINS + (v % np.uint64(BINS)).astype(np.int64)
+    c = np.bincount(at, minlength=len(n) * BINS).reshape(-1, BINS)
+    return np.minimum(c, 2**14).astype(np.int16)  # a cap only lowers the bound too
+
+
+def _twos(v: np.ndarray) -> np.ndarray:
+    """16 bits of each symbol and the next."""
+    h = v >> np.uint64(20)
+    return ((h + np.append(h[1:], h[:1]) * np.uint64(31)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+class Index:
+    """One shard: its references, their seeds, and the search of a batch of texts."""
 
     def __init__(self, refs: list[str]):
-        import ahocorasick
-
-        self.refs, self.codes = refs, {}
-        symbols = [r.split(" ") if r else [] for r in refs]
-        for s in symbols:
-            for x in s:
-                self.codes.setdefault(x, self._code(len(self.codes)))
-        self.encoded = ["".join(map(self.codes.__getitem__, s)) for s in symbols]
-        self.length = np.array([len(s) for s in symbols], np.int32)
-        self.blank = [i for i, s in enumerate(symbols) if not s]
-        self.bins = self._bins(self.encoded)
-        index: dict[str, int] = {}
-        piece, owner, at, size = [], [], [], []
-        self.pieces = np.zeros(len(refs), np.int32)
-        for i, s in enumerate(self.encoded):
-            n = len(s)
-            q = min(n, max_edits(n) + 1 + EXTRA_PIECES) if n else 0
-            self.pieces[i] = q
-            for j in range(q):
-                a, b = j * n // q, (j + 1) * n // q
-                piece.append(index.setdefault(s[a:b], len(index)))
-                owner.append(i)
-                at.append(a)
-                size.append(b - a)
-        order = np.argsort(np.array(piece, np.int64), kind="stable")
-        self.owner, self.at, self.size = (np.array(x, np.int32)[order] for x in (owner, at, size))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(np.array(piece, np.int64), minlength=len(index)))]).astype(np.int64)
-        self.sizes = np.array([len(p) for p in index], np.int32)
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p, k in index.items():
-            self.machine.add_word(p, k)
-        self.some = bool(index)
-        if self.some:
-            self.machine.make_automaton()
-
-    @staticmethod
-    def _code(i: int) -> str:
-        cp = 0x21 + i
-        return chr(cp if cp < 0xD800 else cp + 0x800)
-
-    @staticmethod
-    def _bins(texts: list[str]) -> np.ndarray:
-        """Symbol counts in hashed bins; merging symbols only lowers a distance bound."""
-        n = len(texts)
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        rows = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
-        return np.bincount(rows * BINS + codes % BINS, minlength=n * BINS).reshape(n, BINS).astype(np.int32)
+        self.blank = "" in refs
+        self.refs = [r for r in refs if r]
+        self.codes: dict[str, str] = {}
+        self.some = bool(self.refs)
+        if not self.some:
+            return
+        blocks = [(lo, *_symbols(block)) for lo, block in _blocks(self.refs, 20_000, 500_000)]
+        self.length = np.concatenate([n for _, _, n in blocks])
+        self.begin = np.cumsum(self.length) - self.length
+        sizes = np.unique(self.length).tolist()
+        self.part = part_size(sizes)
+        self.shapes = sorted({(x, g, z) for _, x, gap, z, _ in seeds(self.part) for g in ((gap - 1, gap, gap + 1) if z else (gap,))} if self.part else set()) + [(n, 0, 0) for n in sizes if not max_edits(n)]
+        made, counts, twos = [], [], []
+        while blocks:
+            lo, v, n = blocks.pop(0)
+            starts, w = np.cumsum(n) - n, _Windows(v)
+            keys = functools.cache(w.keys)
+            for size in np.unique(n).tolist():
+                rows, k = np.flatnonzero(n == size), max_edits(size)
+                for j in range(k // 2 + 1):
+                    a = j * size // (k // 2 + 1)
+                    for at, x, gap, z, hole in seeds(self.part) if k else [(0, size, 0, 0, -1)]:
+                        key = keys(x, gap, z)[starts[rows] + a + at]
+                        made.append((key, (rows + lo).astype(np.int32), *(np.full(len(rows), c, t) for c, t in ((a + at, np.int32), (gap, np.int16), (hole - at if hole >= 0 else _WHOLE, np.int16)))))
+            counts.append(_counts(v, n))
+            twos.append(_twos(v))
+        self.counts, self.twos = np.concatenate(counts), np.concatenate([*twos, np.zeros(1, np.uint16)])
+        columns = [list(c) for c in zip(*made)]
+        made.clear()
+
+        def joined(i: int) -> np.ndarray:
+            x = np.concatenate(columns[i])
+            columns[i].clear()
+            return x
+
+        keys = joined(0)
+        order = np.argsort(keys).astype(np.int32)
+        keys, self.owner, self.at, self.gap, self.hole = keys[order], *(joined(i)[order] for i in range(1, 5))
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.keys, self.first = keys[new], np.append(new, len(keys))
+        # a bit for each key, so that most windows are not looked up
+        self.shift = np.uint64(64 - min(27, max(13, (16 * len(self.keys)).bit_length())))
+        bit = self.keys >> self.shift
+        byte = (bit >> np.uint64(3)).astype(np.int64)
+        run = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        self.bits = np.zeros(1 << (61 - int(self.shift)), np.uint8)
+        self.bits[byte[run]] = np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)), run)
+
+    def _encode(self, text: str, new: bool) -> str:
+        """One character a symbol; a symbol that no reference has is \x02."""
+        if new:
+            for x in text.split(" "):
+                if x not in self.codes:
+                    cp = 0x21 + len(self.codes)
+                    self.codes[x] = chr(cp if cp < 0xD800 else cp + 0x800)
+        return "".join([self.codes.get(x, "\x02") for x in text.split(" ")])
+
+    def _pairs(self, v: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Text times number of references plus reference, of the pairs with a common seed at a place that the edits allow."""
+        w, starts, met = _Windows(v), np.cumsum(n) - n, []
+        for x, gap, z in self.shapes:
+            key = w.keys(x, gap, z)
+            bit = key >> self.shift
+            there = np.flatnonzero(self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            k = np.searchsorted(self.keys, key[there])
+            there, k = (c[self.keys[np.minimum(k, len(self.keys) - 1)] == key[there]] for c in (there, k))
+            t = np.searchsorted(starts, there, side="right") - 1
+            whole = there + x + gap + z <= starts[t] + n[t]
+            met.append((t[whole], there[whole], k[whole], np.full(int(whole.sum()), gap)))
+        text, place, k, gap = (np.concatenate(c) for c in zip(*met))
+        at = place - starts[text]
+        two, last = np.append(_twos(v), np.uint16(0)), len(v)
+        ends, out, lo = np.cumsum(self.first[k + 1] - self.first[k]), [np.zeros(0, np.int64)], 0
+        while lo < len(k):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, side="right")))
+            c = self.first[k[lo:hi] + 1] - self.first[k[lo:hi]]
+            row = np.repeat(np.arange(lo, hi), c)
+            post = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(self.first[k[lo:hi]], c)
+            ref = self.owner[post].astype(np.int64)
+            length, m = self.length[ref], n[text[row]]
+            longest = np.maximum(length, m)
+            ok = np.flatnonzero((np.abs(at[row] - self.at[post]) * 10 <= longest) & (np.abs(length - m) * 10 <= longest) & (np.abs(gap[row] - self.gap[post]) <= 1))
+            ref, row, post = ref[ok], row[ok], post[ok]
+            ok = self._half(self.begin[ref] + self.at[post], self.hole[post].astype(np.int64), self.gap[post], place[row], gap[row], two, last)
+            out.append(np.unique(text[row][ok] * len(self.refs) + ref[ok]))
+            lo = hi
+        return np.unique(np.concatenate(out))
+
+    def _half(self, a, hole, gap, b, other, two, last) -> np.ndarray:
+        """Whether the quarter left out, with one edit at most, has its first or its last two symbols in the text.
+
+        A seed at `a` of the references and `b` of the text; `hole` is the quarter's
+        place from the seed on, `gap` its size within a seed, `other` that in the text.
+        """
+        e = self.part // 4
+        if e < 4:  # one edit may touch both halves
+            return np.ones(len(a), bool)
+        size = np.where(gap > 0, gap, e)
+        at = lambda i: two[np.clip(i, 0, last)]
+        head, tail = self.twos[np.clip(a + hole, 0, len(self.twos) - 1)], self.twos[np.clip(a + hole + size - 2, 0, len(self.twos) - 1)]
+        h, t = b + hole, b + hole + size - 2
+        same = (hole == _WHOLE) | (head == at(h)) | (tail == at(t))
+        inner = gap > 0
+        shift = other - gap
+        same |= inner & (tail == at(t + shift))
+        for s in (-1, 1):  # the free end may be one off
+            same |= ~inner & np.where(hole < 0, head == at(h + s), tail == at(t + s))
+        return same
 
     def candidates(self, texts: list[str]):
-        """(text index, reference index, covered symbols) of the pairs that may be near; and the encoded texts."""
-        get = self.codes.get
-        enc = ["".join([get(x, "\x02") for x in t.split(" ")]) if t else "" for t in texts]
-        none = np.zeros(0, np.int64)
-        if not self.some:
-            return none, none, none, enc
-        lengths = np.fromiter(map(len, enc), np.int64, len(enc))
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-        flat = np.fromiter(itertools.chain.from_iterable(self.machine.iter("\x01".join(enc))), np.int64).reshape(-1, 2)
-        out = []
-        for lo in range(0, len(flat), 500_000):
-            out.append(self._expand(flat[lo : lo + 500_000], starts, lengths))
-        if not out:
-            return none, none, none, enc
-        text, ref, at, size = (np.concatenate(x) for x in zip(*out))
-        # merge the matched intervals of a pair: pieces are disjoint, so coverage is the sum over different pieces
-        key = (text * len(self.refs) + ref) * (int(self.length.max()) + 1) + at
-        _, pick = np.unique(key, return_index=True)
-        text, ref, size = text[pick], ref[pick], size[pick]
-        pair = text * len(self.refs) + ref
-        pairs, begin, hits = np.unique(pair, return_index=True, return_counts=True)
-        cover = np.add.reduceat(size, begin) if len(pairs) else none
-        text, ref = pairs // len(self.refs), pairs % len(self.refs)
-        edits = np.maximum(self.length[ref], lengths[text]) // 10
-        keep = hits >= self.pieces[ref] - edits
-        text, ref, cover, edits = text[keep], ref[keep], cover[keep], edits[keep]
-        tb = self._bins(enc)
-        near = np.zeros(len(text), bool)
-        for lo in range(0, len(text), 50_000):
-            s = slice(lo, lo + 50_000)
-            diff = self.bins[ref[s]] - tb[text[s]]
-            near[s] = np.maximum(np.where(diff > 0, diff, 0).sum(1), np.where(diff < 0, -diff, 0).sum(1)) <= edits[s]
-        return text[near], ref[near], cover[near], enc
-
-    def _expand(self, hits, starts, lengths):
-        end, piece = hits[:, 0], hits[:, 1]
-        text = np.searchsorted(starts, end, side="right") - 1
-        begin = end - starts[text] + 1 - self.sizes[piece]
-        n = self.first[piece + 1] - self.first[piece]
-        row = np.repeat(np.arange(len(piece)), n)
-        post = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[piece], n)
-        ref, at = self.owner[post].astype(np.int64), self.at[post]
-        t, longest = text[row], np.maximum(self.length[ref], lengths[text[row]])
-        ok = (np.abs(begin[row] - at) * 10 <= longest) & (np.abs(self.length[ref] - lengths[t]) * 10 <= longest)
-        return t[ok], ref[ok], at[ok].astype(np.int64), self.size[post[ok]].astype(np.int64)
+        """(text index, reference, encoded reference, encoded text, allowed edits, covered symbols) of the pairs that may be near."""
+        full = [i for i, t in enumerate(texts) if t]
+        if not self.some or not full:
+            return
+        v, n = _symbols([texts[i] for i in full])
+        pairs = self._pairs(v, n)
+        tb = _counts(v, n)
+        encoded: dict[int, str] = {}
+        for lo in range(0, len(pairs), 20_000):
+            text, ref = pairs[lo : lo + 20_000] // len(self.refs), pairs[lo : lo + 20_000] % len(self.refs)
+            edits = np.maximum(self.length[ref], n[text]) // 10
+            apart = np.abs(self.counts[ref] - tb[text]).sum(1, dtype=np.int64)
+            near = apart + np.abs(self.length[ref] - n[text]) <= 2 * edits  # twice the larger of what either has more
+            for t, r, e in zip(text[near].tolist(), ref[near].tolist(), edits[near].tolist()):
+                if r not in encoded:
+                    if len(encoded) > 50_000:
+                        encoded.clear()
+                    encoded[r] = self._encode(self.refs[r], True)
+                a, b = encoded[r], self._encode(texts[full[t]], False)
+                # unchanged pieces near their place: pieces are disjoint, so coverage is the sum over different ones
+                q, hits, cover = min(len(a), max_edits(len(a)) + 1 + EXTRA_PIECES), 0, 0
+                for j in range(q):
+                    at, end = j * len(a) // q, (j + 1) * len(a) // q
+                    if b.find(a[at:end], max(0, at - e), end + e) >= 0:
+                        hits, cover = hits + 1, cover + end - at
+                if hits >= q - e:
+                    yield full[t], self.refs[r], a, b, e, cover
 
 
 _OUT = T.StructType([T.StructField(n, T.StringType()) for n in ("ref", "train_key", "a", "b")] + [T.StructField("edits", T.IntegerType()), T.StructField("covered", T.IntegerType())])
 
 
 def _scan(batches):
-    """Rows of a partition, references (side 0) before texts of each group; one automaton at a time."""
-    group, refs, machine = None, [], None
+    """Rows of a partition, references (side 0) before texts of each group; one index at a time."""
+    group, refs, index = None, [], None
     for b in batches:
         t = pa.Table.from_batches([b])
         g, side = t.column("g").to_numpy(), t.column("side").to_numpy()
@@ -176,22 +314,19 @@ def _scan(batches):
             if lo == hi:
                 continue
             if g[lo] != group:
-                group, refs, machine = g[lo], [], None
+                group, refs, index = g[lo], [], None
             part = t.slice(lo, hi - lo)
             if side[lo] == 0:
                 refs += part.column("seq").to_pylist()
                 continue
             if not refs:
                 continue
-            if machine is None:
-                machine = Automaton(refs)
+            if index is None:
+                index = Index(refs)
             texts, keys = part.column("seq").to_pylist(), part.column("train_key").to_pylist()
-            for at in range(0, len(texts), 2000):
-                block = texts[at : at + 2000]
-                ti, ri, cover, enc = machine.candidates(block)
-                longest = np.maximum(machine.length[ri], np.fromiter(map(len, enc), np.int64, len(enc))[ti]) if len(ti) else []
-                rows = [(machine.refs[r], keys[at + x], machine.encoded[r], enc[x], int(m) // 10, int(c)) for x, r, m, c in zip(ti, ri, longest, cover)]
-                rows += [("", keys[at + x], "", "", 0, 0) for x, s in enumerate(block) if not s for _ in machine.blank[:1]]
+            for at, block in _blocks(texts, 2000, 1_000_000):
+                rows = [(r, keys[at + x], a, b, e, c) for x, r, a, b, e, c in index.candidates(block)]
+                rows += [("", keys[at + x], "", "", 0, 0) for x, s in enumerate(block) if not s and index.blank]
                 if rows:
                     yield from pa.Table.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (pa.string(),) * 4 + (pa.int32(),) * 2)], names=_OUT.names).to_batches()
 
@@ -216,7 +351,8 @@ def near_pairs(refs: DataFrame, texts: DataFrame) -> DataFrame:
         total = sum(t[c] for c in near)
         if not total:
             continue
-        shards, chunks = -(-x.rows // SHARD_REFS), -(-total // CHUNK_TEXTS)
+        shards = -(-x.rows // SHARD_REFS)
+        chunks = -(-total // max(CHUNK_TEXTS, int(TEXTS_A_REF * x.rows / shards)))
         plan += [(c, lo, hi, groups, shards, chunks) for c in near]
         ref_plan.append((cls, groups, shards, chunks))
         groups += shards * chunks
